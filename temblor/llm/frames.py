@@ -53,3 +53,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """Two longs that stand for a row: repeated rows share them, different texts under one id do not."""
     return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k2")]
+
+
+def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """The rows with the ``max_rows`` smallest values of their column ``h``, a hash; ties of the last value all stay.  Only hashes are sorted."""
+    last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    return rows.where(F.col("h") <= F.lit(last)) if last is not None else rows.limit(0)
