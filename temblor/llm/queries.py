@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, near_dedup, secret_scan, token_counts, toxicity, warc
+from . import bpe, decontamination, exact_dedup, language_id, near_dedup, secret_scan, substring_dedup, token_counts, toxicity, warc
 from .frames import held_out, table
 
 
@@ -22,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep=("page_id",))
 
@@ -62,5 +66,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).withColumn("held_out", out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_warc, op5_near_dedup, op6_decontamination, op7_bpe, op8_secret_scan, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_warc, op5_near_dedup, op6_decontamination, op7_bpe, op8_secret_scan, op9_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op6_decontamination": decontamination.ORACLE}
