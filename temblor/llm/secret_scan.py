@@ -181,5 +181,5 @@ def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple
     """(start, kind, end) by plain matching, for tests."""
     out = []
     for i, r in enumerate(rules):
-        out += [(m.start(), i, m.end()) for m in re.finditer(r.pattern, text or "") if len(m.group(r.group)) >= r.least]
+        out += [(m.start(), i, m.end()) for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m.group(r.group)) >= r.least]
     return sorted(out)
