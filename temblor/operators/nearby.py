@@ -17,9 +17,9 @@ from ..functions.geo import KM_DEGREE, haversine
 
 
 def _ring(band: Column, height: float) -> Column:
-    """Cells on a band: at least as wide as ``height`` degrees of latitude at its highest edge."""
-    edge = F.least(F.lit(89.0), F.greatest(F.abs(band * height), F.abs((band + 1) * height)))
-    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / height)).cast("int")
+    """Cells on a band: at least as wide as ``height`` degrees of latitude at the far edge of the next band towards the pole; one cell near a pole."""
+    edge = F.greatest(F.abs(band * height), F.abs((band + 1) * height)) + height
+    return F.when(edge >= 85, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / height))).cast("int")
 
 
 def neighbours(left: DataFrame, right: DataFrame, km: float, back: float = 0.0, ahead: float = 0.0) -> DataFrame:

@@ -82,12 +82,12 @@ def day_rows(name: str, n: int, ahead: str = "CURRENT ROW") -> str:
     return f"{name} AS (PARTITION BY metric ORDER BY day ROWS BETWEEN {n} PRECEDING AND {ahead})"
 
 
-@query(f"WITH {DAILY}, i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY day) AS k FROM daily) SELECT metric, day, round(CASE WHEN k < 7 THEN 0 ELSE regr_slope(v, k) OVER w END, 5) AS slope FROM i WINDOW {day_rows('w', 6)}")
+@query(f"WITH {DAILY}, i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY day) AS k FROM daily) SELECT metric, day, round(CASE WHEN k < 7 THEN 0 ELSE regr_slope(v, k) OVER w END, 8) AS slope FROM i WINDOW {day_rows('w', 6)}")
 def rolling_slope(spark, sf_dir):
     """Slope of the last seven values; its sums come from one frame."""
     k = F.row_number().over(Window.partitionBy("metric").orderBy("day"))
     d = daily(spark, sf_dir).withColumn("k", k)
-    return d.select("metric", "day", F.round(F.when(F.col("k") < 7, 0.0).otherwise(F.regr_slope("v", "k").over(rows_back(6))), 5).alias("slope"))
+    return d.select("metric", "day", F.round(F.when(F.col("k") < 7, 0.0).otherwise(F.regr_slope("v", "k").over(rows_back(6))), 8).alias("slope"))
 
 
 @query(f"WITH {DAILY} SELECT metric, day, round(avg(v) OVER w, 8) AS mean, round(stddev_pop(v) OVER w, 8) AS std, max(v) OVER w AS top, round(max(v) OVER w - min(v) OVER w, 8) AS range FROM daily WINDOW {day_rows('w', 23)}")
