@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches
+from .frames import bounded_sample, map_batches
 from .textkernel import mix, slices, utf8
 
 NONE = "und"
@@ -82,7 +82,8 @@ def positions(h: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
 def fit(labelled: DataFrame, max_rows: int = 12_000, max_chars: int = 4_000, most: int = 30_000, share: float = 0.35, bits: int = 1 << 20, probes: int = 3, lang: str = "lang") -> Filters:
     """Filters from rows (text, lang).  The n-gram counts are a Spark aggregation; ``most`` n-grams a language are kept, which bounds what the driver receives."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.substring("text", 1, max_chars).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text").limit(max_rows)
+    rows = rows.select(F.substring("text", 1, max_chars).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    rows = bounded_sample(rows, max_rows)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[str, np.ndarray, np.ndarray]] = []
