@@ -2,20 +2,23 @@
 
 A document's set holds its distinct 5-word shingles (64-bit hashes); sets that
 are equal are one node.  Each node is posted under its (coordinate, value)
-pairs.  A pair of nodes is retained if at least ``LEAST`` of the ``COORDINATES``
-agree: the most frequent LEAST - 1 lists of a node are skipped, which leaves a
+pairs.  A pair of nodes is retained if at least ``least`` of the ``COORDINATES``
+agree: the most frequent least - 1 lists of a node are skipped, which leaves a
 prefix that any retained pair must share, and collisions in skipped lists are
-counted by probing the signatures.  Retained pairs are confirmed on the full
-sets.  A pair at the wanted similarity of 0.85 is missed with a chance of about
-1e-7.
+counted by probing the signatures.  ``MORE`` further coordinates, of one byte, are not posted and
+only probed, so that texts that share a long passage but not most shingles are
+not retained.  Retained pairs are confirmed on the full sets.  Both least numbers are such
+that a pair at the wanted similarity is missed with a chance of at most ``MISS`` each.
 
 Only connectedness matters, so no group is expanded into all its pairs:
 
 1. in each list the node that shares most with others leads; every node is
-   compared with its best leader, and confirmed links give components;
-2. then pairs of one list that are in different components are compared, in
-   blocks of bounded size, so that a list of any length is dealt over many tasks; the
-   blocks of a list whose nodes are all in one component vanish.
+   compared with its best leader.  The nodes of one leader are a family, and are compared
+   with each other by their differences from the leader;
+2. then pairs of one list that are in different components and families are compared.
+
+Families and lists are dealt to blocks of bounded size, so that one of any length goes
+to many tasks; what lies in one component already is not compared.
 
 Components are found by joining smallest labels until nothing changes, on
 tables in the shared folder; nothing is gathered on the driver.
@@ -28,6 +31,7 @@ with nothing; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +44,13 @@ from .textkernel import Words, shingle_sets, slices, utf8
 
 U64 = np.uint64
 K = 5
-COORDINATES = 24
-LEAST = 10
+COORDINATES = 32
+MORE = 64
+MISS = 1e-6
 BLOCK = 128
 _random = np.random.default_rng(20240517)
-FACTORS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-SHIFTS = _random.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(U64)
+FACTORS = _random.integers(0, 1 << 63, COORDINATES + MORE, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+SHIFTS = _random.integers(0, 1 << 63, COORDINATES + MORE, dtype=np.int64).astype(U64)
 
 
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -55,63 +60,160 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The smallest permuted hash of each coordinate, its upper 32 bits."""
-    out = np.empty(COORDINATES, np.int32)
-    for j in range(COORDINATES):
-        out[j] = ((s * FACTORS[j] + SHIFTS[j]).min() >> U64(32)).astype(np.uint32).view(np.int32)
-    return out
+    least = np.full(COORDINATES + MORE, ~U64(0))
+    for at in range(0, len(s), 1024):
+        np.minimum(least, (s[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
+    return (least >> U64(32)).astype(np.uint32).view(np.int32)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for sorted distinct hashes."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def least_of(coordinates: int, percent: int) -> int:
+    """The largest t such that two sets of this similarity agree in fewer than t coordinates with a chance of at most MISS."""
+    p, total = percent / 100, 0.0
+    for t in range(coordinates + 1):
+        total += math.comb(coordinates, t) * p**t * (1 - p) ** (coordinates - t)
+        if total > MISS:
+            return max(1, t)
+    return coordinates
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two keys of the set, and the signature (null without shingles)."""
+    """doc_id, n_shingles, two keys of the set, and the signature in its two parts (null without shingles)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, first, second, signs = [], [], [], []
+        n, first, second, signs, more = [], [], [], [], []
         for s in sets_of(batch.column(1)):
             n.append(len(s))
             first.append(int(s.sum(dtype=U64).view(np.int64)) if len(s) else None)
             second.append(int(np.bitwise_xor.reduce(s * U64(0x9E3779B97F4A7C15) ^ (s >> U64(31))).view(np.int64)) if len(s) else None)
-            signs.append(signature(s) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+            sign = signature(s) if len(s) else None
+            signs.append(None if sign is None else sign[:COORDINATES])
+            more.append(None if sign is None else sign[COORDINATES:].astype(np.int8))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.list_(pa.int32())), pa.array(more, pa.list_(pa.int8()))], names=["doc_id", "n_shingles", "s1", "s2", "sig", "more"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, sig array<int>")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, sig array<int>, more array<tinyint>")
 
 
 def matches(a: str, b: str):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (lead, node) whose full sets are similar enough.  A lead's text goes once to each block of its nodes."""
+def compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lead, node) with what their full sets say: ``linked``, the sizes n_lead and n_node, the number ``gone`` of
+    the lead's shingles that the node lacks, and ``diff``, the shingles that only one of them has.
+
+    A lead's text goes once to each block of its nodes."""
     blocked = pairs.withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
-    # Rows that share a doc_id are one document: the one of their texts that the node stands for.
+    # Rows that share a doc_id are one document: any of their texts may stand for it.
     texts = docs.select(F.col("doc_id").alias("of"), F.col("text").cast("string").alias("text"))
     roles = blocked.select("lead", "salt", F.col("node").alias("of")).unionByName(blocked.select("lead", "salt", F.col("lead").alias("of")).distinct())
-    rows = roles.join(texts, "of").select("lead", "salt", "of", "text").repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("of") != F.col("lead"))
+    # Joined by a shuffle at every size, as the roles grow with the documents.
+    rows = roles.join(texts.hint("merge"), "of").select("lead", "salt", "of", "text").repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("of") != F.col("lead"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, []
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for of, to, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2)), strict=True):
                 if of == to:
                     own = [*own, s] if lead == of else [s]
                     lead = of
-                elif lead == to and any(linked(x, s, percent) for x in own):
-                    out.append((to, of))
+                elif lead == to:
+                    for x in own:
+                        diff = np.setxor1d(x, s, assume_unique=True)
+                        gone = (len(x) - len(s) + len(diff)) // 2
+                        out.append((to, of, enough(len(x) - gone, len(x), len(s), percent), len(x), len(s), gone, diff.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], names=["a", "b"])
+                cols = list(zip(*out, strict=True))
+                types = (None, None, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lead", "node", "linked", "n_lead", "n_node", "gone", "diff"])
 
     id_type = pairs.schema["lead"].dataType.simpleString()
-    return rows.select("of", "lead", "text").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return rows.select("of", "lead", "text").mapInArrow(run, f"lead {id_type}, node {id_type}, linked boolean, n_lead long, n_node long, gone long, diff array<long>")
+
+
+def families(known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the nodes of one lead, of which not both are linked to it.
+
+    Two nodes share n_lead - gone_a - gone_b shingles, and one more for each shingle in which both differ from the lead
+    in the same way, so the small differences are all that has to meet.  A family is dealt to blocks; every two blocks are
+    compared in one task by a product of 0-1 matrices, and give a forest of their links instead of all pairs."""
+    sizes = known.groupBy("lead").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and size > 1")
+    dealt = known.join(sizes, "lead").withColumn("w", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node", "lead"), F.col("w")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    id_type = known.schema["lead"].dataType.simpleString()
+
+    def links(t: pa.Table) -> list[tuple]:
+        node, linked, n, gone, own = (t.column(c).to_numpy() for c in ("node", "linked", "n_node", "gone", "own"))
+        n_lead = t.column("n_lead")[0].as_py()
+        diffs = [x.values.to_numpy() for c in t.column("diff").chunks for x in c]
+        same = overlaps(diffs)
+        shared = n_lead - gone[:, None] - gone[None, :] + same
+        ok = enough(shared, n[:, None], n[None, :], percent) & ~(linked[:, None] & linked[None, :])
+        if t.column("low")[0].as_py() != t.column("high")[0].as_py():
+            ok &= own[:, None] != own[None, :]
+        return [(node[i], node[j]) for i, j in forest(*np.nonzero(np.triu(ok, 1)), len(node))]
+
+    rows = met.select("lead", "low", "high", "node", "linked", "n_lead", "n_node", "gone", "own", "diff").repartition("lead", "low", "high").sortWithinPartitions("lead", "low", "high")
+    return rows.mapInArrow(lambda batches: by_group(batches, ("lead", "low", "high"), links), f"a {id_type}, b {id_type}").distinct()
+
+
+def enough(shared, n_a, n_b, percent: int):
+    """100 * intersection >= percent * union."""
+    return 100 * shared >= percent * (n_a + n_b - shared)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets, columns of the 0-1 matrices in bounded parts."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, len(values), 8192):
+        here = (column >= at) & (column < at + 8192)
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[row[here], column[here] - at] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges that connect what the edges (a, b) connect, n - 1 at most."""
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[y] = x
+            out.append((i, j))
+    return out
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fn) -> Iterator[pa.RecordBatch]:
+    """The pairs that fn gives of each group of rows; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        out = fn(pa.Table.from_batches(held)) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out])], names=["a", "b"])
+
+    for batch in batches:
+        values = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+        at = 0
+        for i in range(1, len(values) + 1):
+            if i == len(values) or values[i] != values[at]:
+                if values[at] != key:
+                    yield from done()
+                    held, key = [], values[at]
+                held.append(batch.slice(at, i - at))
+                at = i
+    yield from done()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,13 +233,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def prefixes(nodes: DataFrame) -> DataFrame:
-    """(node, list, size): the COORDINATES - LEAST + 1 shortest lists of each node, without those of one node; nodes (node, sig)."""
+def prefixes(nodes: DataFrame, least: int) -> DataFrame:
+    """(node, list, size): the COORDINATES - least + 1 shortest lists of each node, without those of one node; nodes (node, sig)."""
     posted = nodes.select("node", F.posexplode("sig").alias("j", "v")).select("node", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("v").cast("long")).alias("list"))
     sizes = posted.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     held = posted.join(sizes, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "list"))).alias("lists"))
     # Lists of one node are the shortest: they fill the prefix first.
-    room = F.greatest(F.lit(COORDINATES - LEAST + 1) - (F.lit(COORDINATES) - F.size("lists")), F.lit(0))
+    room = F.greatest(F.lit(COORDINATES - least + 1) - (F.lit(COORDINATES) - F.size("lists")), F.lit(0))
     return held.select("node", F.inline_outer(F.slice("lists", F.lit(1), room))).where("list is not null")
 
 
@@ -149,86 +251,73 @@ def assign(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     # Nodes, and links between nodes of rows that share a doc_id or a set.
     members = stored(named.join(same, ["s1", "s2"]).select("doc_id", "node"), "members")
-    nodes = stored(named.join(same, ["s1", "s2"]).where("doc_id = node").groupBy("s1", "s2").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")).drop("s1", "s2"), "nodes")
-    lists = stored(prefixes(nodes), "lists")
+    nodes = stored(named.join(same, ["s1", "s2"]).where("doc_id = node").groupBy("s1", "s2").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("n_shingles").alias("n")).drop("s1", "s2"), "nodes")
+    least, least_all = least_of(COORDINATES, percent), least_of(COORDINATES + MORE, percent)
+    lists = stored(prefixes(nodes, least), "lists")
 
-    close = (matches("sig", "lead_sig") >= LEAST) & (F.least("n", "lead_n") * 100 >= percent * F.greatest("n", "lead_n"))
-    leads = nodes.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig"), F.col("n").alias("lead_n"))
+    agree = matches("sig", "lead_sig")
+    close = (agree >= least) & (agree + matches("more", "lead_more") >= least_all) & (F.least("n", "lead_n") * 100 >= percent * F.greatest("n", "lead_n"))
+    leads = nodes.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig"), F.col("more").alias("lead_more"), F.col("n").alias("lead_n"))
     # Round 1.  The node with the longest lists is most likely the one that its group was copied from.
     central = lists.join(lists.groupBy("node").agg(F.sum("size").alias("weight")), "node")
     heads = central.groupBy("list").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top")).select("list", (-F.col("top.node")).alias("lead"))
     first = lists.join(heads, "list").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("n_met"))
     first = first.join(nodes, "node").join(leads, "lead").where(close).withColumn("m", matches("sig", "lead_sig"))
     best = first.groupBy("node").agg(F.max(F.struct("m", F.col("lead"))).alias("top")).select("node", F.col("top.lead").alias("lead"))
-    tried = stored(best, "tried")
-    links = stored(confirm(tried, docs, percent), "links")
+    tried = stored(compared(best, docs, percent), "tried")
+    links = tried.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(families(tried, percent))
     links = stored(links.unionByName(members.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
     labels = components(links)
     # Round 2: what is still apart.
-    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    family = best_lead(tried)
+    marked = lists.join(labels, "node", "left").join(family, "node", "left").withColumns({"label": F.coalesce("label", "node"), "family": F.coalesce("lead", "node")})
     mixed = marked.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
-    apart = stored(marked.join(mixed, "list").join(nodes, "node").select("list", "node", "label", "size", "n", "sig"), "apart")
-    pairs = stored(cross_pairs(apart, percent), "pairs")
-    more = confirm(pairs.select("lead", "node").distinct(), docs, percent)
+    apart = stored(marked.join(mixed, "list").join(nodes, "node").select("list", "node", "label", "family", "size", "n", "sig", "more"), "apart")
+    pairs = stored(cross_pairs(apart, percent, least, least_all), "pairs")
+    more = compared(pairs, docs, percent).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     labels = components(links.unionByName(more))
 
     out = known.join(labels, known["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def cross_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (lead, node) of one list with different labels and enough matches.
+def best_lead(tried: DataFrame) -> DataFrame:
+    """node and the lead that it was compared with; leads are in their own family."""
+    return tried.groupBy("node").agg(F.min("lead").alias("lead"))
+
+
+def cross_pairs(apart: DataFrame, percent: int, least: int, least_all: int) -> DataFrame:
+    """Pairs (lead, node) of one list with different labels, of different families, with enough matches.
 
     A list's nodes are dealt to blocks of about BLOCK rows and every two blocks of a list meet in one
     group, which is compared within a task; a group has about 2 * BLOCK rows however long the list."""
-    width = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = apart.withColumn("w", width).withColumn("own", F.pmod(F.hash("node", "list"), F.col("w")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    met = met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    dealt = apart.withColumn("w", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node", "list"), F.col("w")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     id_type = apart.schema["node"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            node, label, own = (t.column(c).to_numpy() for c in ("node", "label", "own"))
-            n, low, high = (t.column(c).to_numpy() for c in ("n", "low", "high"))
-            sig = np.stack(t.column("sig").to_numpy())
-            a, b = [], []
-            for i in range(len(node) - 1):
-                j = np.arange(i + 1, len(node))
-                ok = (label[j] != label[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))
-                if low[0] != high[0]:  # within a block the pairs are the block's own group's
-                    ok &= own[j] != own[i]
-                j = j[ok]
-                if len(j):
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST]
-                    a += [np.minimum(node[i], node[j])]
-                    b += [np.maximum(node[i], node[j])]
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["lead", "node"])
-            return None
-
-        key = None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("list", "low", "high")), strict=True))
-            at = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[at]:
-                    if held and key != keys[at]:
-                        if (out := flush()) is not None:
-                            yield out
-                        held = []
-                    key = keys[at]
-                    held.append(batch.slice(at, i - at))
-                    at = i
-        if held and (out := flush()) is not None:
-            yield out
-
-    rows = met.select("list", "low", "high", "node", "label", "own", "n", "sig").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    return rows.mapInArrow(run, f"lead {id_type}, node {id_type}").distinct()
+    def near(t: pa.Table) -> list[tuple]:
+        node, label, family, own, n = (t.column(c).to_numpy() for c in ("node", "label", "family", "own", "n"))
+        sig, more = (np.stack(t.column(c).to_numpy()) for c in ("sig", "more"))
+        within = t.column("low")[0].as_py() == t.column("high")[0].as_py()
+        out: list[tuple] = []
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
+            ok = (label[j] != label[i]) & (family[j] != family[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))
+            # a node's family is compared with its own lead already
+            ok &= (family[j] != node[i]) & (family[i] != node[j])
+            if not within:
+                ok &= own[j] != own[i]
+            j = j[ok]
+            if len(j):
+                agree = (sig[j] == sig[i]).sum(axis=1)
+                j, agree = j[agree >= least], agree[agree >= least]
+                j = j[agree + (more[j] == more[i]).sum(axis=1) >= least_all]
+                out += [(min(node[i], x), max(node[i], x)) for x in node[j]]
+        return out
+
+    rows = met.select("list", "low", "high", "node", "label", "family", "own", "n", "sig", "more").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    pairs = rows.mapInArrow(lambda batches: by_group(batches, ("list", "low", "high"), near), f"a {id_type}, b {id_type}").distinct()
+    return pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"))
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
