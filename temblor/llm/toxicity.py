@@ -3,8 +3,9 @@
 Features are the distinct hashed words, bigrams and skip-grams (one or two
 words left out) of a text, lower-cased A-Z and cut at punctuation; a word also
 counts by its stems, its first 4, 5 and 6 bytes, so that inflected forms share
-what is learned.  Coordinates in fewer than ``min_rows`` rows of the sample are
-left out.  FTRL-proximal keeps a learning rate for each coordinate and sets weak
+what is learned.  Coordinates in fewer than ``min_rows`` rows of the sample, and those whose
+share of positive rows is within ``screen`` standard errors of the overall share, are left
+out by a Spark aggregation, so that little state is kept and sent.  FTRL-proximal keeps a learning rate for each coordinate and sets weak
 coordinates to exactly zero (L1), so that the weights are few; they are
 broadcast, bounded by ``dims``, and the score is one map over whole texts.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches
+from .frames import bounded_sample, map_batches
 from .textkernel import FOLD, SPACE, Words, slices, utf8
 
 U64 = np.uint64
@@ -76,29 +77,30 @@ def sigmoid(x):
 
 
 class Ftrl:
-    def __init__(self, dims: int, alpha: float, beta: float, l1: float, l2: float):
-        self.z, self.n = np.zeros(dims + 1), np.zeros(dims + 1)
+    """State z, n of the coordinates; the last one is the bias, which has no L1 term."""
+
+    def __init__(self, alpha: float, beta: float, l1: float, l2: float):
+        self.z = self.n = np.zeros(1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.dims = dims
 
     def weights(self, i: np.ndarray) -> np.ndarray:
-        z, l1 = self.z[i], np.where(i == self.dims, 0.0, self.l1)
+        z, l1 = self.z[i], np.where(i == len(self.z) - 1, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2))
 
-    def learn(self, i: np.ndarray, label: float, weight: float) -> None:
+    def learn(self, i: np.ndarray, label: float) -> None:
         """One row with distinct coordinates i, all of value 1."""
         w = self.weights(i)
-        g = (sigmoid(w.sum()) - label) * weight
+        g = sigmoid(w.sum()) - label
         n = self.n[i]
         self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[i] = n + g * g
 
 
-def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, rounds: int = 4, shards: int = 4, dims: int = 1 << 21, min_rows: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
+def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, rounds: int = 4, shards: int = 4, dims: int = 1 << 20, min_rows: int = 4, screen: float = 3.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
     """Weights from rows (doc_id, text, label of 0 or 1)."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
-    rows = rows.orderBy("h", "text").limit(max_rows)
+    rows = bounded_sample(rows, max_rows)
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -113,25 +115,29 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
         n, positive = (int(v or 0) for v in rows.agg(F.count("y"), F.sum("y")).first())
         if not n:
             return Model(np.array([dims]), np.zeros(1, np.float32), dims)
-        z, s = np.zeros(dims + 1), np.zeros(dims + 1)
-        often = rows.select(F.explode("x").alias("i")).groupBy("i").count().where(F.col("count") >= min_rows).select("i").toPandas()["i"].to_numpy()
-        frequent = np.zeros(dims + 1, bool)
-        frequent[often] = True
-        frequent = spark.sparkContext.broadcast(np.packbits(frequent))
+        # Coordinates whose rows have more or fewer positive labels than chance explains.
+        rate = min(max(positive / n, 1 / (n + 1)), n / (n + 1))
+        met = rows.select(F.explode("x").alias("i"), "y").groupBy("i").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= min_rows)
+        often = met.where(F.abs(F.col("p") - rate * F.col("n")) >= screen * F.sqrt(rate * (1 - rate) * F.col("n"))).select("i").toPandas()["i"].to_numpy(np.int64)
+        # The state has a place for each usable coordinate only; the bias is the last.
+        used = np.append(np.sort(often[often != dims]), dims)
+        places = spark.sparkContext.broadcast(used)
+        z, s = np.zeros(len(used)), np.zeros(len(used))
         for _ in range(rounds):
             state = spark.sparkContext.broadcast((z, s))
 
             def learn(batches):
-                m = Ftrl(dims, alpha, beta, l1, l2)
+                m, known = Ftrl(alpha, beta, l1, l2), places.value
                 m.z, m.n = (x.copy() for x in state.value)
-                touched, usable = np.zeros(dims + 1, bool), np.unpackbits(frequent.value)[: dims + 1].astype(bool)
+                touched = np.zeros(len(known), bool)
                 for batch in batches:
                     ys, xs = batch.column(1).to_pylist(), batch.column(2)
                     for k in np.argsort(batch.column(0).to_numpy()):
-                        i = xs[k].values.to_numpy()
-                        i = i[usable[i]]
+                        x = xs[k].values.to_numpy()
+                        i = np.searchsorted(known, x)
+                        i = i[known[i] == x]
                         touched[i] = True
-                        m.learn(i, ys[k], 1.0)
+                        m.learn(i, ys[k])
                 i = np.flatnonzero(touched)
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(m.z[i] - state.value[0][i]), pa.array(m.n[i] - state.value[1][i])], names=["i", "z", "n"])
@@ -145,11 +151,11 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
             state.unpersist()
     finally:
         rows.unpersist()
-    m = Ftrl(dims, alpha, beta, l1, l2)
+    m = Ftrl(alpha, beta, l1, l2)
     m.z, m.n = z, s
-    w = m.weights(np.arange(dims + 1)).astype(np.float32)
+    w = m.weights(np.arange(len(used))).astype(np.float32)
     i = np.flatnonzero(w)
-    return Model(i, w[i], dims)
+    return Model(used[i], w[i], dims)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
