@@ -13,7 +13,7 @@ that a pair at the wanted similarity is missed with a chance of at most ``MISS``
 Only connectedness matters, so no group is expanded into all its pairs:
 
 1. in each list the node that shares most with others leads; every node is
-   compared with its best leader.  The nodes of one leader are a family, and are compared
+   compared with the most central of its leaders.  The nodes of one leader are a family, and are compared
    with each other by their differences from the leader;
 2. then pairs of one list that are in different components and families are compared.
 
@@ -260,10 +260,11 @@ def assign(docs: DataFrame, percent: int = 85) -> DataFrame:
     leads = nodes.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig"), F.col("more").alias("lead_more"), F.col("n").alias("lead_n"))
     # Round 1.  The node with the longest lists is most likely the one that its group was copied from.
     central = lists.join(lists.groupBy("node").agg(F.sum("size").alias("weight")), "node")
-    heads = central.groupBy("list").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top")).select("list", (-F.col("top.node")).alias("lead"))
-    first = lists.join(heads, "list").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("n_met"))
+    heads = central.groupBy("list").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top")).select("list", (-F.col("top.node")).alias("lead"), "top.weight")
+    first = lists.join(heads, "list").where("node != lead").groupBy("node", "lead").agg(F.max("weight").alias("weight"))
     first = first.join(nodes, "node").join(leads, "lead").where(close).withColumn("m", matches("sig", "lead_sig"))
-    best = first.groupBy("node").agg(F.max(F.struct("m", F.col("lead"))).alias("top")).select("node", F.col("top.lead").alias("lead"))
+    # The lead that most nodes know makes large families, which need no pairs; likeness comes second.
+    best = first.groupBy("node").agg(F.max(F.struct("weight", "m", F.col("lead"))).alias("top")).select("node", F.col("top.lead").alias("lead"))
     tried = stored(compared(best, docs, percent), "tried")
     links = tried.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(families(tried, percent))
     links = stored(links.unionByName(members.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
