@@ -160,13 +160,25 @@ def episode_gate(spark, sf_dir):
     return g.where("before is null or t - before >= 2 * 86400").select("event_id", "zone")
 
 
+def chains(resolved):
+    """fid, i and the lowest probability of the thresholds up to i."""
+    c = resolved.select("fid", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
+    c = c.select("fid", "i", F.round(F.expr("p * (1.2D - 0.3D * ((fid + i) % 3))"), 4).alias("raw"))
+    return c.select("fid", "i", F.min("raw").over(Window.partitionBy("fid").orderBy("i")).alias("p")).where("p >= 0.001")
+
+
 @query(f"""WITH {RESOLVED}, k AS (SELECT range AS i FROM range(4)), c AS (SELECT fid, i, round(p * (1.2 - 0.3 * ((fid + i) % 3)), 4) AS raw FROM resolved, k WHERE fid % 10 = 0)
 SELECT fid, i, least(raw, min(raw) OVER (PARTITION BY fid ORDER BY i)) AS p FROM c QUALIFY p >= 0.001""")
 def probability_chain(spark, sf_dir):
     """Probabilities of higher thresholds never exceed those of lower ones."""
-    c = resolved(spark, sf_dir).where("fid % 10 = 0").select("fid", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
-    c = c.select("fid", "i", F.round(F.expr("p * (1.2D - 0.3D * ((fid + i) % 3))"), 4).alias("raw"))
-    return c.select("fid", "i", F.min("raw").over(Window.partitionBy("fid").orderBy("i")).alias("p")).where("p >= 0.001")
+    return chains(resolved(spark, sf_dir).where("fid % 10 = 0"))
+
+
+@query(f"""WITH {RESOLVED}, k AS (SELECT range AS i FROM range(4)), c AS (SELECT fid, i, round(p * (1.2 - 0.3 * ((fid + i) % 3)), 4) AS raw FROM resolved, k)
+SELECT fid, i, least(raw, min(raw) OVER (PARTITION BY fid ORDER BY i)) AS p FROM c QUALIFY p >= 0.001""")
+def probability_chain_all(spark, sf_dir):
+    """The chain of every forecast; probability_chain has those of every tenth."""
+    return chains(resolved(spark, sf_dir))
 
 
 @query(f"""WITH {PER_ZONE_DAY}, d AS (SELECT *, day - min(day) OVER (PARTITION BY zone) AS age, sum(n) OVER (PARTITION BY zone) AS total, sum(1 / (day - first_day + 1.0)) OVER (PARTITION BY zone) AS norm FROM (SELECT *, min(day) OVER (PARTITION BY zone) AS first_day FROM zd))

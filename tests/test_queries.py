@@ -149,3 +149,9 @@ def test_model_bands(spark):
 
 def test_swarm_query(spark):
     assert registry.QUERIES["swarm_clusters"](spark, SF).where("n < 1").count() == 0
+
+
+def test_every_forecast_has_its_chain(spark):
+    got = {r.fid for r in registry.QUERIES["probability_chain_all"](spark, SF).select("fid").distinct().collect()}
+    want = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey * 37 % 100 > 0").collect()}
+    assert got == want
