@@ -17,8 +17,9 @@ meet no partner.  The sketches are broadcast only if they are
 at most ``BROADCAST_ROWS`` rows; otherwise they are joined by a shuffle.
 
 Defined results: null or empty texts match nothing; items of fewer than five
-words are too short to be evidence and match nothing; repeated rows each count
-as themselves; several items of equal text all match.  Other columns are
+words are too short to be evidence and match nothing; repeated documents each
+count as themselves; rows of one item_id are one item, which has the distinct
+shingles of them all; several items of equal text all match.  Other columns are
 ignored.
 """
 
@@ -57,6 +58,11 @@ def plain_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.array_distinct(F.transform(heads, lambda x, i: F.array_join(F.slice(F.col("__w"), i + 1, F.lit(K)), " ")))).drop("__w")
 
 
+def by_item(items: DataFrame) -> DataFrame:
+    """item and ``s``, the distinct shingles of all rows of the item."""
+    return items.select("item", F.explode_outer("s").alias("x")).groupBy("item").agg(F.collect_set("x").alias("s"))
+
+
 def least_matches(sketch: int, containment: float) -> int:
     """The largest t with P(Binomial(sketch, containment) < t) <= MISS, 1 at least."""
     total = 0.0
@@ -69,7 +75,7 @@ def least_matches(sketch: int, containment: float) -> int:
 
 def sketches(items: DataFrame, containment: float) -> DataFrame:
     """item, shingle hash, and the least number of matches of the item's size partition."""
-    sized = hashed_shingles(items.select("item", "text"), "text", "s").withColumn("s", F.array_distinct("s"))
+    sized = by_item(hashed_shingles(items.select("item", "text"), "text", "s"))
     sized = sized.withColumn("part", F.floor(F.log2(F.greatest(F.size("s"), F.lit(1)))).cast("int"))
     # Sketch size of a partition: its smallest item's number of shingles, SKETCH at most.
     k = F.least(F.lit(SKETCH), F.pow(F.lit(2.0), F.col("part")).cast("int"))
@@ -92,7 +98,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8)
     pairs = stored(found.select("k1", "k2", "item"), "candidates")
     keys = small(pairs.select("k1", "k2").distinct())
     texts = plain_shingles(marked.join(keys, ["k1", "k2"], "left_semi"), "text", "s").withColumn("row", F.monotonically_increasing_id())
-    whole = plain_shingles(items, "text", "s").select("item", F.size("s").alias("n_item"), F.explode_outer("s").alias("shingle"))
+    whole = by_item(plain_shingles(items, "text", "s")).select("item", F.size("s").alias("n_item"), F.explode_outer("s").alias("shingle"))
     exact = texts.select("row", "doc_id", "k1", "k2", F.explode_outer("s").alias("shingle")).join(small(stored(whole, "items")), "shingle")
     exact = exact.join(small(pairs.distinct()), ["k1", "k2", "item"], "left_semi")
     exact = exact.groupBy("row", "doc_id", "k1", "k2", F.col("item").alias("item_id"), "n_item").agg(F.count("*").alias("n_shared"))

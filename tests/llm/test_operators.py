@@ -268,6 +268,18 @@ def test_decontamination(spark, docs, none):
     assert decontamination.find_leaks(none, items).count() == 0 and decontamination.find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_items(spark):
+    """Rows of one item_id are one item: equal rows count once, different ones together."""
+    rng = random.Random(6)
+    item, a, b = sentence(rng, 40), sentence(rng, 40), sentence(rng, 40)
+    items = spark.createDataFrame([(1, item), (1, item), (2, a), (2, b)], "item_id long, text string")
+    half = " ".join(item.split(" ")[:22])
+    df = spark.createDataFrame([(1, half), (2, item), (3, a), (4, a + " | " + b)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontamination.find_leaks(df, items).collect()}
+    assert got == {(2, 1, 36, 36), (4, 2, 72, 72)}
+    assert sorted(r.doc_id for r in decontamination.clean(df, items).collect()) == [1, 3]
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<html lang='en'><title>T &amp; U</title><p>One<br>two<script>x</script></p><a href='/b'>b</a>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("record_id", F.lit("x"))
     r = warc.derive(warc.responses(pages), keep=("page_id",))
