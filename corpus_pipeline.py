@@ -22,8 +22,10 @@ LEAK = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts in no learned language."""
+    """Rejects texts without letters and texts in no learned language; if none was learned, only the former."""
     filters = language_id.fit(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    if not filters.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.predict(docs, filters, keep=docs.columns)
     return found.where((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score")
 

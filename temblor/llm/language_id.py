@@ -2,21 +2,20 @@
 
 Each language has a Bloom filter of the character n-grams typical of it.  The
 filters are bit-sliced: one table holds, for each bit position, the mask of the
-languages whose filter has that bit, so that the AND of an n-gram's few table
-entries gives all languages containing it at once.  For each language a text's
+languages whose filter has that bit (a word for each 64 languages), so that the
+AND of an n-gram's few table entries gives all languages containing it at once.  For each language a text's
 hits are counted (the popcount of its bit over the n-grams) and corrected for
 the share of hits that the filter's fill alone would give; the largest
 corrected share decides.
 
-Learning takes a bounded sample (``max_rows`` rows, chosen by a hash of the id
-and cut to ``max_chars`` characters for fitting only) of the labelled rows; predictions
-read whole texts.  An n-gram belongs to each language in which its rate is at
+Learning takes a bounded sample (``max_rows`` rows, chosen by a hash of the id)
+of the labelled rows; it and predictions read whole texts.  An n-gram belongs to each language in which its rate is at
 least ``share`` times its highest rate in any language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language first in alphabetical order; rows with a null language
-are not learned from; without any row to learn from, every text is ``und``.  Up
-to 64 languages, the most frequent ones.  Other columns are ignored.
+are not learned from; without any row to learn from, every text is ``und``.  All
+languages of the sample are learned.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +42,7 @@ LETTERS[128:] = np.arange(128, 256)
 
 @dataclass(frozen=True)
 class Filters:
-    """``table[p]``: mask of the languages whose filter has bit p; ``fill``: share of set bits of each."""
+    """``table[w, p]``: mask of the languages 64 w to 64 w + 63 whose filter has bit p; ``fill``: share of set bits of each."""
 
     langs: tuple[str, ...]
     table: np.ndarray
@@ -79,10 +78,10 @@ def positions(h: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
     return [((a + U64(i) * step) & U64(bits - 1)).astype(np.int64) for i in range(probes)]
 
 
-def fit(labelled: DataFrame, max_rows: int = 12_000, max_chars: int = 4_000, most: int = 30_000, share: float = 0.35, bits: int = 1 << 20, probes: int = 3, lang: str = "lang") -> Filters:
+def fit(labelled: DataFrame, max_rows: int = 12_000, most: int = 30_000, share: float = 0.35, bits: int = 1 << 20, probes: int = 3, lang: str = "lang") -> Filters:
     """Filters from rows (text, lang).  The n-gram counts are a Spark aggregation; ``most`` n-grams a language are kept, which bounds what the driver receives."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.substring("text", 1, max_chars).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     rows = bounded_sample(rows, max_rows)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,7 +93,7 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, max_chars: int = 4_000, mos
         return pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.string()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), pa.array(np.concatenate([o[2] for o in out]), pa.int64())], names=["lang", "gram", "n"])
 
     grams = map_batches(rows.repartition(16, "h").select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
-    total = grams.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(64)
+    total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = grams.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
     typical = rated.join(best, "gram").where(F.col("rate") >= share * F.col("best"))
@@ -106,11 +105,11 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, max_chars: int = 4_000, mos
         got = kept.where(F.col("lang") == name).orderBy(F.desc("rate"), "gram").limit(most).select("gram").toPandas()
         parts.append(got["gram"].to_numpy(np.int64).view(U64))
     kept.unpersist()
-    table = np.zeros(bits, U64)
+    table = np.zeros((-(-len(langs) // 64), bits), U64)
     for i, h in enumerate(parts):
         for p in positions(h, bits, probes):
-            table[p] |= U64(1 << i)
-    fill = np.array([((table >> U64(i)) & U64(1)).mean() for i in range(len(langs))]) if langs else np.zeros(0)
+            table[i // 64, p] |= U64(1 << i % 64)
+    fill = np.array([((table[i // 64] >> U64(i % 64)) & U64(1)).mean() for i in range(len(langs))])
     return Filters(langs, table, fill, probes)
 
 
@@ -118,13 +117,15 @@ def shares(f: Filters, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Corrected share of the n-grams of each text (rows) that each language (columns) contains."""
     n_rows = len(offsets) - 1
     h, row = ngrams(buf, offsets)
-    mask = np.full(len(h), ~U64(0))
-    for p in positions(h, len(f.table), f.probes):
-        mask &= f.table[p]
+    at = positions(h, f.table.shape[1], f.probes)
     n = np.maximum(np.bincount(row, minlength=n_rows), 1)
     out = np.zeros((n_rows, len(f.langs)))
     for i in range(len(f.langs)):
-        hits = np.bincount(row[(mask >> U64(i)) & U64(1) == 1], minlength=n_rows)
+        if i % 64 == 0:
+            mask = np.full(len(h), ~U64(0))
+            for p in at:
+                mask &= f.table[i // 64, p]
+        hits = np.bincount(row[(mask >> U64(i % 64)) & U64(1) == 1], minlength=n_rows)
         chance = f.fill[i] ** f.probes
         out[:, i] = np.clip((hits / n - chance) / (1 - chance), 0, 1)
     return out

@@ -163,6 +163,18 @@ def test_language_id(spark, docs, none):
     assert language_id.predict(none, f).count() == 0
 
 
+def test_language_id_of_many_languages(spark):
+    """Each of 70 languages is learned, also if its words stand only behind a long head without letters."""
+    rng = random.Random(8)
+    vocabulary = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(70)}
+    text = lambda k: "1 " * 2500 * (k == "l69") + " ".join(rng.choices(vocabulary[k], k=60))
+    rows = [(i, text(k), k, "s", 0) for i, k in enumerate(sorted(vocabulary) * 4)]
+    f = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert f.langs == tuple(sorted(vocabulary))
+    new = spark.createDataFrame([(i, text(k), k, "s", 0) for i, k in enumerate(sorted(vocabulary))], SCHEMA)
+    assert all(r.lang_pred == r.lang for r in language_id.predict(new, f, keep=["lang"]).collect())
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     rows = [(i, sentence(rng, 30) + (" vile" if i % 3 == 0 else "") + " " + sentence(rng, 30), int(i % 3 == 0)) for i in range(900)]

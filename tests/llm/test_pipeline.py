@@ -34,3 +34,8 @@ def test_run(spark):
     want = {i: hashlib.sha256(",".join(map(str, lib.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in docs}
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [(1, "some text", None)]
