@@ -171,7 +171,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = [i for i, r in enumerate(rules) if r.base]
     label = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
     spans = find_spans(docs, rules).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
-    spans = spans.select("k1", "k2", *(F.size(F.filter("s", lambda x, i=i: x["kind"] == i)).alias(f"n_{rules[i].kind}") for i in base), F.array_join(F.transform(F.filter("s", lambda x: x["kind"].isin(base)), label), ",").alias("base"), F.array_join(F.transform("s", label), ",").alias("spans"))
+    of_kind = lambda i: F.size(F.filter("s", lambda x: x["kind"] == i))
+    spans = spans.select("k1", "k2", *(of_kind(i).alias(f"n_{rules[i].kind}") for i in base), F.array_join(F.transform(F.filter("s", lambda x: x["kind"].isin(base)), label), ",").alias("base"), F.array_join(F.transform("s", label), ",").alias("spans"))
     counts = [F.coalesce(f"n_{rules[i].kind}", F.lit(0)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
     rows = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text"))).join(spans, ["k1", "k2"], "left")
     return rows.select("doc_id", *counts, F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))

@@ -152,6 +152,100 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert got == brute_near(rows, 85)
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = "".join(rng.choice("klmnopqrst") for _ in range(6))
+    return out
+
+
+def test_near_dedup_of_large_families(spark):
+    """Two versions of a text with hundreds of edited and cut copies each, most of them too far from their source, and copies of copies."""
+    rng = random.Random(12)
+    first = sentence(rng, 110).split(" ")
+    second = edited(rng, first, 4)
+    texts = []
+    for source in (first, second):
+        for _ in range(220):
+            one = edited(rng, source, rng.randint(1, 7))
+            texts += [one, edited(rng, one, 1)] if rng.random() < 0.2 else [one]
+        texts += [source[: rng.randint(60, 109)] for _ in range(40)] + [source[rng.randint(1, 30) :] for _ in range(40)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in near_dedup.assign(spark.createDataFrame(rows, SCHEMA).repartition(4), 85).collect()}
+    assert got == brute_near(rows, 85)
+
+
+def test_near_dedup_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, 50) for _ in range(3))
+    rows = [(7, a), (7, b), (7, a), (8, c), (9, c + " end"), (None, a), (10, None), (11, "")]
+    out = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "__key"]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(7, a), (7, b), (8, c), (None, a), (10, None), (11, "")])
+
+
+def test_ids_of_text_and_clashing_names(spark):
+    rng = random.Random(14)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [("x1", a), ("x2", a), ("12", b), (None, b), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("__k1", "__k2", "__key", "__score", "__lang", "score", "lang_pred", "lang")})
+    items = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert Counter(r.doc_id for r in exact_dedup.dedup(df).collect()) == Counter(["x1", "12", None])
+    assert Counter(r.doc_id for r in near_dedup.dedup(df).collect()) == Counter(["x1", "12", None, None])
+    assert Counter(r.doc_id for r in decontamination.clean(df, items).collect()) == Counter(["x1", "x2", None])
+    assert {r.doc_id: r.component_id for r in near_dedup.assign(df).collect()} == {"x1": "x1", "x2": "x1", "12": "12", None: None}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove(df).where("doc_id is not null").collect()} == {"x1": 60, "x2": 60, "12": 60}
+    assert secret_scan.scan(df).count() == 5
+    for out in (exact_dedup.dedup(df), near_dedup.dedup(df), decontamination.clean(df, items)):
+        assert out.columns == df.columns and {r["__k1"] for r in out.collect()} == {"__k1"}
+
+
+def plain_shares(texts, langs, share=0.35, sizes=(2, 3, 4)):
+    """Rates of n-grams by exact sets: (typical n-grams of each language, n-grams of a text)."""
+
+    def grams(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        out = []
+        for n in sizes:
+            for i in range(len(b) - n + 1):
+                g = b[i : i + n]
+                if 32 not in g[1:-1] and not (g[0] == 32 == g[-1]):
+                    out.append((n, g))
+        return out
+
+    counts = defaultdict(Counter)
+    for t, lang in zip(texts, langs, strict=True):
+        counts[lang].update(grams(t))
+    rate = {k: {g: n / total for g, n in c.items() if n >= 3} for k, c in counts.items() if (total := sum(n for n in c.values() if n >= 3))}
+    best = Counter()
+    for r in rate.values():
+        for g, x in r.items():
+            best[g] = max(best[g], x)
+    return {k: {g for g, x in r.items() if x >= share * best[g]} for k, r in rate.items()}, grams
+
+
+def test_language_id_by_exact_sets(spark):
+    """The Bloom filters' decisions against exact sets of n-grams, on all documents."""
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    import zlib
+
+    learned = [r for r in rows if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    typical, grams = plain_shares([r.text for r in learned], [r.lang for r in learned])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    close = same = n = 0
+    for r in rows:
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        g = grams(r.text)
+        share = {k: sum(x in s for x in g) / max(1, len(g)) for k, s in typical.items()}
+        n += 1
+        same += max(sorted(share), key=share.get) == got[r.doc_id][0]
+        close += abs(max(share.values()) - got[r.doc_id][1]) < 0.05
+    assert same >= 0.99 * n and close >= 0.95 * n
+
+
 def test_language_id(spark, docs, none):
     got = QUERIES["op2_language_id"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -189,6 +283,45 @@ def test_toxicity(spark, none):
     assert toxicity.predict(none, m).count() == 0
 
 
+def test_toxicity_by_a_plain_loop(spark):
+    """One task, one round: the weights are those of FTRL-proximal written row by row."""
+    import math
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=3)), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    m = toxicity.fit(df, rounds=1, shards=1, dims=1 << 21)
+    order = [r.doc_id for r in df.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()]
+    import numpy as np
+
+    x = {}
+    for i, text, _ in rows:
+        b = np.frombuffer(text.encode(), np.uint8)
+        x[i] = sorted(set(toxicity.features(b, np.array([0, len(b)]), 1 << 21)[0].tolist()))
+    often = Counter(k for xs in x.values() for k in xs)
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if k >= 0 and abs(z[k]) <= 2.0 else -(z[k] - (math.copysign(2.0, z[k]) if k >= 0 else 0)) / ((1 + math.sqrt(n[k])) / 0.5 + 0.1)
+    for i in order:
+        at = [k for k in x[i] if often[k] >= 4] + [-1]  # -1: the bias, without L1
+        w = {k: weight(k) for k in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - rows[i][2]
+        for k in at:
+            z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.5 * w[k]
+            n[k] += g * g
+    got = dict(zip(m.index.tolist(), m.weights.tolist(), strict=True))
+    want = {(1 << 21) if k < 0 else k: weight(k) for k in z}
+    assert all(abs(got.get(k, 0.0) - v) < 1e-4 for k, v in want.items()) and set(got) <= set(want)
+
+
+def test_toxicity_held_out(spark):
+    """Quality of the query on labels it has not seen, rows with null labels and texts left out."""
+    got = QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic is not null"), "doc_id").select("score", "toxic").collect()
+    pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert auc >= 0.9
+
+
 def fuzz():
     rng = random.Random(5)
     alphabet = "abc  \n\t'’éèÅ①ﬁ漢字😀\x00\x1c\x85 　▁<|endoftext|>s0123 ½²,.;—AKIA_"
@@ -205,13 +338,48 @@ def test_bpe_is_the_library(spark, texts, docs, none):
 
     path = tokenizer("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    for t, (ids, text) in zip(texts, bpe.codec(path).encode(texts), strict=True):
+    codec = bpe.codec(path)
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
         assert ids == ",".join(map(str, want))
-        assert text == lib.decode(want, skip_special_tokens=False)
+        assert codec.decode(ids) == lib.decode(want, skip_special_tokens=False)
+    rng = random.Random(9)  # any ids, which need not end at borders of characters
+    for _ in range(300):
+        some = [rng.randrange(lib.get_vocab_size()) for _ in range(rng.randint(0, 9))]
+        assert codec.decode(",".join(map(str, some))) == lib.decode(some, skip_special_tokens=False)
     rows = bpe.encode(docs, path).collect()
     assert len(rows) == len(awkward()) and all(r.decoded == "" and r.ids == [] for r in rows if r.doc_id in (5, 6))
     assert bpe.encode_digests(none, path).count() == 0
+    back = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t or "") for i, t, *_ in awkward())
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_queries_on_whole_documents(spark):
+    """The columns of op3, op7, op8 and op9 on all documents, by brute force and the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in rows}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op7_bpe"](spark, SF).collect()}
+    assert got == {i: (len(x), sha(",".join(map(str, x))), sha(lib.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op9_token_counts"](spark, SF).collect()}
+    assert got == {i: (len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in rows}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op3_substring_dedup"](spark, SF).collect()}
+    assert got == {i: (n, gone, sha(kept)) for i, n, gone, kept in brute_substring(rows)}
+    want = {}
+    for i, t in rows:
+        found = secret_scan.brute_force(t)
+        base = [x for x in found if secret_scan.RULES[x[1]].base]
+        label = lambda xs: ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in xs)
+        want[i] = (*(sum(k == j for _, k, _ in base) for j in range(3)), sha(label(base)), label(found))
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in QUERIES["op8_secret_scan"](spark, SF).collect()} == want
 
 
 def test_bpe_forgets_without_harm(texts):
@@ -270,13 +438,13 @@ def test_decontamination(spark, docs, none):
     changed = item.split(" ")
     changed[0] = "zzz"
     half = item.split(" ")[:20]
-    items = spark.createDataFrame([(1, item), (2, other), (3, "too short"), (4, None), (5, item)], "item_id long, text string")
-    rows = [(200, sentence(rng, 5000) + " " + item.upper().replace(" ", ", ", 3) + " " + sentence(rng, 5000)), (201, " ".join(changed)), (202, " ".join(half)), (203, sentence(rng, 100))]
+    items = spark.createDataFrame([(1, item), (2, other), (3, "Quite short"), (4, None), (5, item), (6, " .")], "item_id long, text string")
+    rows = [(200, sentence(rng, 5000) + " " + item.upper().replace(" ", ", ", 3) + " " + sentence(rng, 5000)), (201, " ".join(changed)), (202, " ".join(half)), (203, sentence(rng, 100)), (204, "that is quite, short indeed"), (205, "quite a short one")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, items).collect()}
-    assert got == {(200, 1), (200, 5), (201, 1), (201, 5)}
+    assert got == {(200, 1), (200, 5), (201, 1), (201, 5), (204, 3)}
     kept = decontamination.clean(df, items)
-    assert kept.count() == df.count() - 2 and kept.columns == df.columns
+    assert kept.count() == df.count() - 3 and kept.columns == df.columns
     assert decontamination.find_leaks(none, items).count() == 0 and decontamination.find_leaks(df, items.limit(0)).count() == 0
 
 
