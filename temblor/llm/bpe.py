@@ -12,6 +12,8 @@ A token may follow another if byte-pair merging of their joined bytes would
 leave the border between them alone; this is decided by undoing their merges
 from the latest to the earliest.
 
+Decoding joins the bytes of each id of a text's whole sequence.
+
 Defined results: a null text counts as empty and gives no ids; a special token's
 string inside a text becomes its id, as the file's own library has it by
 default; rows are independent; extra columns are ignored.  One map, no shuffle,
@@ -71,6 +73,7 @@ class Codec:
         self.sizes = {b: tuple(sorted(x | {2, 1}, reverse=True)) for b, x in sizes.items() if len(b) == 3}
         self.specials = specials
         self.bytes |= {i: s.encode() for s, i in specials.items()}
+        self.bytes_of_name = {str(i): b for i, b in self.bytes.items()}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.words = regex.compile(PATTERN)
         self.fits: dict[int, bool] = {}
@@ -161,10 +164,8 @@ class Codec:
                 fresh.append((w.encode(), w))
         fresh.sort()
         text_of = list(map(str, self.id_of_rank))
-        for (raw, w), tokens in zip(fresh, self.encode_sorted([b for b, _ in fresh]), strict=True):
+        for (_, w), tokens in zip(fresh, self.encode_sorted([b for b, _ in fresh]), strict=True):
             ids = ",".join([text_of[t] for t in tokens])
-            if self.decode_bytes([self.id_of_rank[t] for t in tokens]) != raw:
-                raise ValueError(f"no round trip for {w!r}")
             if len(w) <= CACHE_CHARS and len(known) < CACHE_WORDS:
                 known[w] = ids
             else:
@@ -182,14 +183,12 @@ class Codec:
             at = m.end()
         return out + self.words.findall(text[at:])
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in ids])
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids joined by commas, decoded text) of each text.
+    def decode(self, ids: str) -> str:
+        """The text of ids joined by commas, special ids included; bytes that are no UTF-8 become U+FFFD, as the library has it."""
+        return b"".join(map(self.bytes_of_name.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
-        Each distinct word's ids are decoded once, in ``learn``; a text decodes to the sequence of these."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """Ids, joined by commas, of each text."""
         cut = [self.pieces(t) for t in texts]
         words = {w for piece in cut for w in piece if isinstance(w, str)}
         extra = self.learn(words)
@@ -198,11 +197,9 @@ class Codec:
         for piece in cut:
             try:
                 ids = [known[w] for w in piece]
-                decoded = "".join(piece)
             except (KeyError, TypeError):
                 ids = [(self.known.get(w) or self.older.get(w) or extra[w]) if isinstance(w, str) else str(self.specials[w.group()]) for w in piece]
-                decoded = "".join([w if isinstance(w, str) else w.group() for w in piece])
-            out.append((",".join(ids), decoded))
+            out.append(",".join(ids))
         return out
 
 
@@ -215,6 +212,18 @@ def codec(path: str) -> Codec:
     return Codec(model["vocab"], merges, {t["content"]: t["id"] for t in spec.get("added_tokens", [])})
 
 
+def decode(rows: DataFrame, tokenizer_file: str) -> DataFrame:
+    """doc_id and text of rows (doc_id, ids); null ids count as none."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(tokenizer_file)
+        texts = [c.decode(",".join(map(str, ids or ()))) for ids in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows.select("doc_id", rows["ids"].cast("array<int>").alias("ids")), run, f"doc_id {id_type}, text string")
+
+
 def encode(docs: DataFrame, tokenizer_file: str, chars: int = 2 << 20) -> DataFrame:
     """doc_id, ids (array of int) and decoded text of each row; texts are taken in groups of about ``chars`` characters."""
     return _encode(docs, tokenizer_file, chars, digest=False)
@@ -239,7 +248,8 @@ def _encode(docs: DataFrame, tokenizer_file: str, chars: int, digest: bool) -> D
             while to < len(texts) and (to == at or size + len(texts[to]) <= chars):
                 size += len(texts[to])
                 to += 1
-            for ids, text in c.encode(texts[at:to]):
+            for ids in c.encode(texts[at:to]):
+                text = c.decode(ids)
                 if digest:
                     cols[0].append(ids.count(",") + 1 if ids else 0)
                     cols[1].append(sha(ids.encode()))
