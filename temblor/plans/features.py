@@ -61,19 +61,34 @@ def peak_depth(spark, sf_dir):
     return p.groupBy(size.alias("size")).agg(F.count("*").alias("sequences"), F.round(F.percentile("peak", 0.5), 6).alias("median_peak"), F.round(F.avg(F.col("peak") / F.col("n")), 6).alias("share"))
 
 
-SHAPES = "CASE WHEN n < 3 THEN 'short' WHEN late >= early + 0.3 THEN 'growing' WHEN early >= late + 0.3 THEN 'fading' WHEN top >= mean + 1 THEN 'spike' ELSE 'flat' END"
-
-
-@query(f"""WITH {QUAKES}, {AFTER}, r AS (SELECT event_id, magnitude, m, row_number() OVER (PARTITION BY event_id ORDER BY dt) AS k, count(*) OVER (PARTITION BY event_id) AS n FROM after),
-s AS (SELECT event_id, any_value(magnitude) AS magnitude, any_value(n) AS n, avg(m) FILTER (2 * k <= n) AS early, avg(m) FILTER (2 * k > n) AS late, max(m) AS top, avg(m) AS mean FROM r GROUP BY event_id)
-SELECT {SHAPES} AS shape, count(*) AS total, count(*) FILTER (top >= magnitude + 1) AS escalated, round(avg(top - magnitude), 6) AS gain FROM s GROUP BY 1""")
+#: The classes of what follows an event, first match.
+SHAPES = """CASE WHEN n IS NULL THEN 'isolated' WHEN n = 1 THEN 'single_follower'
+  WHEN n <= 3 THEN CASE WHEN least_step >= -0.15 THEN 'monotonic_up' WHEN most_step <= 0.15 THEN 'monotonic_down' ELSE 'short_oscillating' END
+  WHEN ups >= 3 AND top > magnitude THEN 'staircase_up' WHEN peak / n > 0.6 AND top > magnitude AND late > early + 0.05 THEN 'accelerating' WHEN peak / n > 0.6 AND top > magnitude THEN 'late_peak'
+  WHEN peak / n < 0.25 THEN 'early_peak_decay' WHEN n >= 5 AND top >= med + 1.5 THEN 'rumble_then_spike' ELSE 'oscillating' END"""
+
+
+@query(f"""WITH {QUAKES}, {AFTER}, r AS (SELECT event_id, magnitude, m, row_number() OVER w AS k, count(*) OVER (PARTITION BY event_id) AS n, round(m - coalesce(lag(m) OVER w, magnitude), 6) AS step FROM after WINDOW w AS (PARTITION BY event_id ORDER BY dt, other)),
+i AS (SELECT *, sum(CASE WHEN step < -0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY k) AS run FROM r),
+u AS (SELECT event_id, max(c) AS ups FROM (SELECT event_id, run, count(*) FILTER (step >= -0.05) AS c FROM i GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT event_id, min(k) - 1 AS peak FROM (SELECT event_id, k, m, max(m) OVER (PARTITION BY event_id) AS top FROM r) WHERE m = top GROUP BY 1),
+s AS (SELECT event_id, any_value(n) AS n, avg(step) FILTER (k <= n // 2) AS early, avg(step) FILTER (k > n // 2) AS late, min(step) AS least_step, max(step) AS most_step, max(m) AS top, median(m) AS med FROM r GROUP BY event_id),
+x AS (SELECT q.magnitude, s.*, ups, peak FROM quakes q LEFT JOIN s USING (event_id) LEFT JOIN u USING (event_id) LEFT JOIN p USING (event_id))
+SELECT {SHAPES} AS shape, count(*) AS total, count(*) FILTER (top > magnitude) AS escalated, count(*) FILTER (top >= magnitude + 1 - 1e-6) AS big_escalated, round(avg(top - magnitude) FILTER (top > magnitude), 6) AS gain FROM x GROUP BY 1""")
 def trajectory_shapes(spark, sf_dir):
-    """Sequences by shape: how many escalate, and by how much."""
+    """Sequences by shape of what follows: how many escalate, and by how much."""
     w = Window.partitionBy("event_id")
-    r = followers(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("dt")), "n": F.count("*").over(w)})
-    half = 2 * F.col("k") <= F.col("n")
-    s = r.groupBy("event_id").agg(F.first("magnitude").alias("magnitude"), F.first("n").alias("n"), F.avg(F.when(half, F.col("m"))).alias("early"), F.avg(F.when(~half, F.col("m"))).alias("late"), F.max("m").alias("top"), F.avg("m").alias("mean"))
-    return s.groupBy(F.expr(SHAPES).alias("shape")).agg(F.count("*").alias("total"), F.count_if(F.expr("top >= magnitude + 1")).alias("escalated"), F.round(F.avg(F.col("top") - F.col("magnitude")), 6).alias("gain"))
+    r = followers(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("dt", "other")), "n": F.count("*").over(w), "step": F.round(F.col("m") - F.coalesce(F.lag("m").over(w.orderBy("dt", "other")), "magnitude"), 6)})
+    r = r.withColumn("run", F.sum(F.when(F.col("step") < -0.05, 1).otherwise(0)).over(w.orderBy("k")))
+    r = r.withColumn("in_run", F.count_if(F.col("step") >= -0.05).over(Window.partitionBy("event_id", "run")))
+    half = F.col("k") <= F.expr("n div 2")
+    s = r.groupBy("event_id").agg(
+        F.first("n").alias("n"), F.avg(F.when(half, F.col("step"))).alias("early"), F.avg(F.when(~half, F.col("step"))).alias("late"), F.min("step").alias("least_step"), F.max("step").alias("most_step"),
+        F.max("m").alias("top"), F.percentile("m", 0.5).alias("med"), F.max("in_run").alias("ups"), (-F.max(F.struct("m", (-F.col("k")).alias("k")))["k"] - 1).alias("peak"),
+    )
+    x = quakes(spark, sf_dir).select("event_id", "magnitude").join(s, "event_id", "left")
+    gain = F.col("top") - F.col("magnitude")
+    return x.groupBy(F.expr(SHAPES).alias("shape")).agg(F.count("*").alias("total"), F.count_if(gain > 0).alias("escalated"), F.count_if(gain >= 1 - 1e-6).alias("big_escalated"), F.round(F.avg(F.when(gain > 0, gain)), 6).alias("gain"))
 
 
 PHASE = "2 * pi() * (t % 44712) / 44712.0::DOUBLE"
@@ -146,39 +161,67 @@ def storm_runs(spark, sf_dir):
     return s.withColumn("run", run).groupBy("metric", "run").agg(F.min("hour").alias("start"), F.count("*").alias("hours")).where("hours >= 2").drop("run")
 
 
-@query(f"""WITH {PER_ZONE_DAY} SELECT zone, day, CAST(coalesce(max(top) OVER (PARTITION BY zone ORDER BY day RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) >= 4.5 AS INT) AS label FROM zd""")
+#: Hours of the horizon of labels and of the trailing window of an episode, the small events it needs, and the magnitude that counts as big.
+HORIZON, TRAIL, SMALL, BIG = 72, 72, 3, 5.0
+#: The hours of each zone from its first event to its last.
+HOURS = "hours AS (SELECT zone, unnest(range(h0, h1 + 1)) AS hour FROM (SELECT zone, CAST(floor(min(t) / 3600) AS BIGINT) AS h0, CAST(floor(max(t) / 3600) AS BIGINT) AS h1 FROM z GROUP BY zone))"
+
+
+def zone_hours(z):
+    span = z.groupBy("zone").agg(F.floor(F.min("t") / 3600).alias("h0"), F.floor(F.max("t") / 3600).alias("h1"))
+    return span.select("zone", F.explode(F.sequence("h0", "h1")).alias("hour"))
+
+
+def hours_before(events, hours: int):
+    """zone, hour and the events' columns for each hour of ``hours`` before an event, its own second excluded: [t - hours, t)."""
+    first = F.ceil(F.col("t") / 3600 - hours)
+    return events.withColumn("hour", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col("t") / 3600) - 1))))
+
+
+@query(f"""WITH {ZONED}, {HOURS}, b AS (SELECT zone, t, magnitude FROM z WHERE magnitude >= {BIG})
+SELECT h.zone, h.hour, CAST(count(b.t) > 0 AS INT) AS label, coalesce(max(b.magnitude), 0) AS top FROM hours h LEFT JOIN b ON b.zone = h.zone AND h.hour * 3600 >= b.t - {HORIZON} * 3600 AND h.hour * 3600 < b.t GROUP BY 1, 2""")
 def occurrence_label(spark, sf_dir):
-    """Whether a zone has a strong event in the next three days."""
-    w = Window.partitionBy("zone").orderBy("day").rangeBetween(1, 3)
-    return per_zone_day(spark, sf_dir).select("zone", "day", (F.coalesce(F.max("top").over(w), F.lit(0.0)) >= 4.5).cast("int").alias("label"))
+    """Hours of a zone within the horizon before a big event, and its magnitude."""
+    z = zoned(spark, sf_dir)
+    b = hours_before(z.where(F.col("magnitude") >= BIG).select("zone", "t", "magnitude"), HORIZON).groupBy("zone", "hour").agg(F.max("magnitude").alias("top"))
+    return zone_hours(z).join(b, ["zone", "hour"], "left").select("zone", "hour", F.col("top").isNotNull().cast("int").alias("label"), F.coalesce("top", F.lit(0.0)).alias("top"))
 
 
-@query(f"""WITH {ZONED}, g AS (SELECT event_id, zone, t, lag(t) OVER (PARTITION BY zone ORDER BY t, event_id) AS before FROM z WHERE magnitude >= 4) SELECT event_id, zone FROM g WHERE before IS NULL OR t - before >= 2 * 86400""")
+@query(f"""WITH {ZONED}, {HOURS}, n AS (SELECT h.zone, h.hour, count(z.t) FILTER (z.magnitude < {BIG}) AS small, count(z.t) FILTER (z.magnitude >= {BIG}) AS big FROM hours h LEFT JOIN z ON z.zone = h.zone AND z.t >= (h.hour - {TRAIL}) * 3600 AND z.t <= h.hour * 3600 GROUP BY 1, 2)
+SELECT zone, hour, small FROM n WHERE small >= {SMALL} AND big = 0""")
 def episode_gate(spark, sf_dir):
-    """First strong events after two quiet days."""
-    g = zoned(spark, sf_dir).where("magnitude >= 4").withColumn("before", F.lag("t").over(Window.partitionBy("zone").orderBy("t", "event_id")))
-    return g.where("before is null or t - before >= 2 * 86400").select("event_id", "zone")
+    """Hours of a swarm: small events in the trailing window, and no big one yet.  Events are counted by the hours that see them."""
+    z = zoned(spark, sf_dir)
+    first = F.ceil(F.col("t") / 3600)
+    seen = z.withColumn("hour", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("t") / 3600 + TRAIL))))).groupBy("zone", "hour")
+    n = seen.agg(F.count_if(F.col("magnitude") < BIG).alias("small"), F.count_if(F.col("magnitude") >= BIG).alias("big"))
+    return zone_hours(z).join(n, ["zone", "hour"]).where((F.col("small") >= SMALL) & (F.col("big") == 0)).drop("big")
 
 
-def chains(resolved):
-    """fid, i and the lowest probability of the thresholds up to i."""
-    c = resolved.select("fid", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
-    c = c.select("fid", "i", F.round(F.expr("p * (1.2D - 0.3D * ((fid + i) % 3))"), 4).alias("raw"))
-    return c.select("fid", "i", F.min("raw").over(Window.partitionBy("fid").orderBy("i")).alias("p")).where("p >= 0.001")
+#: Thresholds of the chain.
+STEPS = (3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
 
 
-@query(f"""WITH {RESOLVED}, k AS (SELECT range AS i FROM range(4)), c AS (SELECT fid, i, round(p * (1.2 - 0.3 * ((fid + i) % 3)), 4) AS raw FROM resolved, k WHERE fid % 10 = 0)
-SELECT fid, i, least(raw, min(raw) OVER (PARTITION BY fid ORDER BY i)) AS p FROM c QUALIFY p >= 0.001""")
-def probability_chain(spark, sf_dir):
-    """Probabilities of higher thresholds never exceed those of lower ones."""
-    return chains(resolved(spark, sf_dir).where("fid % 10 = 0"))
+def chains(forecasts, rates):
+    """fid, threshold and probability of thresholds above ``seq_max``: that of escalation times the threshold's rate in the bin of
+    seq_max, never above that of a lower threshold; those below 0.001 are left out.  forecasts (fid, p, seq_max), rates (bin, threshold, rate)."""
+    c = forecasts.withColumn("bin", F.floor(F.col("seq_max") * 2) / 2).join(F.broadcast(rates), "bin").where("threshold > seq_max")
+    w = Window.partitionBy("fid").orderBy("threshold")
+    return c.select("fid", "threshold", F.min(F.round(F.col("p") * F.col("rate"), 4)).over(w).alias("p")).where("p >= 0.001")
 
 
-@query(f"""WITH {RESOLVED}, k AS (SELECT range AS i FROM range(4)), c AS (SELECT fid, i, round(p * (1.2 - 0.3 * ((fid + i) % 3)), 4) AS raw FROM resolved, k)
-SELECT fid, i, least(raw, min(raw) OVER (PARTITION BY fid ORDER BY i)) AS p FROM c QUALIFY p >= 0.001""")
-def probability_chain_all(spark, sf_dir):
-    """The chain of every forecast; probability_chain has those of every tenth."""
-    return chains(resolved(spark, sf_dir))
+CHAIN = f"""seq AS (SELECT fid, p, 2.5 + (fid % 30) / 10.0::DOUBLE AS seq_max FROM resolved), step AS (SELECT * FROM (VALUES {", ".join(f"({t}::DOUBLE)" for t in STEPS)}) AS t(threshold)),
+rates AS (SELECT floor(magnitude * 2) / 2 AS bin, threshold, round(avg(CASE WHEN top >= threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM (SELECT q.event_id, q.magnitude, coalesce(max(m), 0) AS top FROM quakes q LEFT JOIN after USING (event_id) GROUP BY 1, 2), step GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {RESOLVED}, {AFTER}, {CHAIN} SELECT fid, threshold, min(round(p * rate, 4)) OVER (PARTITION BY fid ORDER BY threshold) AS p
+FROM seq JOIN rates ON floor(seq_max * 2) / 2 = bin WHERE threshold > seq_max QUALIFY min(round(p * rate, 4)) OVER (PARTITION BY fid ORDER BY threshold) >= 0.001""")
+def probability_chain(spark, sf_dir):
+    """Probabilities of magnitudes for every forecast, from the rates at which events of a bin are followed by such magnitudes."""
+    top = followers(spark, sf_dir).groupBy("event_id").agg(F.max("m").alias("top"))
+    q = quakes(spark, sf_dir).select("event_id", (F.floor(F.col("magnitude") * 2) / 2).alias("bin")).join(top, "event_id", "left").withColumn("threshold", F.explode(F.array(*map(F.lit, STEPS))))
+    rates = q.groupBy("bin", "threshold").agg(F.round(F.avg(F.when(F.coalesce("top", F.lit(0.0)) >= F.col("threshold"), 1.0).otherwise(0.0)), 6).alias("rate"))
+    return chains(resolved(spark, sf_dir).select("fid", "p", (2.5 + F.col("fid") % 30 / 10.0).alias("seq_max")), rates)
 
 
 @query(f"""WITH {PER_ZONE_DAY}, d AS (SELECT *, day - min(day) OVER (PARTITION BY zone) AS age, sum(n) OVER (PARTITION BY zone) AS total, sum(1 / (day - first_day + 1.0)) OVER (PARTITION BY zone) AS norm FROM (SELECT *, min(day) OVER (PARTITION BY zone) AS first_day FROM zd))

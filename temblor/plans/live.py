@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import GK, gk_radius
 from ..operators import cluster
 from ..operators.nearby import neighbours
 from ..sources import feeds, sinks
@@ -55,17 +53,24 @@ def insert_or_ignore(spark, sf_dir):
 
 @query()
 def swarm_clusters(spark, sf_dir):
-    """Density clusters with their size, span and strongest event."""
-    q = quakes(spark, sf_dir).select("event_id", "ep", "lat", "lon", "magnitude")
-    c = cluster.density_clusters(q.drop("magnitude"))
-    return q.join(c, "event_id").groupBy("cluster").agg(F.count("*").alias("n"), F.max("magnitude").alias("top"), F.round((F.max("ep") - F.min("ep")) / 3600, 3).alias("hours"))
+    """Density clusters of 150 km and three events, of magnitudes 2.5 to 5 within the last 72 hours, with size, centre, span and strongest event."""
+    q = quakes(spark, sf_dir).where("magnitude >= 2.5 and magnitude < 5").select("event_id", "ep", "lat", "lon", "magnitude")
+    q = q.join(F.broadcast(q.agg(F.max("ep").alias("now")))).where(F.col("ep") > F.col("now") - 3 * DAY).drop("now")
+    c = cluster.density_clusters(q.drop("magnitude"), km=150.0, seconds=3 * DAY, least=3)
+    return q.join(c, "event_id").groupBy("cluster").agg(F.count("*").alias("n"), F.max("magnitude").alias("top"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"), F.round((F.max("ep") - F.min("ep")) / 3600, 3).alias("hours"))
 
 
 def claims(q):
-    """Pairs in which the stronger event may claim the weaker: within its radius and ten days of it."""
-    n = neighbours(q, q, km=GK[2], back=10 * DAY, ahead=10 * DAY).where(F.col("km") <= gk_radius(F.col("l.magnitude")))
-    stronger = F.struct(F.col("l.magnitude"), -F.col("l.event_id")) > F.struct(F.col("r.magnitude"), -F.col("r.event_id"))
-    return n.where(stronger).select(F.col("l.event_id").alias("strong"), F.col("r.event_id").alias("weak"))
+    """Pairs in which the stronger event may claim the weaker: within its radius and its window of days, which both grow with its magnitude."""
+    m = F.col("l.magnitude")
+    days = F.when(m >= 6.5, F.pow(F.lit(10.0), 0.032 * m + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * m - 0.547))
+    # Classes of magnitude, so that the few strong events alone are posted to long windows and large cells.
+    parts = []
+    for low, high, km, most in ((None, 3.5, 27.0, 23.0), (3.5, 4.5, 35.0, 78.0), (4.5, 5.5, 47.0, 269.0), (5.5, 6.5, 62.0, 932.0), (6.5, None, 200.0, 1100.0)):
+        left = q.where((F.lit(True) if low is None else F.col("magnitude") >= low) & (F.lit(True) if high is None else F.col("magnitude") < high))
+        near = neighbours(left, q, km=km, back=most * DAY, ahead=most * DAY).where((F.col("r.magnitude") < m) & (F.abs(F.expr("r.ep - l.ep")) <= days * DAY) & (F.col("km") <= F.pow(F.lit(10.0), 0.1238 * m + 0.983)))
+        parts.append(near.select(F.col("l.event_id").alias("strong"), F.col("r.event_id").alias("weak")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query()
@@ -77,6 +82,11 @@ def decluster(spark, sf_dir):
 @query()
 def event_model(spark, sf_dir):
     """Escalation probability by logistic regression on the lookback features, trained on the first 70 % of time; calibration by band on the rest."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
     q = quakes(spark, sf_dir)
     x = lookback(spark, sf_dir).groupBy("event_id").agg(F.count_if(F.col("dt") <= DAY).cast("double").alias("n1"), F.count_if(F.col("dt") <= 7 * DAY).cast("double").alias("n7"), F.max("m").alias("top"), F.avg("m").alias("mean"), F.min("dt").alias("since"))
     y = followers(spark, sf_dir).groupBy("event_id").agg(F.max((F.col("m") >= F.col("magnitude") + 1).cast("double")).alias("label"))

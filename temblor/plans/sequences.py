@@ -12,7 +12,7 @@ from .registry import query
 
 NEAR = f"""near AS (SELECT a.event_id, a.ep, a.magnitude, b.event_id AS other, b.ep AS other_ep, b.magnitude AS m, b.depth_km AS d, a.ep - b.ep AS dt
   FROM quakes a JOIN quakes b ON b.ep < a.ep AND b.ep >= a.ep - {30 * DAY} AND abs(a.lat - b.lat) <= 2.8 AND {haversine_sql("a", "b")} <= {gk_sql("a.magnitude")})"""
-AFTER = f"""after AS (SELECT a.event_id, a.magnitude, b.magnitude AS m, b.ep - a.ep AS dt, {haversine_sql("a", "b")} AS km
+AFTER = f"""after AS (SELECT a.event_id, a.magnitude, b.event_id AS other, b.magnitude AS m, b.ep - a.ep AS dt, {haversine_sql("a", "b")} AS km
   FROM quakes a JOIN quakes b ON b.ep > a.ep AND b.ep <= a.ep + {7 * DAY} AND abs(a.lat - b.lat) <= 2.8 AND {haversine_sql("a", "b")} <= {gk_sql("a.magnitude")})"""
 
 
@@ -26,7 +26,7 @@ def lookback(spark, sf_dir):
 def followers(spark, sf_dir, days=7, km=GK[2]):
     q = quakes(spark, sf_dir)
     n = neighbours(q, q, km=km, ahead=days * DAY).where((F.col("r.ep") > F.col("l.ep")) & (F.col("km") <= gk_radius(F.col("l.magnitude"))))
-    return n.select(F.col("l.event_id").alias("event_id"), F.col("l.magnitude").alias("magnitude"), F.col("r.magnitude").alias("m"), F.expr("r.ep - l.ep").alias("dt"), "km")
+    return n.select(F.col("l.event_id").alias("event_id"), F.col("l.magnitude").alias("magnitude"), F.col("r.event_id").alias("other"), F.col("r.magnitude").alias("m"), F.expr("r.ep - l.ep").alias("dt"), "km")
 
 
 COUNTS = f"""count(*) FILTER (dt <= {DAY}) AS n_24h, count(*) FILTER (dt <= {3 * DAY}) AS n_72h, count(*) FILTER (dt <= {7 * DAY}) AS n_7d, count(*) AS n_30d,
@@ -43,7 +43,7 @@ def gk_lookback_counts(spark, sf_dir):
 @query(f"""WITH {QUAKES}, {NEAR} SELECT event_id, round(log10(sum(pow(10.0::DOUBLE, 1.5 * m + 9.1)) FILTER (dt <= {7 * DAY}) + 1), 6) AS moment_7d,
   round(coalesce(sum(pow(10.0::DOUBLE, 1.5 * m)) FILTER (dt <= {DAY}), 0) / (coalesce(sum(pow(10.0::DOUBLE, 1.5 * m)) FILTER (dt > {DAY} AND dt <= {2 * DAY}), 0.01) + 0.01), 4) AS energy_ratio,
   round(count(*) FILTER (dt <= {7 * DAY}) / greatest(1, count(*)), 6) AS share_7d, round(coalesce(min(dt) FILTER (m >= 4) / 3600, 999), 6) AS hours_since_m4, round(max(m) FILTER (dt <= {7 * DAY}) - min(m) FILTER (dt <= {7 * DAY}), 6) AS range_7d,
-  round(CASE WHEN count(*) FILTER (dt <= {14 * DAY}) >= 10 AND avg(m) FILTER (dt <= {14 * DAY}) > min(m) FILTER (dt <= {14 * DAY}) THEN 0.4342944819 / (avg(m) FILTER (dt <= {14 * DAY}) - min(m) FILTER (dt <= {14 * DAY}) + 0.05) END, 6) AS b_14d
+  round(CASE WHEN count(*) FILTER (dt <= {14 * DAY}) >= 10 AND count(*) FILTER (dt <= {14 * DAY} AND m >= 2.5) >= 5 THEN log10(exp(1.0::DOUBLE)) / (avg(m) FILTER (dt <= {14 * DAY} AND m >= 2.5) - 2.5 + 0.01) ELSE 0 END, 6) AS b_14d
 FROM near GROUP BY event_id""")
 def sequence_energy(spark, sf_dir):
     """Energy, moment, share and b-value of the lookback neighbours, in one aggregation."""
@@ -51,7 +51,8 @@ def sequence_energy(spark, sf_dir):
     within = lambda c, lo, hi: F.when((F.col("dt") > lo) & (F.col("dt") <= hi), c)
     m, e = F.col("m"), F.pow(F.lit(10.0), 1.5 * F.col("m"))
     w7, w14 = within(m, -1, 7 * DAY), within(m, -1, 14 * DAY)
-    b = F.when((F.count(w14) >= 10) & (F.avg(w14) > F.min(w14)), 0.4342944819 / (F.avg(w14) - F.min(w14) + 0.05))
+    above = F.when(m >= 2.5, w14)
+    b = F.when((F.count(w14) >= 10) & (F.count(above) >= 5), F.log10(F.exp(F.lit(1.0))) / (F.avg(above) - 2.5 + 0.01)).otherwise(0.0)
     return n.groupBy("event_id").agg(
         F.round(F.log10(F.sum(within(F.pow(F.lit(10.0), 1.5 * m + 9.1), -1, 7 * DAY)) + 1), 6).alias("moment_7d"),
         F.round(F.coalesce(F.sum(within(e, -1, DAY)), F.lit(0.0)) / (F.coalesce(F.sum(within(e, DAY, 2 * DAY)), F.lit(0.01)) + 0.01), 4).alias("energy_ratio"),
@@ -61,28 +62,41 @@ def sequence_energy(spark, sf_dir):
     )
 
 
+#: A double tap: two magnitudes at most 0.3 apart, then one at least 1.0 above the first (magnitudes are tenths).
+TAP, RISE = 0.3 + 1e-6, 1.0 - 1e-6
 SHAPE = f"""w7 AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY other_ep, other) AS k, lag(m) OVER (PARTITION BY event_id ORDER BY other_ep, other) AS p1, lag(m, 2) OVER (PARTITION BY event_id ORDER BY other_ep, other) AS p2 FROM near WHERE dt <= {7 * DAY}),
 isl AS (SELECT *, sum(CASE WHEN p1 IS NULL OR m < p1 - 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY k) AS run FROM w7),
 runs AS (SELECT event_id, max(c) AS longest FROM (SELECT event_id, run, count(*) AS c FROM isl GROUP BY 1, 2) GROUP BY 1),
-shape AS (SELECT event_id, any_value(magnitude) AS magnitude, count(*) AS n_7d, median(m) AS med, max(m) AS top, round(max(m) / median(m), 6) AS rumble, count(*) FILTER (p2 IS NOT NULL AND abs(p1 - p2) < 0.35 AND m >= greatest(p1, p2) + 0.5) AS double_taps, CASE WHEN count(*) > 1 THEN regr_slope(m, k) END AS trend FROM w7 GROUP BY 1),
-feat AS (SELECT event_id, magnitude, n_7d, rumble, double_taps, longest, round(trend, 6) + 0.0 AS trend FROM shape JOIN runs USING (event_id))"""
-LADDER = """CASE WHEN n_7d < 1 THEN 'isolated' WHEN rumble >= 1.5 AND n_7d >= 5 THEN 'rumble' WHEN double_taps >= 1 THEN 'double_tap' WHEN longest >= 3 THEN 'staircase' WHEN trend > 0.1 AND n_7d >= 3 THEN 'rising' WHEN n_7d >= 3 THEN 'active' ELSE 'early' END"""
+shape AS (SELECT event_id, count(*) AS n_7d, CASE WHEN count(*) >= 2 THEN round(max(m) / median(m), 6) END AS rumble, count(*) FILTER (p2 IS NOT NULL AND abs(p1 - p2) <= {TAP} AND m >= p2 + {RISE}) AS double_taps, CASE WHEN count(*) FILTER (dt <= {3 * DAY}) >= 3 THEN regr_slope(m, k) FILTER (dt <= {3 * DAY}) END AS trend FROM w7 GROUP BY 1),
+feat AS (SELECT event_id, magnitude, coalesce(n_7d, 0) AS n_7d, coalesce(rumble, 0) AS rumble, coalesce(double_taps, 0) AS double_taps, CASE WHEN n_7d >= 2 THEN longest ELSE 0 END AS longest, coalesce(round(trend, 6), 0) + 0.0 AS trend FROM quakes LEFT JOIN shape USING (event_id) LEFT JOIN runs USING (event_id))"""
+#: The ladder of sequence patterns, first match.
+LADDER = """CASE WHEN n_7d < 1 THEN 'isolated' WHEN rumble >= 1.5 AND n_7d >= 5 THEN 'rumble' WHEN double_taps >= 1 THEN 'double_tap' WHEN longest >= 3 THEN 'staircase' WHEN trend > 0.1 AND n_7d >= 3 THEN 'accelerating' WHEN n_7d >= 3 THEN 'active_sequence' ELSE 'early_sequence' END"""
 
 
-def shapes(spark, sf_dir):
-    """Of each event's neighbours of seven days, in order of time: count, loudest over median, double taps, longest run and trend."""
-    n = lookback(spark, sf_dir).where(F.col("dt") <= 7 * DAY)
+def sequence_features(n):
+    """Of rows (event_id, other, other_ep, dt, m), the neighbours of seven days: count, loudest over median, double taps, longest run and trend of 72 hours, in order of time."""
     w = Window.partitionBy("event_id").orderBy("other_ep", "other")
     n = n.withColumns({"k": F.row_number().over(w), "p1": F.lag("m").over(w), "p2": F.lag("m", 2).over(w)})
     n = n.withColumn("run", F.sum(F.when(F.col("p1").isNull() | (F.col("m") < F.col("p1") - 0.05), 1).otherwise(0)).over(w))
-    tap = F.col("p2").isNotNull() & (F.abs(F.col("p1") - F.col("p2")) < 0.35) & (F.col("m") >= F.greatest("p1", "p2") + 0.5)
+    tap = F.col("p2").isNotNull() & (F.abs(F.col("p1") - F.col("p2")) <= TAP) & (F.col("m") >= F.col("p2") + RISE)
+    late = F.col("dt") <= 3 * DAY
     # The rows of a run are counted within its event's partition: both aggregations use one exchange.
     n = n.withColumn("in_run", F.count("*").over(Window.partitionBy("event_id", "run")))
+    several = F.count("*") >= 2
     return n.groupBy("event_id").agg(
-        F.first("magnitude").alias("magnitude"), F.count("*").alias("n_7d"), F.round(F.max("m") / F.expr("percentile(m, 0.5)"), 6).alias("rumble"), F.count_if(tap).alias("double_taps"), F.max("in_run").alias("longest"), (F.round(F.regr_slope("m", "k"), 6) + 0.0).alias("trend")
+        F.count("*").alias("n_7d"), F.when(several, F.round(F.max("m") / F.expr("percentile(m, 0.5)"), 6)).alias("rumble"), F.count_if(tap).alias("double_taps"), F.when(several, F.max("in_run")).alias("longest"),
+        F.when(F.count_if(late) >= 3, F.round(F.regr_slope(F.when(late, F.col("m")), F.when(late, F.col("k"))), 6)).alias("trend"),
     )
 
 
+def shapes(spark, sf_dir):
+    """The sequence features of every event; without neighbours they are 0."""
+    f = sequence_features(lookback(spark, sf_dir).where(F.col("dt") <= 7 * DAY))
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c)
+    whole = quakes(spark, sf_dir).select("event_id", "magnitude").join(f, "event_id", "left")
+    return whole.select("event_id", "magnitude", zero("n_7d", "long"), zero("rumble", "double"), zero("double_taps", "long"), zero("longest", "long"), (F.coalesce("trend", F.lit(0.0)) + 0.0).alias("trend"))
+
+
 @query(f"WITH {QUAKES}, {NEAR}, {SHAPE} SELECT * FROM feat")
 def sequence_shapes(spark, sf_dir):
     return shapes(spark, sf_dir)
@@ -107,16 +121,27 @@ def escalation_label(spark, sf_dir):
     return quakes(spark, sf_dir).select("event_id").join(f, "event_id", "left").select("event_id", F.coalesce("label", F.lit(0)).alias("label"), "max_follower", F.coalesce("n_followers", F.lit(0)).alias("n_followers"))
 
 
-SWEEP = [(h, r) for h in (24, 72, 168) for r in (50, 100)]
+SWEEP = [(h, r, t) for h in (24, 72, 168) for r in ("50", "100", "gk") for t in (0.5, 1.0)]
 
 
-@query(f"""WITH {QUAKES}, {AFTER}, p AS (SELECT * FROM (VALUES {", ".join(map(str, SWEEP))}) AS t(hours, radius))
-SELECT hours, radius, count(*) AS n, count(*) FILTER (m >= magnitude + 1) AS n_escalating FROM after JOIN p ON dt <= hours * 3600 AND km <= radius GROUP BY 1, 2""")
+@query(f"""WITH {QUAKES}, a AS (SELECT a.event_id, a.magnitude, b.magnitude AS m, b.ep - a.ep AS dt, {haversine_sql("a", "b")} AS km FROM quakes a JOIN quakes b ON b.ep > a.ep AND b.ep <= a.ep + {7 * DAY} AND abs(a.lat - b.lat) <= 2.8),
+p AS (SELECT * FROM (VALUES {", ".join(f"({h}, '{r}', {t}::DOUBLE)" for h, r, t in SWEEP)}) AS t(hours, radius, threshold)),
+f AS (SELECT hours, radius, threshold, event_id, max(m - magnitude) AS gain FROM a JOIN p ON dt <= hours * 3600 AND km <= CASE radius WHEN 'gk' THEN {gk_sql("magnitude")} ELSE CAST(CASE radius WHEN 'gk' THEN '0' ELSE radius END AS DOUBLE) END GROUP BY 1, 2, 3, 4),
+n AS (SELECT count(*) AS total FROM quakes)
+SELECT hours, radius, threshold, any_value(total) AS n, count(*) AS n_followed, count(*) FILTER (gain >= threshold - 1e-6) AS n_escalating, round(count(*) FILTER (gain >= threshold - 1e-6) / any_value(total), 6) AS rate FROM f, n GROUP BY 1, 2, 3""")
 def radius_window_sweep(spark, sf_dir):
-    """Followers by window and radius: the pairs are joined once and counted for all settings."""
-    settings = F.array(*(F.struct(F.lit(h).alias("hours"), F.lit(r).alias("radius")) for h, r in SWEEP))
-    f = followers(spark, sf_dir).select("m", "magnitude", "dt", "km", F.inline(settings)).where("dt <= hours * 3600 and km <= radius")
-    return f.groupBy("hours", "radius").agg(F.count("*").alias("n"), F.count_if(F.expr("m >= magnitude + 1")).alias("n_escalating"))
+    """Share of events with a follower stronger by a threshold, by window and radius: the radius itself, or the event's aftershock radius.
+
+    The pairs are joined once.  Of an event's followers only the strongest of each window and radius matters, and thresholds share it."""
+    settings = F.array(*(F.struct(F.lit(h).alias("hours"), F.lit(r).alias("radius")) for h, r in sorted({(h, r) for h, r, _ in SWEEP})))
+    q = quakes(spark, sf_dir)
+    n = neighbours(q, q, km=GK[2], ahead=7 * DAY).where(F.col("r.ep") > F.col("l.ep"))
+    n = n.select("l.event_id", "l.magnitude", F.col("r.magnitude").alias("m"), F.expr("r.ep - l.ep").alias("dt"), "km").select("*", F.inline(settings))
+    reach = F.when(F.col("radius") == "gk", gk_radius(F.col("magnitude"))).otherwise(F.expr("try_cast(radius as double)"))
+    f = n.where((F.col("dt") <= F.col("hours") * 3600) & (F.col("km") <= reach)).groupBy("hours", "radius", "event_id").agg(F.max(F.col("m") - F.col("magnitude")).alias("gain"))
+    f = f.withColumn("threshold", F.explode(F.array(*map(F.lit, sorted({t for *_, t in SWEEP}))))).groupBy("hours", "radius", "threshold")
+    f = f.agg(F.count("*").alias("n_followed"), F.count_if(F.col("gain") >= F.col("threshold") - 1e-6).alias("n_escalating"))
+    return f.join(F.broadcast(q.agg(F.count("*").alias("n")))).withColumn("rate", F.round(F.col("n_escalating") / F.col("n"), 6))
 
 
 @query(f"""WITH {QUAKES}, {AFTER}, s AS (SELECT q.event_id, floor(q.magnitude * 2) / 2 AS bin, coalesce(max(m), 0) AS top FROM quakes q LEFT JOIN after USING (event_id) GROUP BY q.event_id, q.magnitude)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,7 +72,9 @@ def judge(times: list[float], magnitudes: list[float], before: tuple[int, float]
 def alerts(events: DataFrame) -> DataFrame:
     """zone, t, level of alerts; the state of a zone is its level and the time of its last alert."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
         rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
         before = state.get if state.exists else None
         out, after = judge(rows["t"].tolist(), rows["magnitude"].tolist(), before)
