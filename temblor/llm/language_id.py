@@ -131,12 +131,12 @@ def shares(f: Filters, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id) with lang_pred and score, the winning language's corrected share of n-grams."""
+def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (doc_id) with lang_pred and score (under the given names), the winning language's corrected share of n-grams."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"), has_letter.alias("__letter"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), has_letter.alias("__letter"))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         f = shared.value
@@ -146,8 +146,8 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None) ->
             best, top = got.argmax(axis=1), got.max(axis=1)
         else:
             best, top, letter = np.zeros(len(letter), int), np.zeros(len(letter)), letter & False
-        names = [f.langs[i] if ok else NONE for i, ok in zip(best, letter, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(np.where(letter, top, 0.0), pa.float64())], names=[*keep, "lang_pred", "score"])
+        langs = [f.langs[i] if ok else NONE for i, ok in zip(best, letter, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(np.where(letter, top, 0.0), pa.float64())], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` string, `{names[1]}` double"])
     return map_batches(rows, score, schema)
