@@ -26,10 +26,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import BLANKS, row_keys, stored
+from .frames import BLANKS, fresh, row_keys, stored
 
 FIRST_DIGIT = 64
 WIDER = 8
+#: Rows of a group that one task should meet, and the most parts of a group.
+SALTED = 500
+MOST_SALTS = 512
+
+
+def salted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with their groups; a group of more than SALTED rows, by the column ``size`` of both, is dealt to several tasks."""
+    n = F.when(F.col(size) > SALTED, F.least(F.ceil(F.col(size) / SALTED).cast("int"), F.lit(MOST_SALTS))).otherwise(1)
+    left = rows.withColumn("salt", F.pmod(F.hash("row"), n))
+    right = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop(size)
+    return left.join(right, [*keys, "salt"]).drop("salt")
 
 
 def assign(docs: DataFrame) -> DataFrame:
@@ -41,23 +52,23 @@ def assign(docs: DataFrame) -> DataFrame:
     state = rows.withColumn("gid", digit).withColumn("text_sha256", F.sha2("rest", 256)).join(first, "gid", "left")
     alone = F.col("count").isNull()
     state = stored(
-        state.select("doc_id", "k1", "k2", "points", "text_sha256", F.when(~alone, F.col("gid")).alias("gid"), F.when(~alone, F.expr(f"substring(rest, {FIRST_DIGIT + 1})")).alias("rest"), F.monotonically_increasing_id().alias("row")),
+        state.select("doc_id", "k1", "k2", "points", "text_sha256", F.when(~alone, F.col("gid")).alias("gid"), F.when(~alone, F.expr(f"substring(rest, {FIRST_DIGIT + 1})")).alias("rest"), F.coalesce("count", F.lit(1)).alias("many"), F.monotonically_increasing_id().alias("row")),
         "radix",
     )
     done = [state.where("gid is null").select("doc_id", "k1", "k2", "points", "text_sha256", "row", F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("gid"))]
     active, width = state.where("gid is not null"), FIRST_DIGIT * WIDER
     while not active.isEmpty():
         keyed = active.withColumn("digit", F.substring("rest", 1, width)).withColumn("ended", F.octet_length("rest") <= width)
-        groups = keyed.groupBy("gid", "digit", "ended").agg(F.count("*").alias("size"), F.min("row").alias("next"))
-        state = keyed.join(groups, ["gid", "digit", "ended"])
+        groups = keyed.groupBy("gid", "digit", "ended").agg(F.count("*").alias("size"), F.min("row").alias("next"), F.min("many").alias("many"))
+        state = salted(keyed, groups, ["gid", "digit", "ended"], "many")
         goes_on = ~F.col("ended") & (F.col("size") > 1)
-        state = stored(state.select("doc_id", "k1", "k2", "points", "text_sha256", "row", "size", F.col("next").alias("gid"), F.when(goes_on, F.expr(f"substring(rest, {width + 1})")).alias("rest")), "radix")
-        done.append(state.where("rest is null").drop("rest"))
+        state = stored(state.select("doc_id", "k1", "k2", "points", "text_sha256", "row", "size", F.col("next").alias("gid"), F.when(goes_on, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.col("size").alias("many")), "radix")
+        done.append(state.where("rest is null").drop("rest", "many"))
         active, width = state.where("rest is not null").drop("size"), width * WIDER
     ended = reduce(DataFrame.unionByName, done)
     single, many = ended.where("size = 1"), ended.where("size > 1")
-    best = many.groupBy("gid").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("best"))
-    many = many.join(best, "gid").withColumn("keep_id", F.col("best.doc_id")).withColumn("kept", F.col("row") == F.col("best.row"))
+    best = many.groupBy("gid").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("best"), F.max("size").alias("size"))
+    many = salted(many, best, ["gid"], "size").withColumn("keep_id", F.col("best.doc_id")).withColumn("kept", F.col("row") == F.col("best.row"))
     single = single.withColumn("keep_id", F.col("doc_id")).withColumn("kept", F.lit(True))
     columns = ["doc_id", "keep_id", F.col("size").alias("group_size"), "kept", "text_sha256", "k1", "k2"]
     return single.select(*columns).unionByName(many.select(*columns))
@@ -65,11 +76,11 @@ def assign(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
+    n1, n2 = fresh(docs, "k1"), fresh(docs, "k2")
     k1, k2 = row_keys(docs["doc_id"], docs["text"])
-    marked = docs.withColumns({"__k1": k1, "__k2": k2})
-    kept = assign(docs).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    kept = assign(docs).where("kept").select(F.col("k1").alias(n1), F.col("k2").alias(n2))
     # The second step only meets repeated rows, and needs no shuffle of its own.
-    return marked.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    return docs.withColumns({n1: k1, n2: k2}).join(kept, [n1, n2], "left_semi").dropDuplicates([n1, n2]).select(docs.columns)
 
 
 ORACLE = """
