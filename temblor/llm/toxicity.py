@@ -3,9 +3,8 @@
 Features are the distinct hashed words, bigrams and skip-grams (one or two
 words left out) of a text, lower-cased A-Z and cut at punctuation; a word also
 counts by its stems, its first 4, 5 and 6 bytes, so that inflected forms share
-what is learned.  Coordinates in fewer than ``min_rows`` rows of the sample, and those whose
-share of positive rows is within ``screen`` standard errors of the overall share, are left
-out by a Spark aggregation, so that little state is kept and sent.  FTRL-proximal keeps a learning rate for each coordinate and sets weak
+what is learned.  Coordinates in fewer than ``min_rows`` rows of the sample are left
+out by a Spark aggregation, so that state is kept and sent for the others only.  FTRL-proximal keeps a learning rate for each coordinate and sets weak
 coordinates to exactly zero (L1), so that the weights are few; they are
 broadcast, bounded by ``dims``, and the score is one map over whole texts.
 
@@ -96,7 +95,7 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, rounds: int = 4, shards: int = 4, dims: int = 1 << 20, min_rows: int = 4, screen: float = 3.0, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
+def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, rounds: int = 4, shards: int = 4, dims: int = 1 << 21, min_rows: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
     """Weights from rows (doc_id, text, label of 0 or 1)."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
@@ -110,15 +109,11 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
             out += [np.append(np.unique(x), dims).astype(np.int32) for x in np.split(i[order], np.cumsum(np.bincount(row, minlength=b - a))[:-1])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    rows = map_batches(rows.repartition(shards, "h"), hashed, "h long, y double, x array<int>").persist()
+    rows = map_batches(rows.repartition(shards, "h").sortWithinPartitions("h", "text"), hashed, "h long, y double, x array<int>").persist()
     try:
-        n, positive = (int(v or 0) for v in rows.agg(F.count("y"), F.sum("y")).first())
-        if not n:
+        if not rows.count():
             return Model(np.array([dims]), np.zeros(1, np.float32), dims)
-        # Coordinates whose rows have more or fewer positive labels than chance explains.
-        rate = min(max(positive / n, 1 / (n + 1)), n / (n + 1))
-        met = rows.select(F.explode("x").alias("i"), "y").groupBy("i").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= min_rows)
-        often = met.where(F.abs(F.col("p") - rate * F.col("n")) >= screen * F.sqrt(rate * (1 - rate) * F.col("n"))).select("i").toPandas()["i"].to_numpy(np.int64)
+        often = rows.select(F.explode("x").alias("i")).groupBy("i").count().where(F.col("count") >= min_rows).select("i").toPandas()["i"].to_numpy(np.int64)
         # The state has a place for each usable coordinate only; the bias is the last.
         used = np.append(np.sort(often[often != dims]), dims)
         places = spark.sparkContext.broadcast(used)
@@ -132,7 +127,7 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
                 touched = np.zeros(len(known), bool)
                 for batch in batches:
                     ys, xs = batch.column(1).to_pylist(), batch.column(2)
-                    for k in np.argsort(batch.column(0).to_numpy()):
+                    for k in range(len(xs)):  # in order of h, whichever way the rows came
                         x = xs[k].values.to_numpy()
                         i = np.searchsorted(known, x)
                         i = i[known[i] == x]
