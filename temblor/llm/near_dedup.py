@@ -13,12 +13,15 @@ that a pair at the wanted similarity is missed with a chance of at most ``MISS``
 Only connectedness matters, so no group is expanded into all its pairs:
 
 1. in each list the node that shares most with others leads; every node is
-   compared with the most central of its leaders.  The nodes of one leader are a family, and are compared
-   with each other by their differences from the leader;
-2. then pairs of one list that are in different components and families are compared.
+   compared with the most central of its leaders.  Of the nodes that this leaves unlinked others lead in
+   turn, as long as that links many;
+2. the nodes of one leader are a family.  They are compared with each other by their differences from the
+   leader, of which a linked pair must share rare ones (``families``);
+3. pairs of one list that are in different components and families are compared; those of a long list only
+   if they share one of their rarest shingles too, as every linked pair does (``cross_pairs``).
 
-Families and lists are dealt to blocks of bounded size, so that one of any length goes
-to many tasks; what lies in one component already is not compared.
+So a list's or family's square is never gone through: what one component holds already is not compared, and the rest meets
+where it shares what is rare.
 
 Components are found by joining smallest labels until nothing changes, on
 tables in the shared folder; nothing is gathered on the driver.
@@ -36,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, row_keys, stored
+from . import frames
+from .frames import fresh, map_batches
 from .textkernel import Words, shingle_sets, slices, utf8
 
 U64 = np.uint64
@@ -48,11 +52,21 @@ COORDINATES = 32
 MORE = 64
 MISS = 1e-6
 BLOCK = 128
+#: Mixed lists of more nodes are split by rare shingles.
+SHORT = 16
+BROADCAST_ROWS = 1_000_000
+#: Another round of leaders follows one that has linked, and left, at least one node in LESS.
+LESS = 4
 _random = np.random.default_rng(20240517)
 FACTORS = _random.integers(0, 1 << 63, COORDINATES + MORE, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 SHIFTS = _random.integers(0, 1 << 63, COORDINATES + MORE, dtype=np.int64).astype(U64)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder.  Its joins are sort-merge joins at every size: the driver builds no tables to broadcast."""
+    return frames.stored(df, label).hint("merge")
+
+
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
     for a, b in slices(texts, 1 << 20):
         yield from shingle_sets(Words(*utf8(texts.slice(a, b - a)), fold=True), K)
@@ -98,64 +112,94 @@ def matches(a: str, b: str):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
 
+def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, text) of the nodes that share a list with others; what the later steps read."""
+    ids = lists.select(F.col("node").alias("doc_id")).distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    return stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi"), "texts")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (lead, node) with what their full sets say: ``linked``, the sizes n_lead and n_node, the number ``gone`` of
-    the lead's shingles that the node lacks, and ``diff``, the shingles that only one of them has.
+    """The pairs (lead, node) with what their full sets say: ``linked``, the sizes n_lead and n_node, and the shingles that
+    only the lead (``gone``) or only the node has (``added``).
 
     A lead's text goes once to each block of its nodes."""
     blocked = pairs.withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
-    # Rows that share a doc_id are one document: any of their texts may stand for it.
-    texts = docs.select(F.col("doc_id").alias("of"), F.col("text").cast("string").alias("text"))
     roles = blocked.select("lead", "salt", F.col("node").alias("of")).unionByName(blocked.select("lead", "salt", F.col("lead").alias("of")).distinct())
-    # Joined by a shuffle at every size, as the roles grow with the documents.
+    # Rows that share a doc_id are one document: any of their texts may stand for it.
+    texts = docs.select(F.col("doc_id").alias("of"), "text")
     rows = roles.join(texts.hint("merge"), "of").select("lead", "salt", "of", "text").repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("of") != F.col("lead"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, []
+        block, own = None, []
         for batch in batches:
             out: list[tuple] = []
-            for of, to, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2)), strict=True):
+            for of, to, salt, s in zip(*(batch.column(i).to_pylist() for i in range(3)), sets_of(batch.column(3)), strict=True):
+                if (to, salt) != block:
+                    block, own = (to, salt), []
                 if of == to:
-                    own = [*own, s] if lead == of else [s]
-                    lead = of
-                elif lead == to:
-                    for x in own:
-                        diff = np.setxor1d(x, s, assume_unique=True)
-                        gone = (len(x) - len(s) + len(diff)) // 2
-                        out.append((to, of, enough(len(x) - gone, len(x), len(s), percent), len(x), len(s), gone, diff.view(np.int64)))
+                    own.append(s)
+                    continue
+                for x in own:
+                    gone, added = np.setdiff1d(x, s, assume_unique=True), np.setdiff1d(s, x, assume_unique=True)
+                    out.append((to, of, enough(len(x) - len(gone), len(x), len(s), percent), len(x), len(s), gone.view(np.int64), added.view(np.int64)))
             if out:
                 cols = list(zip(*out, strict=True))
-                types = (None, None, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lead", "node", "linked", "n_lead", "n_node", "gone", "diff"])
+                types = (None, None, pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lead", "node", "linked", "n_lead", "n_node", "gone", "added"])
 
     id_type = pairs.schema["lead"].dataType.simpleString()
-    return rows.select("of", "lead", "text").mapInArrow(run, f"lead {id_type}, node {id_type}, linked boolean, n_lead long, n_node long, gone long, diff array<long>")
-
-
-def families(known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the nodes of one lead, of which not both are linked to it.
-
-    Two nodes share n_lead - gone_a - gone_b shingles, and one more for each shingle in which both differ from the lead
-    in the same way, so the small differences are all that has to meet.  A family is dealt to blocks; every two blocks are
-    compared in one task by a product of 0-1 matrices, and give a forest of their links instead of all pairs."""
-    sizes = known.groupBy("lead").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and size > 1")
-    dealt = known.join(sizes, "lead").withColumn("w", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node", "lead"), F.col("w")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    id_type = known.schema["lead"].dataType.simpleString()
-
-    def links(t: pa.Table) -> list[tuple]:
-        node, linked, n, gone, own = (t.column(c).to_numpy() for c in ("node", "linked", "n_node", "gone", "own"))
-        n_lead = t.column("n_lead")[0].as_py()
-        diffs = [x.values.to_numpy() for c in t.column("diff").chunks for x in c]
-        same = overlaps(diffs)
-        shared = n_lead - gone[:, None] - gone[None, :] + same
-        ok = enough(shared, n[:, None], n[None, :], percent) & ~(linked[:, None] & linked[None, :])
-        if t.column("low")[0].as_py() != t.column("high")[0].as_py():
-            ok &= own[:, None] != own[None, :]
-        return [(node[i], node[j]) for i, j in forest(*np.nonzero(np.triu(ok, 1)), len(node))]
-
-    rows = met.select("lead", "low", "high", "node", "linked", "n_lead", "n_node", "gone", "own", "diff").repartition("lead", "low", "high").sortWithinPartitions("lead", "low", "high")
-    return rows.mapInArrow(lambda batches: by_group(batches, ("lead", "low", "high"), links), f"a {id_type}, b {id_type}").distinct()
+    return rows.select("of", "lead", "salt", "text").mapInArrow(run, f"lead {id_type}, node {id_type}, linked boolean, n_lead long, n_node long, gone array<long>, added array<long>")
+
+
+def families(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (lead, node) among the nodes that were compared with one lead and are not in one component.
+
+    A node x is its lead without the shingles G and with the shingles A.  For two of them |x - y| + |y - x| = |Ax| + |Ay| +
+    |Gx| + |Gy| - 2 |Ax & Ay| - 2 |Gx & Gy|, which a link bounds by T = q * (|x| + |y|).  One of the two is not linked to the
+    lead, so that this asks for more than sizes: either the two share one of A, which no other copy has by chance, or
+    |Ax| + |Ay| + ||Gx| - |Gy|| <= T and they share most of G.  Both are found in lists of the shingles A and G: in any one
+    order, two sets of sizes u <= v that share (u + v - T) / 2 meet in the first T / 2 + 1 of the smaller and T + 1 of the larger.
+    Rare shingles come first, and before all others those whose nodes are in one component already."""
+    q = (100 - percent) / (100 + percent)
+    floor = lambda c: F.floor(c + 1e-9).cast("int")
+    open_ = tried.groupBy("lead").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("size"), F.max("n_node").alias("most")).where("open > 0 and size > 1").drop("open", "size")
+    rows = tried.join(open_, "lead").join(labels, "node", "left").select("lead", "node", F.coalesce("label", "node").alias("label"), (~F.col("linked")).alias("open"), F.col("n_node").alias("n"), "n_lead", "most", "gone", "added")
+    rows = rows.withColumns({"g": F.size("gone"), "a": F.size("added")})
+    # T for the largest partner that the sizes allow, and what keeps another node from being linked to the lead, at least.
+    rows = rows.withColumn("t", q * (F.col("n") + F.least(F.col("n") * 100 / percent, F.col("most")))).withColumn("far", q * (F.col("n") * percent / 100 + F.col("n_lead")))
+    parts = F.array(F.struct(F.lit(True).alias("own"), F.col("added").alias("s")), F.struct(F.lit(False).alias("own"), F.col("gone").alias("s")))
+    shingles = rows.where("open or a > 0 or g > 0").select("lead", "node", "label", "open", F.inline(parts)).select("lead", "node", "label", "open", "own", F.explode("s").alias("s"))
+    useful = shingles.groupBy("lead", "own", "s").agg(F.count("*").alias("n"), F.max("open").alias("met"), F.min("label").alias("low"), F.max("label").alias("high")).where("met and low != high").select("lead", "own", "s", "n")
+    held = shingles.join(useful, ["lead", "own", "s"]).groupBy("lead", "node", "own").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("order"))
+    placed = rows.drop("gone", "added").join(held, ["lead", "node"])
+    size = F.when(F.col("own"), F.col("a")).otherwise(F.col("g"))
+    # Of G, less is enough: what is in A is not shared.
+    less = F.when(F.col("own"), F.col("t") / 2).otherwise((F.col("g") - F.when(F.col("open"), F.col("g")).otherwise(F.greatest("g", "far")) - F.col("a") + F.col("t")) / 2)
+    more = F.when(F.col("own"), F.col("t")).otherwise(F.col("t") - F.col("a"))
+    posted = lambda name, length: placed.select("lead", "own", F.col("label").alias(f"{name}_label"), F.col("node").alias(name), F.col("open").alias(f"{name}_open"), F.col("g").alias(f"{name}_g"), F.col("a").alias(f"{name}_a"), F.col("n").alias(f"{name}_n"), (size - F.size("order")).alias(f"{name}_at"), F.posexplode(F.slice("order", F.lit(1), F.greatest(floor(length) + 1 - (size - F.size("order")), F.lit(0))))).withColumns({f"{name}_at": F.col(f"{name}_at") + F.col("pos"), "s": F.col("col.s")}).drop("pos", "col")
+    x, y = posted("x", less), posted("y", more)
+    t = q * (F.col("x_n") + F.col("y_n")) + 1e-9
+    few = (F.col("x_a") + F.col("y_a") + F.abs(F.col("x_g") - F.col("y_g")) <= t) & (F.col("x_g") <= F.col("y_g"))
+    own = (F.col("x_a") <= F.col("y_a")) & (F.col("y_a") - F.col("x_a") <= t)
+    # Where a pair meets first, what is left of both must suffice for the overlap.
+    own &= F.least(F.col("x_a") - F.col("x_at"), F.col("y_a") - F.col("y_at")) >= (F.col("x_a") + F.col("y_a") - t) / 2
+    few &= F.least(F.col("x_g") - F.col("x_at"), F.col("y_g") - F.col("y_at")) >= (F.col("x_a") + F.col("y_a") + F.col("x_g") + F.col("y_g") - t) / 2
+    ok = (F.col("x") != F.col("y")) & (F.col("x_open") | F.col("y_open")) & (F.least("x_n", "y_n") * 100 >= percent * F.greatest("x_n", "y_n")) & F.when(F.col("own"), own).otherwise(few)
+    return apart(x, y, ["lead", "own", "s"], ok)
+
+
+def apart(x: DataFrame, y: DataFrame, keys: list[str], ok) -> DataFrame:
+    """Pairs (lead, node) of x and y that share the keys, with different labels.  A component that has most of a list is not
+    joined with itself: its rows meet only those of other components."""
+    labels = x.select(*keys, F.col("x_label").alias("label")).groupBy(*keys, "label").count()
+    major = labels.groupBy(*keys).agg(F.max(F.struct("count", "label")).alias("top")).select(*keys, F.col("top.label").alias("major"))
+    x, y = x.join(major, keys), y.join(major.withColumnRenamed("major", "y_major"), keys)
+    other = (F.col("x_label") != F.col("y_label")) & ok
+    first = x.where("x_label != major").join(y, keys).where(other)
+    second = x.where("x_label = major").join(y.where("y_label != y_major"), keys).where(other)
+    pair = (F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node"))
+    return first.select(*pair).unionByName(second.select(*pair)).distinct()
 
 
 def enough(shared, n_a, n_b, percent: int):
@@ -163,36 +207,6 @@ def enough(shared, n_a, n_b, percent: int):
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every two sets, columns of the 0-1 matrices in bounded parts."""
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    for at in range(0, len(values), 8192):
-        here = (column >= at) & (column < at + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[row[here], column[here] - at] = 1
-        out += np.rint(m @ m.T).astype(np.int64)
-    return out
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges that connect what the edges (a, b) connect, n - 1 at most."""
-    root, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            root[y] = x
-            out.append((i, j))
-    return out
-
-
 def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fn) -> Iterator[pa.RecordBatch]:
     """The pairs that fn gives of each group of rows; rows come sorted by the keys."""
     held: list[pa.RecordBatch] = []
@@ -223,24 +237,56 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: each node's greater neighbours go to its smallest neighbour, itself included.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: each node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        after = stored(small, "edges")
-        if edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        edges = after
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        edges = stored(small, "edges")
+        # Done when each node has one edge at most and those that others point to have none: all are stars.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select("v").distinct().select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up > 0 and root > 0)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def prefixes(nodes: DataFrame, least: int) -> DataFrame:
-    """(node, list, size): the COORDINATES - least + 1 shortest lists of each node, without those of one node; nodes (node, sig)."""
+    """(node, list, size, weight): the COORDINATES - least + 1 shortest lists of each node, without those of one node; nodes (node, sig).
+    ``weight`` adds the sizes of all lists of the node."""
     posted = nodes.select("node", F.posexplode("sig").alias("j", "v")).select("node", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("v").cast("long")).alias("list"))
     sizes = posted.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     held = posted.join(sizes, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "list"))).alias("lists"))
     # Lists of one node are the shortest: they fill the prefix first.
     room = F.greatest(F.lit(COORDINATES - least + 1) - (F.lit(COORDINATES) - F.size("lists")), F.lit(0))
-    return held.select("node", F.inline_outer(F.slice("lists", F.lit(1), room))).where("list is not null")
+    weight = F.aggregate("lists", F.lit(0).cast("long"), lambda x, y: x + y["size"])
+    return held.select("node", weight.alias("weight"), F.inline_outer(F.slice("lists", F.lit(1), room))).where("list is not null")
+
+
+def leaders(lists: DataFrame, nodes: DataFrame, percent: int, least: int, least_all: int) -> DataFrame:
+    """(lead, node): each node with the most central of the leaders of its lists that its signature is close to.
+
+    The node with the longest lists is most likely the one that its group was copied from; it leads them."""
+    agree = matches("sig", "lead_sig")
+    close = (agree >= least) & (agree + matches("more", "lead_more") >= least_all) & (F.least("n", "lead_n") * 100 >= percent * F.greatest("n", "lead_n"))
+    leads = nodes.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig"), F.col("more").alias("lead_more"), F.col("n").alias("lead_n"))
+    heads = lists.groupBy("list").agg(F.max(F.struct("weight", F.col("node"))).alias("top")).select("list", F.col("top.node").alias("lead"), "top.weight")
+    first = lists.drop("weight").join(heads, "list").where("node != lead").groupBy("node", "lead").agg(F.max("weight").alias("weight"))
+    first = first.join(nodes, "node").join(leads, "lead").where(close).withColumn("m", matches("sig", "lead_sig"))
+    best = first.groupBy("node").agg(F.max(F.struct("weight", "m", F.col("lead"))).alias("top"))
+    return best.select("node", F.col("top.lead").alias("lead"))
+
+
+def recentred(tried: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The comparisons again, each family with an unlinked node led by the node that is nearest to what most of its nodes hold."""
+    family = tried.groupBy("lead").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and size > 1").select("lead", "size")
+    rows = tried.join(family, "lead").select("lead", "node", "size", F.size("gone").alias("g"), F.size("added").alias("a"), F.concat("gone", "added").alias("d"))
+    # What most nodes have otherwise than the lead.
+    turned = rows.select("lead", "size", F.explode("d").alias("s")).groupBy("lead", "s").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("2 * n > size")
+    turned = turned.groupBy("lead").agg(F.collect_set("s").alias("turned"))
+    far = rows.join(turned, "lead").select("lead", "node", (F.size("d") + F.size("turned") - 2 * F.size(F.array_intersect("d", "turned"))).alias("far"), F.size("turned").alias("own"))
+    best = far.groupBy("lead").agg(F.min(F.struct("far", "node")).alias("top"), F.max("own").alias("own")).where("top.far < own").select("lead", F.col("top.node").alias("better"))
+    moved = stored(best, "moved")
+    members = tried.select("lead", "node").unionByName(moved.select("lead", F.col("lead").alias("node"))).join(moved, "lead").where("node != better")
+    again = compared(members.select(F.col("better").alias("lead"), "node"), docs, percent)
+    return tried.join(moved, "lead", "left_anti").unionByName(again)
 
 
 def assign(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -255,26 +301,31 @@ def assign(docs: DataFrame, percent: int = 85) -> DataFrame:
     least, least_all = least_of(COORDINATES, percent), least_of(COORDINATES + MORE, percent)
     lists = stored(prefixes(nodes, least), "lists")
 
-    agree = matches("sig", "lead_sig")
-    close = (agree >= least) & (agree + matches("more", "lead_more") >= least_all) & (F.least("n", "lead_n") * 100 >= percent * F.greatest("n", "lead_n"))
-    leads = nodes.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig"), F.col("more").alias("lead_more"), F.col("n").alias("lead_n"))
-    # Round 1.  The node with the longest lists is most likely the one that its group was copied from.
-    central = lists.join(lists.groupBy("node").agg(F.sum("size").alias("weight")), "node")
-    heads = central.groupBy("list").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top")).select("list", (-F.col("top.node")).alias("lead"), "top.weight")
-    first = lists.join(heads, "list").where("node != lead").groupBy("node", "lead").agg(F.max("weight").alias("weight"))
-    first = first.join(nodes, "node").join(leads, "lead").where(close).withColumn("m", matches("sig", "lead_sig"))
-    # The lead that most nodes know makes large families, which need no pairs; likeness comes second.
-    best = first.groupBy("node").agg(F.max(F.struct("weight", "m", F.col("lead"))).alias("top")).select("node", F.col("top.lead").alias("lead"))
-    tried = stored(compared(best, docs, percent), "tried")
-    links = tried.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(families(tried, percent))
+    # Round 1.  Nodes that their lead does not link may have a lead among themselves: the next of several versions of a text.
+    docs = texts_of(docs, lists)
+    tried = stored(compared(leaders(lists, nodes, percent, least, least_all), docs, percent), "tried")
+    links = tried.where("linked")
+    last = tried = stored(recentred(tried, docs, percent), "tried")
+    ups = last.where("linked")
+    while True:
+        n, linked = last.agg(F.count("*"), F.count_if("linked")).first()
+        if linked * LESS <= n or (n - linked) * LESS <= n:
+            break
+        pool = lists.join(last.where("not linked").select("node"), "node", "left_semi")
+        last = stored(compared(leaders(pool, nodes, percent, least, least_all), docs, percent), "tried")
+        ups = ups.unionByName(last.where("linked"))
+    links = links.unionByName(ups).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = stored(links.unionByName(members.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links")
-    labels = components(links)
-    # Round 2: what is still apart.
-    family = best_lead(tried)
-    marked = lists.join(labels, "node", "left").join(family, "node", "left").withColumns({"label": F.coalesce("label", "node"), "family": F.coalesce("lead", "node")})
-    mixed = marked.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
-    apart = stored(marked.join(mixed, "list").join(nodes, "node").select("list", "node", "label", "family", "size", "n", "sig", "more"), "apart")
-    pairs = stored(cross_pairs(apart, percent, least, least_all), "pairs")
+    # Nodes of one label are in one component, though not all of a component have one label yet.
+    ups = ups.groupBy("node").agg(F.min("lead").alias("label"))
+    above = ups.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    labels = stored(ups.join(above, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+    # Round 2: what is still apart, inside families and across them.
+    within = families(tried, labels, percent)
+    family = tried.groupBy("node").agg(F.min("lead").alias("lead"))
+    named = nodes.join(labels, "node", "left").join(family, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("lead", "node").alias("family"), "n", "sig", "more")
+    across = cross_pairs(lists, stored(named, "named"), docs, percent, least, least_all)
+    pairs = stored(within.unionByName(across).distinct(), "pairs")
     more = compared(pairs, docs, percent).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     labels = components(links.unionByName(more))
 
@@ -282,19 +333,58 @@ def assign(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def best_lead(tried: DataFrame) -> DataFrame:
-    """node and the lead that it was compared with; leads are in their own family."""
-    return tried.groupBy("node").agg(F.min("lead").alias("lead"))
+def mixed(posted: DataFrame) -> DataFrame:
+    """The lists of posted (list, node, label, family) that hold nodes of different components and families: size, the family
+    with most nodes (``major``) and its number of nodes (``n_major``)."""
+    parts = posted.groupBy("list", "family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    lists = parts.groupBy("list").agg(F.sum("n").alias("size"), F.max(F.struct("n", "family")).alias("top"), F.count("*").alias("families"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return lists.where("low != high and families > 1").select("list", "size", F.col("top.family").alias("major"), F.col("top.n").alias("n_major"))
+
 
+def rare_shingles(named: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(list, node): each node under its rarest shingles, so many that two nodes of the wanted similarity share one of them.
 
-def cross_pairs(apart: DataFrame, percent: int, least: int, least_all: int) -> DataFrame:
-    """Pairs (lead, node) of one list with different labels, of different families, with enough matches.
+    Two sets with J >= p share p * n shingles at least, so that they meet in the first n - p * n + 1 of both, in any one order; shingles of one node come first."""
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(named.select("node"), "node", "left_semi")
 
-    A list's nodes are dealt to blocks of about BLOCK rows and every two blocks of a list meet in one
-    group, which is compared within a task; a group has about 2 * BLOCK rows however long the list."""
-    dealt = apart.withColumn("w", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node", "list"), F.col("w")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    id_type = apart.schema["node"].dataType.simpleString()
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets_of(batch.column(1))], pa.list_(pa.int64()))], names=["node", "s"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sets = stored(map_batches(texts, cut, f"node {id_type}, s array<long>"), "sets")
+    posted = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("list"))
+    often = posted.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
+    held = posted.join(often, "list").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("size", "list"))).alias("order"))
+    length = F.floor(F.col("n") * (100 - percent) / 100 + 1e-9).cast("int") + 1 - (F.col("n") - F.size("order"))
+    return held.select("node", F.inline(F.slice("order", F.lit(1), F.greatest(length, F.lit(0))))).select("node", F.col("list")).distinct()
+
+
+def cross_pairs(lists: DataFrame, named: DataFrame, docs: DataFrame, percent: int, least: int, least_all: int) -> DataFrame:
+    """Pairs (lead, node) that share a list, with different labels, of different families, with enough matches.
+
+    Lists of up to SHORT nodes are compared within a task.  The nodes of longer ones, which a frequent
+    passage makes, must share one of their rarest shingles too, and are compared under these."""
+    posted = lists.select("list", "node").join(named.select("node", "label", "family"), "node")
+    mix = stored(mixed(posted), "mixed")
+    short = posted.join(mix.where(F.col("size") <= SHORT), "list").select(F.lit(0).alias("kind"), "list", "node", "family", "major", "size", "n_major")
+    long_ = posted.join(mix.where(F.col("size") > SHORT).select("list"), "list", "left_semi").select("node").distinct()
+    rare = stored(rare_shingles(long_, docs, percent).join(named.select("node", "label", "family"), "node"), "rare")
+    rare = rare.join(mixed(rare), "list").select(F.lit(1).alias("kind"), "list", "node", "family", "major", "size", "n_major")
+    return near_pairs(short.unionByName(rare), named, percent, least, least_all)
+
+
+def near_pairs(posted: DataFrame, named: DataFrame, percent: int, least: int, least_all: int) -> DataFrame:
+    """Pairs of one list with enough matches.  The nodes of a list's greatest family are not compared with each other; all else
+    meets in groups of two blocks of about BLOCK nodes, which are compared within a task."""
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK).cast("int"), F.lit(1))
+    dealt = posted.withColumns({"is_major": F.col("family") == F.col("major"), "w_major": blocks(F.col("n_major")), "w_minor": blocks(F.col("size") - F.col("n_major"))})
+    dealt = dealt.withColumn("own", F.pmod(F.hash("node", "list"), F.when(F.col("is_major"), F.col("w_major")).otherwise(F.col("w_minor"))))
+    # -1 and below stand for blocks of the greatest family, 0 and above for the others.
+    across = F.sequence(F.lit(0), F.col("w_minor") - 1)
+    partners = F.when(F.col("is_major"), across).otherwise(F.concat(across, F.transform(F.sequence(F.lit(1), F.col("w_major")), lambda x: -x)))
+    met = dealt.withColumn("own", F.when(F.col("is_major"), -F.col("own") - 1).otherwise(F.col("own"))).withColumn("other", F.explode(partners))
+    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("kind", "list", "low", "high", "node", "own").join(named, "node")
+    id_type = named.schema["node"].dataType.simpleString()
 
     def near(t: pa.Table) -> list[tuple]:
         node, label, family, own, n = (t.column(c).to_numpy() for c in ("node", "label", "family", "own", "n"))
@@ -304,7 +394,7 @@ def cross_pairs(apart: DataFrame, percent: int, least: int, least_all: int) -> D
         for i in range(len(node) - 1):
             j = np.arange(i + 1, len(node))
             ok = (label[j] != label[i]) & (family[j] != family[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))
-            # a node's family is compared with its own lead already
+            # a node is compared with its lead already
             ok &= (family[j] != node[i]) & (family[i] != node[j])
             if not within:
                 ok &= own[j] != own[i]
@@ -316,14 +406,26 @@ def cross_pairs(apart: DataFrame, percent: int, least: int, least_all: int) -> D
                 out += [(min(node[i], x), max(node[i], x)) for x in node[j]]
         return out
 
-    rows = met.select("list", "low", "high", "node", "label", "family", "own", "n", "sig", "more").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    pairs = rows.mapInArrow(lambda batches: by_group(batches, ("list", "low", "high"), near), f"a {id_type}, b {id_type}").distinct()
+    keys = ("kind", "list", "low", "high")
+    rows = met.select(*keys, "node", "label", "family", "own", "n", "sig", "more").repartition(*keys).sortWithinPartitions(*keys)
+    pairs = rows.mapInArrow(lambda batches: by_group(batches, keys, near), f"a {id_type}, b {id_type}").distinct()
     return pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"))
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    k1, _ = row_keys(docs["doc_id"], docs["text"])
-    kept = assign(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").cast("long").alias("__k1")).distinct()
-    named = docs.withColumn("__k1", k1).where("doc_id is not null").join(kept, "__k1", "left_semi").dropDuplicates(["__k1"]).drop("__k1")
-    return named.unionByName(docs.where("doc_id is null"))
+    """The rows of docs that stay, one document of each component, with all their columns.
+
+    Rows of one doc_id are one document only if their texts are equal, and then one of them stays; of a component the smallest doc_id
+    stays.  Rows with a null doc_id all stay."""
+    name = fresh(docs, "key")
+    keyed = docs.withColumn(name, text_key(docs["doc_id"], docs["text"]))
+    kept = assign(keyed.select(F.col(name).alias("doc_id"), "text"), percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    named = keyed.where(F.col(name).isNotNull()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A string for the rows of one id and text, which sorts whole numbers without a sign as such; null for a null id."""
+    number = F.lpad(doc_id.try_cast("decimal(38,0)").cast("string"), 20, "0")
+    plain = doc_id.cast("string")
+    return F.concat(F.when(plain.rlike(r"^[0-9]{1,19}$"), number).otherwise(plain), F.lit(":"), F.hex(F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))))
