@@ -172,7 +172,7 @@ def families(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     shingles = rows.where("open or a > 0 or g > 0").select("lead", "node", "label", "open", F.inline(parts)).select("lead", "node", "label", "open", "own", F.explode("s").alias("s"))
     useful = shingles.groupBy("lead", "own", "s").agg(F.count("*").alias("n"), F.max("open").alias("met"), F.min("label").alias("low"), F.max("label").alias("high")).where("met and low != high").select("lead", "own", "s", "n")
     held = shingles.join(useful, ["lead", "own", "s"]).groupBy("lead", "node", "own").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("order"))
-    placed = rows.drop("gone", "added").join(held, ["lead", "node"])
+    placed = stored(rows.drop("gone", "added").join(held, ["lead", "node"]), "placed")
     size = F.when(F.col("own"), F.col("a")).otherwise(F.col("g"))
     # Of G, less is enough: what is in A is not shared.
     less = F.when(F.col("own"), F.col("t") / 2).otherwise((F.col("g") - F.when(F.col("open"), F.col("g")).otherwise(F.greatest("g", "far")) - F.col("a") + F.col("t")) / 2)
@@ -364,7 +364,7 @@ def cross_pairs(lists: DataFrame, named: DataFrame, docs: DataFrame, percent: in
 
     Lists of up to SHORT nodes are compared within a task.  The nodes of longer ones, which a frequent
     passage makes, must share one of their rarest shingles too, and are compared under these."""
-    posted = lists.select("list", "node").join(named.select("node", "label", "family"), "node")
+    posted = stored(lists.select("list", "node").join(named.select("node", "label", "family"), "node"), "posted")
     mix = stored(mixed(posted), "mixed")
     short = posted.join(mix.where(F.col("size") <= SHORT), "list").select(F.lit(0).alias("kind"), "list", "node", "family", "major", "size", "n_major")
     long_ = posted.join(mix.where(F.col("size") > SHORT).select("list"), "list", "left_semi").select("node").distinct()
