@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet in the shared folder and reads them again for the
 next.  All but the last return the columns of ``documents``.
+
+Defined results, stage by stage.  Language ID: null texts and texts without letters go;
+rows with a null language are judged like others; without labels to learn from, every text with letters stays.
+Exact dedup: of repeated rows one stays; a null id comes last.
+Near dedup: the smallest doc_id of a group stays; texts without words, and rows with a null id, stay.  Decontamination:
+null and empty texts stay; repeated rows are judged alike.  BPE: a null text has no ids.  Each stage gives an
+empty table for an empty table, and takes other columns along whatever their names (BPE returns its own columns only).
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temblor.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
-from temblor.llm.frames import held_out, stored, table
+from temblor.llm.frames import fresh, held_out, stored, table
 from temblor.llm.queries import tokenizer
 
 #: Texts whose best language holds a smaller share of their n-grams are in none of the languages learned.
@@ -26,8 +33,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     filters = language_id.fit(docs.where(~held_out(F.col("doc_id"), 4, 2)))
     if not filters.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, filters, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score")
+    lang, score = fresh(docs, "lang"), fresh(docs, "score")
+    found = language_id.predict(docs, filters, keep=docs.columns, names=(lang, score))
+    return found.where((F.col(lang) != language_id.NONE) & (F.col(score) >= LEAST_SHARE)).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
