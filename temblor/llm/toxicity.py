@@ -10,8 +10,7 @@ broadcast, bounded by ``dims``, and the score is one map over whole texts.
 
 Training takes at most ``max_rows`` labelled rows, chosen by a hash of the id.
 They are dealt to ``shards`` tasks; each round every task goes through its rows
-from the common state and the states are averaged by a Spark aggregation over
-coordinates.
+from the common state; the changes, at most ``shards`` times ``dims`` coordinates, are averaged on the driver.
 
 Defined results: an empty or null text has the score of the bias alone; rows
 with a null label are not learned from; with no rows to learn from, every score
@@ -113,7 +112,7 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
     try:
         if not rows.count():
             return Model(np.array([dims]), np.zeros(1, np.float32), dims)
-        often = rows.select(F.explode("x").alias("i")).groupBy("i").count().where(F.col("count") >= min_rows).select("i").toPandas()["i"].to_numpy(np.int64)
+        often = rows.select(F.explode("x").alias("i")).groupBy("i").count().where(F.col("count") >= min_rows).select("i").toArrow()["i"].to_numpy().astype(np.int64)
         # The state has a place for each usable coordinate only; the bias is the last.
         used = np.append(np.sort(often[often != dims]), dims)
         places = spark.sparkContext.broadcast(used)
@@ -135,14 +134,12 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
                         m.learn(i, ys[k])
                 i = np.flatnonzero(touched)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(m.z[i] - state.value[0][i]), pa.array(m.n[i] - state.value[1][i])], names=["i", "z", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array((m.z[i] - state.value[0][i]).astype(np.float32)), pa.array((m.n[i] - state.value[1][i]).astype(np.float32))], names=["i", "z", "n"])
 
             # The mean of the tasks' states; a task that did not meet a coordinate has not changed it.
-            change = rows.mapInArrow(learn, "i long, z double, n double").groupBy("i").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
+            change = rows.mapInArrow(learn, "i int, z float, n float").toArrow()
             i = change["i"].to_numpy()
-            z, s = z.copy(), s.copy()
-            z[i] += change["z"].to_numpy()
-            s[i] += change["n"].to_numpy()
+            z, s = (x + np.bincount(i, change[c].to_numpy(), minlength=len(used)) / shards for x, c in ((z, "z"), (s, "n")))
             state.unpersist()
     finally:
         rows.unpersist()
