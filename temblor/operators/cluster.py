@@ -37,3 +37,16 @@ def decluster(claims: DataFrame, events: DataFrame) -> DataFrame:
         now = F.when(F.coalesce("claimed", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
         state = checkpointed(state.join(above, "event_id", "left").select("event_id", F.coalesce("main", now).alias("main")))
     return state
+
+
+def greedy_clusters(events: DataFrame, km: float, seconds: float) -> DataFrame:
+    """(event_id, cluster) of events (event_id, ep, lat, lon, p): by falling p, then event_id, each event not yet taken
+    leads a cluster and takes all untaken ones within ``km`` and ``seconds``.  The leaders are the mains of
+    ``decluster``; a taken event belongs to its strongest leader, which came first."""
+    order = lambda side: F.struct(F.col(f"{side}.p").alias("p"), (-F.col(f"{side}.event_id")).alias("id"))
+    near = neighbours(events, events, km=km, back=seconds, ahead=seconds).where(order("l") > order("r"))
+    near = checkpointed(near.select(F.col("l.event_id").alias("strong"), F.col("r.event_id").alias("weak"), F.col("l.p").alias("p")))
+    leaders = decluster(near, events)
+    mains = leaders.where("main").select(F.col("event_id").alias("strong"))
+    taken = near.join(mains, "strong", "left_semi").groupBy(F.col("weak").alias("event_id")).agg(F.max(F.struct("p", (-F.col("strong")).alias("id"))).alias("by"))
+    return leaders.join(taken, "event_id", "left").select("event_id", F.when(F.col("main"), F.col("event_id")).otherwise(-F.col("by.id")).alias("cluster"))

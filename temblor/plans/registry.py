@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import analytics, catalog, features, live, places, sequences, series  # noqa: E402, F401  (they register their queries)
+from . import analytics, catalog, features, hazards, live, places, sequences, series  # noqa: E402, F401  (they register their queries)
