@@ -139,31 +139,73 @@ def mann_whitney(spark, sf_dir):
     return u.select("n1", "n2", F.round(F.expr("s - n1 * (n1 + 1) / 2"), 1).alias("u"), F.round(F.expr("(s - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1.0D) / 12)"), 5).alias("z"))
 
 
-LEVEL = "CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'elevated' ELSE 'normal' END"
-
-
-@query(f"""WITH {ZONED}, m AS (SELECT max(t) AS now FROM z), a AS (SELECT zone, count(*) FILTER (now - t < {DAY}) AS n1, count(*) FILTER (now - t < {7 * DAY}) AS n7, count(*) AS n30, max(magnitude) FILTER (now - t < {3 * DAY}) AS top, avg(magnitude) FILTER (now - t < {7 * DAY}) AS m7, avg(magnitude) AS m30 FROM z, m GROUP BY zone),
-s AS (SELECT zone, least(1.0, 0.4 * least(1.0, n1 / greatest(n30 / 30.0, 0.1) / 3) + 0.3 * least(1.0, greatest(0.0, (coalesce(top, 4) - 4) / 3.5)) + 0.3 * least(1.0, greatest(0.0, (coalesce(m7, m30) - m30) / 0.35))) AS score FROM a)
+#: Weights of rate, b-value, acceleration and strength, and the least scores of the levels.
+WEIGHTS = (0.35, 0.25, 0.15, 0.25)
+LEVEL = "CASE WHEN score >= 0.75 THEN 'ALERT' WHEN score >= 0.5 THEN 'ELEVATED' WHEN score >= 0.25 THEN 'WATCH' ELSE 'NORMAL' END"
+
+
+@query(f"""WITH {ZONED}, m AS (SELECT max(t) AS now FROM z), r AS (SELECT zone, now - t AS age, magnitude FROM z, m WHERE now - t <= {30 * DAY}), zs AS (SELECT DISTINCT zone FROM r),
+g6 AS (SELECT zs.zone, g.range AS bin, count(r.age) AS n FROM zs CROSS JOIN range(120) g LEFT JOIN r ON r.zone = zs.zone AND floor(r.age / 21600) = g.range GROUP BY 1, 2),
+g1 AS (SELECT zs.zone, g.range AS bin, count(r.age) AS n FROM zs CROSS JOIN range(168) g LEFT JOIN r ON r.zone = zs.zone AND floor(r.age / 3600) = g.range GROUP BY 1, 2),
+s6 AS (SELECT zone, max(n) FILTER (bin = 0) AS now6, avg(n) FILTER (bin > 0) AS mean6, var_pop(n) FILTER (bin > 0) AS var6, avg(n) FILTER (bin < 4) AS recent, avg(n) FILTER (bin BETWEEN 4 AND 7) AS older FROM g6 GROUP BY 1),
+s1 AS (SELECT zone, max(n) FILTER (bin = 0) AS now1, avg(n) FILTER (bin > 0) AS mean1, var_pop(n) FILTER (bin > 0) AS var1 FROM g1 GROUP BY 1),
+a AS (SELECT zone, count(*) AS n30, avg(magnitude) AS m30, count(*) FILTER (age <= {7 * DAY}) AS n7, avg(magnitude) FILTER (age <= {7 * DAY}) AS m7, max(magnitude) FILTER (age <= {DAY}) AS top1, max(magnitude) FILTER (age <= {3 * DAY}) AS top3 FROM r GROUP BY 1),
+c AS (SELECT zone, least(1, greatest(0, greatest((now6 - mean6) / CASE WHEN var6 > 1e-12 THEN sqrt(var6) ELSE greatest(1, mean6 * 0.5) END, 0.8 * (now1 - mean1) / CASE WHEN var1 > 1e-12 THEN sqrt(var1) ELSE greatest(1, mean1 * 0.5) END) / 4.5)) AS rate,
+  coalesce(least(1, greatest(0, (CASE WHEN n30 >= 15 AND m30 - 2.45 > 0.01 THEN 0.4342944819032518 / (m30 - 2.45) END - CASE WHEN n7 >= 15 AND m7 - 2.45 > 0.01 THEN 0.4342944819032518 / (m7 - 2.45) END) / 0.35)) , 0) AS b0, (n30 >= 15 AND m30 - 2.45 > 0.01 AND n7 >= 15 AND m7 - 2.45 > 0.01) AS known,
+  CASE WHEN older > 0 THEN least(1, greatest(0, (recent - older) / older / 2)) ELSE 0 END AS accel, greatest(least(1, greatest(0, (coalesce(top1, 0) - 4) / 3.5)), 0.7 * least(1, greatest(0, (coalesce(top3, 0) - 4) / 3.5))) AS strength FROM s6 JOIN s1 USING (zone) JOIN a USING (zone)),
+s AS (SELECT zone, {WEIGHTS[0]} * rate + {WEIGHTS[1]} * CASE WHEN known THEN b0 ELSE 0 END + {WEIGHTS[2]} * accel + {WEIGHTS[3]} * strength AS score FROM c)
 SELECT zone, round(score, 5) AS score, {LEVEL} AS level FROM s""")
 def threat_scan(spark, sf_dir):
-    """All zones in one aggregation: rate, strength and shift of magnitudes, weighed into a level."""
+    """All zones of the last 30 days: rates in bins of six hours and of one against the bins before, the fall of the b-value, acceleration and strength, weighed into a level.
+
+    Events are counted by hour of age first; bins without events come in by arithmetic.  Variances come from sums of whole numbers, so 0 is exact."""
     z = zoned(spark, sf_dir)
-    z = z.join(F.broadcast(z.agg(F.max("t").alias("now"))))
-    age, m = F.col("now") - F.col("t"), F.col("magnitude")
-    a = z.groupBy("zone").agg(F.count_if(age < DAY).alias("n1"), F.count("*").alias("n30"), F.max(F.when(age < 3 * DAY, m)).alias("top"), F.avg(F.when(age < 7 * DAY, m)).alias("m7"), F.avg(m).alias("m30"))
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    score = 0.4 * clip(F.col("n1") / F.greatest(F.col("n30") / 30.0, F.lit(0.1)) / 3) + 0.3 * clip((F.coalesce("top", F.lit(4.0)) - 4) / 3.5) + 0.3 * clip((F.coalesce("m7", "m30") - F.col("m30")) / 0.35)
-    return a.select("zone", F.least(F.lit(1.0), score).alias("score")).select("zone", F.round("score", 5).alias("score"), F.expr(LEVEL).alias("level"))
+    z = z.join(F.broadcast(z.agg(F.max("t").alias("now")))).select("zone", (F.col("now") - F.col("t")).alias("age"), F.col("magnitude").alias("m")).where(F.col("age") <= 30 * DAY)
+    c, m, n = F.col, F.col("m"), F.col("n")
+    within = lambda days: F.when(c("age") <= days * DAY, m)
+    hours = z.groupBy("zone", F.floor(c("age") / 3600).alias("hour")).agg(F.count("*").alias("n"), F.sum(m).alias("s30"), F.count(within(7)).alias("n7"), F.sum(within(7)).alias("s7"), F.max(within(1)).alias("top1"), F.max(within(3)).alias("top3"))
+    old1 = F.when((c("hour") > 0) & (c("hour") < 168), n).otherwise(0)
+    bins = hours.groupBy("zone", F.floor(c("hour") / 6).alias("bin")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(c("hour") == 0, n).otherwise(0)).alias("now1"), F.sum(old1).alias("c1"), F.sum(old1 * old1).alias("q1"),
+        *(F.sum(k).alias(k) for k in ("s30", "n7", "s7")), F.max("top1").alias("top1"), F.max("top3").alias("top3"),
+    )
+    old6 = F.when((c("bin") > 0) & (c("bin") < 120), n).otherwise(0)
+    part = lambda on: F.sum(F.when(on, n).otherwise(0))
+    a = bins.groupBy("zone").agg(
+        part(c("bin") == 0).alias("now6"), F.sum(old6).alias("c6"), F.sum(old6 * old6).alias("q6"), part(c("bin") < 4).alias("recent"), part(c("bin").between(4, 7)).alias("older"), F.sum("n").alias("n30"),
+        *(F.sum(k).alias(k) for k in ("now1", "c1", "q1", "s30", "n7", "s7")), F.max("top1").alias("top1"), F.max("top3").alias("top3"),
+    )
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+    def against(now, count, squares, k):
+        mean, var = count / k, (k * squares - count * count) / (k * k)
+        return (now - mean) / F.when(var > 0, F.sqrt(var)).otherwise(F.greatest(F.lit(1.0), 0.5 * mean))
+
+    def b(total, count):
+        over = total / count - 2.45
+        return F.when((count >= 15) & (over > 0.01), 0.4342944819032518 / over)
+
+    rate = clip(F.greatest(against(c("now6"), c("c6"), c("q6"), 119), 0.8 * against(c("now1"), c("c1"), c("q1"), 167)) / 4.5)
+    fall = clip(F.coalesce(b(c("s30"), c("n30")) - b(c("s7"), c("n7")), F.lit(0.0)) / 0.35)
+    accel = clip(F.when(c("older") > 0, (c("recent") - c("older")) / c("older") / 2).otherwise(0.0))
+    top = lambda k: clip((F.coalesce(k, F.lit(0.0)) - 4) / 3.5)
+    strength = F.greatest(top("top1"), 0.7 * top("top3"))
+    score = sum(w * x for w, x in zip(WEIGHTS, (rate, fall, accel, strength), strict=True))
+    return a.select("zone", score.alias("score")).select("zone", F.round("score", 5).alias("score"), F.expr(LEVEL).alias("level"))
+
+
+def ranked(z):
+    """Events with their rank k by time and their number n.  Ranks come from counts by hour and ranks within the hour, so that no task sorts all events."""
+    z = z.withColumn("hour", F.floor(F.col("ep") / 3600))
+    by = z.groupBy("hour").agg(F.count("*").alias("c"))
+    by = by.select("hour", F.coalesce(F.sum("c").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    return z.join(by, "hour").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("hour").orderBy("ep", "event_id")))
 
 
 @query(f"""WITH {ZONED}, r AS (SELECT *, row_number() OVER (ORDER BY ep, event_id) AS k, count(*) OVER () AS n FROM z)
 SELECT CASE WHEN k <= 0.7 * n THEN 'train' WHEN k <= 0.85 * n THEN 'valid' ELSE 'test' END AS part, count(*) AS n, min(event_id) AS low, round(avg(magnitude), 6) AS mean FROM r GROUP BY 1""")
 def temporal_split(spark, sf_dir):
-    """70, 15 and 15 percent by time.  Ranks come from counts by hour and ranks within the hour, so that no task sorts all events."""
-    z = zoned(spark, sf_dir).withColumn("hour", F.floor(F.col("ep") / 3600))
-    by = z.groupBy("hour").agg(F.count("*").alias("c"))
-    by = by.withColumns({"before": F.coalesce(F.sum("c").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(Window.partitionBy())})
-    k = F.col("before") + F.row_number().over(Window.partitionBy("hour").orderBy("ep", "event_id"))
-    r = z.join(F.broadcast(by.drop("c")), "hour").withColumn("k", k)
-    part = F.when(F.col("k") <= 0.7 * F.col("n"), "train").when(F.col("k") <= 0.85 * F.col("n"), "valid").otherwise("test")
-    return r.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.round(F.avg("magnitude"), 6).alias("mean"))
+    """70, 15 and 15 percent by time."""
+    k, n = F.col("k"), F.col("n")
+    part = F.when(k <= 0.7 * n, "train").when(k <= 0.85 * n, "valid").otherwise("test")
+    return ranked(zoned(spark, sf_dir)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.round(F.avg("magnitude"), 6).alias("mean"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.nearby import neighbours
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
-from .analytics import RESOLVED, resolved
+from .analytics import RESOLVED, ranked, resolved
 from .registry import query
 from .sequences import AFTER, followers
-from .series import DAILY, HOURLY, PER_ZONE_DAY, ZONED, daily, hourly, over, per_zone_day, trailing, zoned
+from .series import DAILY, HOURLY, ZONED, daily, hourly, over, trailing, zoned
 
 
 @query(f"""WITH {SAMPLES}, n AS (SELECT metric, event_id, value, row_number() OVER (PARTITION BY metric ORDER BY ep, event_id) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM samples)
@@ -125,14 +125,15 @@ def horizon_label(spark, sf_dir):
     return daily(spark, sf_dir).select("metric", "day", F.max("v").over(w.rowsBetween(1, 7)).alias("ahead"), (F.size(F.collect_list("v").over(w.rowsBetween(-2, 0))) > 0).alias("full_"))
 
 
-@query(f"""WITH {QUAKES}, f AS (SELECT ntile(6) OVER (ORDER BY ep, event_id) AS part, magnitude FROM quakes), k AS (SELECT range + 1 AS fold FROM range(5))
-SELECT fold, count(*) FILTER (part <= fold) AS n_train, count(*) FILTER (part = fold + 1) AS n_test FROM f, k GROUP BY fold""")
+@query(f"""WITH {QUAKES}, f AS (SELECT event_id, ntile(6) OVER (ORDER BY ep, event_id) AS part FROM quakes), k AS (SELECT range + 1 AS fold FROM range(5))
+SELECT event_id, fold, CASE WHEN part <= fold THEN 'train' ELSE 'test' END AS role FROM f, k WHERE part <= fold + 1""")
 def temporal_folds(spark, sf_dir):
-    """Five folds, each trained on all before it: sizes follow from the count alone."""
-    n = quakes(spark, sf_dir).agg(F.count("*").alias("n"))
-    upto = lambda k: F.floor(F.col("n") / 6) * k + F.least(F.col("n") % 6, k)
-    f = n.select("n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("fold"))
-    return f.select("fold", upto(F.col("fold")).cast("long").alias("n_train"), (upto(F.col("fold") + 1) - upto(F.col("fold"))).cast("long").alias("n_test"))
+    """Six parts by time; each of five folds trains on its first parts and tests on the next."""
+    k, each, more = F.col("k"), F.floor(F.col("n") / 6), F.col("n") % 6
+    longer = more * (each + 1)  # the first parts hold one event more
+    part = F.when(k <= longer, F.ceil(k / (each + 1))).otherwise(more + F.ceil((k - longer) / each)).cast("long")
+    f = ranked(quakes(spark, sf_dir)).select("event_id", part.alias("part"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("fold"))
+    return f.where("part <= fold + 1").select("event_id", "fold", F.when(F.col("part") <= F.col("fold"), "train").otherwise("test").alias("role"))
 
 
 @query("""SELECT o_orderkey AS key, o_orderpriority AS level, o_totalprice AS frp FROM orders ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END DESC, o_totalprice DESC, o_orderkey LIMIT 50""")
@@ -224,13 +225,33 @@ def probability_chain(spark, sf_dir):
     return chains(resolved(spark, sf_dir).select("fid", "p", (2.5 + F.col("fid") % 30 / 10.0).alias("seq_max")), rates)
 
 
-@query(f"""WITH {PER_ZONE_DAY}, d AS (SELECT *, day - min(day) OVER (PARTITION BY zone) AS age, sum(n) OVER (PARTITION BY zone) AS total, sum(1 / (day - first_day + 1.0)) OVER (PARTITION BY zone) AS norm FROM (SELECT *, min(day) OVER (PARTITION BY zone) AS first_day FROM zd))
-SELECT zone, day, round(n - total * (1 / (age + 1.0)) / norm, 5) AS residual FROM d""")
+#: Degrees of the box and days of the window in which followers are counted.
+BOX, LATEST = 3.0, 1.0
+
+
+@query(f"""WITH {QUAKES}, n AS (SELECT max(ep) AS now FROM quakes), a AS (SELECT event_id, ep, magnitude, lat, lon, now, (now - ep) / {DAY} AS days, greatest(ep, now - {LATEST * DAY}) AS since FROM quakes, n WHERE magnitude >= 5),
+o AS (SELECT a.event_id, any_value(a.magnitude) AS magnitude, any_value(days) AS days, any_value((now - since) / 3600) AS hours, count(b.event_id) AS n FROM a LEFT JOIN quakes b ON b.ep >= since AND b.lat BETWEEN a.lat - {BOX} AND a.lat + {BOX} AND b.lon BETWEEN a.lon - {BOX} AND a.lon + {BOX} GROUP BY 1),
+e AS (SELECT event_id, CASE WHEN days < 0.05 THEN 0 ELSE n / greatest(1, hours) * 24 END AS observed, CASE WHEN days < 0.05 THEN 0 ELSE pow(10.0::DOUBLE, magnitude - 3.5) / (0.05 + days) END AS expected, days FROM o)
+SELECT event_id, round(expected, 4) AS expected, round(observed, 4) AS observed, round(CASE WHEN days < 0.05 THEN 0 ELSE observed / greatest(1, expected) - 1 END, 4) AS residual FROM e""")
 def omori_residual(spark, sf_dir):
-    """Daily counts against a decay by one over time."""
-    w = Window.partitionBy("zone")
-    d = per_zone_day(spark, sf_dir).withColumn("share", 1 / (F.col("day") - F.min("day").over(w) + 1.0))
-    return d.select("zone", "day", F.round(F.col("n") - F.sum("n").over(w) * F.col("share") / F.sum("share").over(w), 5).alias("residual"))
+    """For each strong event, the daily rate of events near it in the last day (or since it) against 10^(M - 3.5) / (0.05 + days); 0 in its first 72 minutes.
+
+    Only the last day's events are joined, on cells as wide as the box."""
+    q = quakes(spark, sf_dir)
+    q = q.join(F.broadcast(q.agg(F.max("ep").alias("now"))))
+    cell = lambda c: F.floor(F.col(c) / BOX)
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    a = q.where("magnitude >= 5").select("event_id", "ep", "magnitude", "lat", "lon", "now", ((F.col("now") - F.col("ep")) / DAY).alias("days"), F.greatest("ep", F.col("now") - LATEST * DAY).alias("since"))
+    near = a.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select("event_id", "lat", "lon", "since", (cell("lat") + F.col("i")).alias("i"), (cell("lon") + F.col("j")).alias("j"))
+    late = q.where(F.col("ep") >= F.col("now") - LATEST * DAY).select(F.col("ep").alias("at"), F.col("lat").alias("y"), F.col("lon").alias("x"), cell("lat").alias("i"), cell("lon").alias("j"))
+    met = near.join(late, ["i", "j"]).where((F.col("at") >= F.col("since")) & F.expr(f"y between lat - {BOX} and lat + {BOX} and x between lon - {BOX} and lon + {BOX}"))
+    o = a.join(met.groupBy("event_id").agg(F.count("*").alias("n")), "event_id", "left")
+    new, hours = F.col("days") < 0.05, (F.col("now") - F.col("since")) / 3600
+    observed = F.when(new, 0.0).otherwise(F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1.0), hours) * 24)
+    expected = F.when(new, 0.0).otherwise(F.pow(F.lit(10.0), F.col("magnitude") - 3.5) / (0.05 + F.col("days")))
+    e = o.select("event_id", expected.alias("expected"), observed.alias("observed"), new.alias("new"))
+    residual = F.when(F.col("new"), 0.0).otherwise(F.col("observed") / F.greatest(F.lit(1.0), F.col("expected")) - 1)
+    return e.select("event_id", F.round("expected", 4).alias("expected"), F.round("observed", 4).alias("observed"), F.round(residual, 4).alias("residual"))
 
 
 @query(f"""WITH {ZONED}, r AS (SELECT zone, lat, lon, t, 2 * row_number() OVER (PARTITION BY zone ORDER BY t, event_id) <= count(*) OVER (PARTITION BY zone) AS old FROM z),

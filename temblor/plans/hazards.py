@@ -19,7 +19,7 @@ LOG10_E = 0.4342944819032518
   count(*) FILTER (magnitude >= 2.5) OVER d30 AS n30, avg(magnitude) FILTER (magnitude >= 2.5) OVER d30 AS mean30, count(*) FILTER (magnitude >= 4) OVER d30 AS n4, avg(magnitude) FILTER (magnitude >= 4) OVER d30 AS mean4 FROM z WINDOW {over('d7', 604800)}, {over('d14', 14 * 86400)}, {over('d30', 30 * 86400)}),
 b AS (SELECT event_id, zone, CASE WHEN n7 >= 10 THEN {LOG10_E} / (mean7 - low7 + 0.01) END AS b_range, CASE WHEN n14 >= 10 AND c14 >= 5 THEN {LOG10_E} / (mean14 - 2.5 + 0.01) ELSE 0 END AS b_14d, CASE WHEN n30 >= 15 AND mean30 > 2.501 THEN {LOG10_E} / (mean30 - 2.5) END AS b_mc,
   CASE WHEN n30 >= 15 AND mean30 - 2.45 > 0.01 THEN {LOG10_E} / (mean30 - 2.45) END AS b_aki, CASE WHEN n4 >= 10 THEN {LOG10_E} / (mean4 - 4 + 0.05) END AS b_m4 FROM w)
-SELECT event_id, round(b_range, 5) AS b_range, round(b_14d, 5) AS b_14d, round(coalesce(b_mc, median(round(b_mc, 5)) OVER (PARTITION BY zone), 1), 5) AS b_mc, round(b_aki, 5) AS b_aki, round(b_m4, 5) AS b_m4 FROM b""")
+SELECT event_id, round(b_range, 5) AS b_range, round(b_14d, 5) AS b_14d, round(coalesce(round(b_mc, 5), median(round(b_mc, 5)) OVER (PARTITION BY zone), 1), 6) AS b_mc, round(b_aki, 5) AS b_aki, round(b_m4, 5) AS b_m4 FROM b""")
 def b_values_all(spark, sf_dir):
     """Five estimates of the b-value of a zone's trailing events, from three frames over one sort.
 
@@ -39,7 +39,7 @@ def b_values_all(spark, sf_dir):
         F.round(F.when((c("n30") >= 15) & (c("mean30") - 2.45 > 0.01), LOG10_E / (c("mean30") - 2.45)), 5).alias("b_aki"), F.round(F.when(c("n4") >= 10, LOG10_E / (c("mean4") - 4 + 0.05)), 5).alias("b_m4"),
     )
     usual = F.percentile("b_mc", 0.5).over(Window.partitionBy("zone"))
-    return b.withColumn("b_mc", F.round(F.coalesce("b_mc", usual, F.lit(1.0)), 5)).drop("zone")
+    return b.withColumn("b_mc", F.round(F.coalesce("b_mc", usual, F.lit(1.0)), 6)).drop("zone")
 
 
 @query(f"""WITH {QUAKES}, g AS (SELECT *, floor(lat) AS y, (CAST(floor(lon) AS BIGINT) + 180) % 360 AS x, least(greatest(floor((magnitude - 2.5) / 0.1 + 1e-9), 0), 55) AS bin FROM quakes),
@@ -73,14 +73,14 @@ def grid_priors(spark, sf_dir):
 
 @query("""WITH r AS (SELECT CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) AS hour, user_id AS station, value FROM events),
 s AS (SELECT hour, station, max(value) AS top, avg(value) AS mean, count(*) FILTER (value > 90) AS triggered FROM r GROUP BY 1, 2), m AS (SELECT station, median(top) AS usual FROM s GROUP BY 1)
-SELECT hour, max(top) AS top, round(avg(mean), 6) AS mean, round(max(top) - min(top), 6) AS spread, CAST(sum(triggered) AS BIGINT) AS triggered, round(avg(CASE WHEN top > 1.5 * usual THEN 1.0::DOUBLE ELSE 0 END), 6) AS coherence FROM s JOIN m USING (station) GROUP BY 1""")
+SELECT hour, max(top) AS top, round(avg(mean), 8) AS mean, round(max(top) - min(top), 6) AS spread, CAST(sum(triggered) AS BIGINT) AS triggered, round(avg(CASE WHEN top > 1.5 * usual THEN 1.0::DOUBLE ELSE 0 END), 6) AS coherence FROM s JOIN m USING (station) GROUP BY 1""")
 def station_hourly_coherence(spark, sf_dir):
     """Readings by station and hour, then by hour; coherence is the share of stations above one and a half times their own median."""
     r = table(spark, sf_dir, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600e6).alias("hour"), F.col("user_id").alias("station"), "value")
     s = r.groupBy("hour", "station").agg(F.max("value").alias("top"), F.avg("value").alias("mean"), F.count_if(F.col("value") > 90).alias("triggered"))
     s = s.join(s.groupBy("station").agg(F.percentile("top", 0.5).alias("usual")), "station")
     raised = F.avg(F.when(F.col("top") > 1.5 * F.col("usual"), 1.0).otherwise(0.0))
-    return s.groupBy("hour").agg(F.max("top").alias("top"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.max("top") - F.min("top"), 6).alias("spread"), F.sum("triggered").alias("triggered"), F.round(raised, 6).alias("coherence"))
+    return s.groupBy("hour").agg(F.max("top").alias("top"), F.round(F.avg("mean"), 8).alias("mean"), F.round(F.max("top") - F.min("top"), 6).alias("spread"), F.sum("triggered").alias("triggered"), F.round(raised, 6).alias("coherence"))
 
 
 @query("""SELECT CAST(floor(epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 86400e6) AS BIGINT) AS day, CAST(max(l_quantity) AS DOUBLE) AS top, round(avg(l_quantity), 6) AS mean, count(DISTINCT l_suppkey) AS sites, round(avg(CASE WHEN l_quantity > 40 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coherence FROM lineitem GROUP BY 1""")

@@ -42,12 +42,12 @@ def feed_geojson(spark, sf_dir):
     return feeds.geojson_quakes(text).join(exact, "id").select("id", F.col("exact").alias("ep"), "magnitude", "depth_km", "lat", "lon")
 
 
-@query(f"WITH {QUAKES} SELECT event_id % 400 AS key, count(*) AS n FROM quakes WHERE event_id % 2 = 1 AND event_id % 400 NOT IN (SELECT event_id % 400 FROM quakes WHERE event_id % 4 = 0) GROUP BY 1")
+@query(f"WITH {QUAKES}, k AS (SELECT CAST(floor(ep / 600) AS BIGINT) AS key, magnitude FROM quakes) SELECT key, count(*) AS n FROM k WHERE magnitude < 4 AND key NOT IN (SELECT key FROM k WHERE magnitude >= 4) GROUP BY 1")
 def insert_or_ignore(spark, sf_dir):
-    """Rows whose key is not yet there."""
-    q = quakes(spark, sf_dir).withColumn("key", F.col("event_id") % 400)
-    fresh = q.where("event_id % 2 = 1")
-    new = sinks.only_new(fresh.select("key"), q.where("event_id % 4 = 0").select("key"), ["key"])
+    """Weak events by slots of ten minutes, but for the slots that strong events already hold."""
+    q = quakes(spark, sf_dir).withColumn("key", F.floor(F.col("ep") / 600))
+    fresh = q.where("magnitude < 4")
+    new = sinks.only_new(fresh.select("key"), q.where("magnitude >= 4").select("key"), ["key"])
     return fresh.join(new, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
 

@@ -189,10 +189,3 @@ def event_signal_windows(spark, sf_dir):
     s = samples(spark, sf_dir).where("metric = 'view'").select(F.floor("ep").alias("st"), "value").withColumn("bucket", F.floor(F.col("st") / 86400))
     j = e.join(s, "bucket").where("st >= t - 86400 and st < t")
     return j.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("std"), F.min("value").alias("low"), F.max("value").alias("top"))
-
-
-PER_ZONE_DAY = f"{ZONED}, zd AS (SELECT zone, t // 86400 AS day, count(*) AS n, max(magnitude) AS top FROM z GROUP BY 1, 2)"
-
-
-def per_zone_day(spark, sf_dir):
-    return zoned(spark, sf_dir).groupBy("zone", F.floor(F.col("t") / 86400).alias("day")).agg(F.count("*").alias("n"), F.max("magnitude").alias("top"))

@@ -180,3 +180,29 @@ def test_chain_is_monotone(spark):
     rates = spark.createDataFrame([(4.0, 4.5, 0.2), (4.0, 5.0, 0.3), (4.0, 5.5, 0.001), (4.0, 4.0, 0.9)], "bin double, threshold double, rate double")
     got = chains(spark.createDataFrame([(1, 0.5, 4.2)], "fid long, p double, seq_max double"), rates).orderBy("threshold").collect()
     assert [tuple(r) for r in got] == [(1, 4.5, 0.1), (1, 5.0, 0.1)]
+
+
+def test_greedy_clusters_is_the_one_by_one_order(spark):
+    from temblor.operators.cluster import greedy_clusters
+
+    q = sorted(quakes_of(spark), key=lambda r: (-(r.event_id * 37 % 10), r.event_id))
+    want = {}
+    for a in q:
+        if a.event_id not in want:
+            for b in q:
+                if b.event_id not in want and abs(a.ep - b.ep) <= 5 * 86400 and haversine(a, b) <= 400:
+                    want[b.event_id] = a.event_id
+    rows = spark.createDataFrame([(r.event_id, r.ep, r.lat, r.lon, float(r.event_id * 37 % 10)) for r in q], "event_id long, ep double, lat double, lon double, p double")
+    got = {r.event_id: r.cluster for r in greedy_clusters(rows, km=400.0, seconds=5 * 86400.0).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_velocity_of_the_first_and_of_ties(spark):
+    """The first forecast of each zone is new."""
+    from temblor.plans.analytics import forecasts
+
+    first = {}
+    for r in sorted(forecasts(spark, SF).collect(), key=lambda r: (r.issued, r.fid)):
+        first.setdefault(r.zone, r.fid)
+    got = {r.fid: r.direction for r in registry.QUERIES["watch_velocity"](spark, SF).collect()}
+    assert set(got.values()) >= {"NEW", "RISING", "FALLING"} and all(got[f] == "NEW" for f in first.values())
