@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.nearby import neighbours
+from ..operators.trailing import trailing_sums
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .analytics import RESOLVED, ranked, resolved
 from .registry import query
 from .sequences import AFTER, followers
-from .series import DAILY, HOURLY, ZONED, daily, hourly, over, trailing, zoned
+from .series import DAILY, EXACT, HOURLY, ZONED, daily, hourly, over, zoned
 
 
 @query(f"""WITH {SAMPLES}, n AS (SELECT metric, event_id, value, row_number() OVER (PARTITION BY metric ORDER BY ep, event_id) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM samples)
@@ -97,8 +98,8 @@ PHASE = "2 * pi() * (t % 44712) / 44712.0::DOUBLE"
 @query(f"""WITH {ZONED}, w AS (SELECT event_id, count(*) OVER d30 AS n, sum(cos({PHASE})) OVER d30 AS c, sum(sin({PHASE})) OVER d30 AS s FROM z WINDOW {over('d30', 30 * 86400)})
 SELECT event_id, n, round(CASE WHEN n < 10 THEN 1 ELSE exp(-(c * c + s * s) / n) END, 5) AS p FROM w""")
 def rolling_schuster(spark, sf_dir):
-    d30, phase = trailing(30 * 86400), 2 * F.pi() * (F.col("t") % 44712) / 44712.0
-    w = zoned(spark, sf_dir).select("event_id", F.count("*").over(d30).alias("n"), F.sum(F.cos(phase)).over(d30).alias("c"), F.sum(F.sin(phase)).over(d30).alias("s"))
+    phase = 2 * F.pi() * (F.col("t") % 44712) / 44712.0
+    w = trailing_sums(zoned(spark, sf_dir), [30 * 86400], {"n": F.lit(1), "c": F.cos(phase), "s": F.sin(phase)}).select("event_id", *(F.col(f"{x}_{30 * 86400}").alias(x) for x in "ncs"))
     return w.select("event_id", "n", F.round(F.when(F.col("n") < 10, 1.0).otherwise(F.exp(-(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"))), 5).alias("p"))
 
 
@@ -108,7 +109,8 @@ def coulomb_proxy(spark, sf_dir):
     """Moment over the cubed distance to the zone's centre, summed over 60 days."""
     km = F.greatest(111 * F.sqrt(F.pow(F.col("lat"), 2) + F.pow(F.col("lon") - (F.col("zone") * 30 - 165), 2)), F.lit(10.0))
     z = zoned(spark, sf_dir).withColumn("x", F.pow(F.lit(10.0), 1.5 * F.col("magnitude") + 9.1) / F.pow(km, 3))
-    return z.select("event_id", F.round(F.log10(F.sum("x").over(trailing(60 * 86400)) + 1), 5).alias("stress"))
+    s = trailing_sums(z, [60 * 86400], {"x": F.col("x").cast(EXACT)})
+    return s.select("event_id", F.round(F.log10(F.col(f"x_{60 * 86400}").cast("double") + 1), 5).alias("stress"))
 
 
 @query(f"WITH {DAILY} SELECT metric, day, round(v - lag(v) OVER w, 6) AS change, round(v - 2 * lag(v) OVER w + lag(v, 2) OVER w, 6) AS bend FROM daily WINDOW w AS (PARTITION BY metric ORDER BY day)")

@@ -18,14 +18,14 @@ AFTER = f"""after AS (SELECT a.event_id, a.magnitude, b.event_id AS other, b.mag
 
 def lookback(spark, sf_dir):
     """event, its magnitude, and each earlier neighbour (m, d, dt) within 30 days and the event's aftershock radius."""
-    q = quakes(spark, sf_dir)
-    n = neighbours(q, q, km=GK[2], back=30 * DAY).where((F.col("r.ep") < F.col("l.ep")) & (F.col("km") <= gk_radius(F.col("l.magnitude"))))
+    q = quakes(spark, sf_dir).select("event_id", "ep", "magnitude", "depth_km", "lat", "lon")
+    n = neighbours(q, q, km=GK[2], back=30 * DAY, reach=gk_radius(F.col("magnitude"))).where("r.ep < l.ep")
     return n.select(F.col("l.event_id").alias("event_id"), F.col("r.event_id").alias("other"), F.col("r.ep").alias("other_ep"), F.col("l.magnitude").alias("magnitude"), F.col("r.magnitude").alias("m"), F.col("r.depth_km").alias("d"), F.expr("l.ep - r.ep").alias("dt"))
 
 
 def followers(spark, sf_dir, days=7, km=GK[2]):
-    q = quakes(spark, sf_dir)
-    n = neighbours(q, q, km=km, ahead=days * DAY).where((F.col("r.ep") > F.col("l.ep")) & (F.col("km") <= gk_radius(F.col("l.magnitude"))))
+    q = quakes(spark, sf_dir).select("event_id", "ep", "magnitude", "lat", "lon")
+    n = neighbours(q, q, km=km, ahead=days * DAY, reach=gk_radius(F.col("magnitude"))).where("r.ep > l.ep")
     return n.select(F.col("l.event_id").alias("event_id"), F.col("l.magnitude").alias("magnitude"), F.col("r.event_id").alias("other"), F.col("r.magnitude").alias("m"), F.expr("r.ep - l.ep").alias("dt"), "km")
 
 
@@ -134,8 +134,8 @@ def radius_window_sweep(spark, sf_dir):
 
     The pairs are joined once.  Of an event's followers only the strongest of each window and radius matters, and thresholds share it."""
     settings = F.array(*(F.struct(F.lit(h).alias("hours"), F.lit(r).alias("radius")) for h, r in sorted({(h, r) for h, r, _ in SWEEP})))
-    q = quakes(spark, sf_dir)
-    n = neighbours(q, q, km=GK[2], ahead=7 * DAY).where(F.col("r.ep") > F.col("l.ep"))
+    q = quakes(spark, sf_dir).select("event_id", "ep", "magnitude", "lat", "lon")
+    n = neighbours(q, q, km=GK[2], ahead=7 * DAY, reach=F.greatest(F.lit(100.0), gk_radius(F.col("magnitude")))).where("r.ep > l.ep")
     n = n.select("l.event_id", "l.magnitude", F.col("r.magnitude").alias("m"), F.expr("r.ep - l.ep").alias("dt"), "km").select("*", F.inline(settings))
     reach = F.when(F.col("radius") == "gk", gk_radius(F.col("magnitude"))).otherwise(F.expr("try_cast(radius as double)"))
     f = n.where((F.col("dt") <= F.col("hours") * 3600) & (F.col("km") <= reach)).groupBy("hours", "radius", "event_id").agg(F.max(F.col("m") - F.col("magnitude")).alias("gain"))

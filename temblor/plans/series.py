@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.trailing import trailing_sums
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .registry import query
 
@@ -29,6 +30,10 @@ def daily(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("metric"), day.alias("day")).agg(F.round(F.avg("l_quantity"), 4).alias("v"))
 
 
+#: Amounts of earthquakes differ by many powers of ten; as decimals their sums are exact.
+EXACT = "decimal(38,10)"
+
+
 def trailing(seconds: int):
     return Window.partitionBy("zone").orderBy("t").rangeBetween(-seconds, 0)
 
@@ -39,8 +44,8 @@ def over(name: str, seconds: int) -> str:
 
 @query(f"WITH {ZONED} SELECT event_id, count(*) OVER d1 AS n_1d, count(*) OVER d7 AS n_7d, count(*) FILTER (magnitude >= 4) OVER d7 AS n4_7d FROM z WINDOW {over('d1', 86400)}, {over('d7', 604800)}")
 def sliding_counts(spark, sf_dir):
-    d1, d7 = trailing(86400), trailing(7 * 86400)
-    return zoned(spark, sf_dir).select("event_id", F.count("*").over(d1).alias("n_1d"), F.count("*").over(d7).alias("n_7d"), F.count_if(F.expr("magnitude >= 4")).over(d7).alias("n4_7d"))
+    s = trailing_sums(zoned(spark, sf_dir), [86400, 604800], {"n": F.lit(1), "n4": F.expr("magnitude >= 4").cast("int")})
+    return s.select("event_id", F.col("n_86400").alias("n_1d"), F.col("n_604800").alias("n_7d"), F.col("n4_604800").alias("n4_7d"))
 
 
 @query(f"WITH {ZONED} SELECT event_id, max(magnitude) OVER d1 AS top_1d, min(magnitude) OVER d1 AS low_1d, max(magnitude) OVER d7 AS top_7d FROM z WINDOW {over('d1', 86400)}, {over('d7', 604800)}")
@@ -51,21 +56,24 @@ def sliding_extrema(spark, sf_dir):
 
 @query(f"WITH {ZONED} SELECT event_id, round(log10(sum(pow(10.0::DOUBLE, 1.5 * magnitude)) OVER d3 + 1), 5) AS energy, round(log10(sum(pow(10.0::DOUBLE, 1.5 * magnitude + 9.05)) OVER d3), 5) AS moment FROM z WINDOW {over('d3', 259200)}")
 def energy_moment(spark, sf_dir):
-    d3, m = trailing(3 * 86400), F.col("magnitude")
-    return zoned(spark, sf_dir).select("event_id", F.round(F.log10(F.sum(F.pow(F.lit(10.0), 1.5 * m)).over(d3) + 1), 5).alias("energy"), F.round(F.log10(F.sum(F.pow(F.lit(10.0), 1.5 * m + 9.05)).over(d3)), 5).alias("moment"))
+    power = lambda plus: F.pow(F.lit(10.0), 1.5 * F.col("magnitude") + plus).cast(EXACT)
+    s = trailing_sums(zoned(spark, sf_dir), [259200], {"energy": power(0), "moment": power(9.05)})
+    return s.select("event_id", F.round(F.log10(F.col("energy_259200").cast("double") + 1), 5).alias("energy"), F.round(F.log10(F.col("moment_259200").cast("double")), 5).alias("moment"))
 
 
 @query(f"WITH {ZONED}, w AS (SELECT event_id, count(*) OVER d7 AS n, avg(magnitude) OVER d7 AS mean FROM z WINDOW {over('d7', 604800)}) SELECT event_id, round(CASE WHEN n >= 15 AND mean > 2.51 THEN 0.4342944819 / (mean - 2.5) END, 5) AS b FROM w")
 def b_value(spark, sf_dir):
-    d7 = trailing(7 * 86400)
-    w = zoned(spark, sf_dir).select("event_id", F.count("*").over(d7).alias("n"), F.avg("magnitude").over(d7).alias("mean"))
+    s = trailing_sums(zoned(spark, sf_dir), [604800], {"n": F.lit(1), "m": F.col("magnitude").cast(EXACT)})
+    w = s.select("event_id", F.col("n_604800").alias("n"), (F.col("m_604800").cast("double") / F.col("n_604800")).alias("mean"))
     return w.select("event_id", F.round(F.when((F.col("n") >= 15) & (F.col("mean") > 2.51), 0.4342944819 / (F.col("mean") - 2.5)), 5).alias("b"))
 
 
 @query(f"WITH {ZONED} SELECT event_id, round(avg(CASE WHEN depth_km > 0 THEN depth_km END) OVER d7, 5) AS mean_depth, round(avg(CASE WHEN depth_km > 70 THEN 1.0 ELSE 0.0 END) OVER d7, 5) AS deep FROM z WINDOW {over('d7', 604800)}")
 def depth_fraction(spark, sf_dir):
-    d7, d = trailing(7 * 86400), F.col("depth_km")
-    return zoned(spark, sf_dir).select("event_id", F.round(F.avg(F.when(d > 0, d)).over(d7), 5).alias("mean_depth"), F.round(F.avg(F.when(d > 70, 1.0).otherwise(0.0)).over(d7), 5).alias("deep"))
+    d = F.col("depth_km")
+    s = trailing_sums(zoned(spark, sf_dir), [604800], {"n": F.lit(1), "known": (d > 0).cast("int"), "depth": F.when(d > 0, d).cast(EXACT), "deep": (d > 70).cast("int")})
+    mean = F.when(F.col("known_604800") > 0, F.col("depth_604800").cast("double") / F.col("known_604800"))
+    return s.select("event_id", F.round(mean, 5).alias("mean_depth"), F.round(F.col("deep_604800") / F.col("n_604800"), 5).alias("deep"))
 
 
 @query(f"WITH {ZONED} SELECT event_id, round(coalesce((t - max(t) OVER (PARTITION BY zone ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 3600, 720), 5) AS hours FROM z")

@@ -56,6 +56,39 @@ def test_neighbours_across_the_antimeridian(spark):
     assert {(1, 2), (2, 1), (3, 4), (4, 3)} <= got and not {(1, 5), (5, 1)} & got
 
 
+def test_neighbours_with_a_reach_of_each_row(spark):
+    """Against all pairs, near the poles and the antimeridian too."""
+    import random
+    from types import SimpleNamespace
+
+    from temblor.operators.nearby import neighbours
+
+    r = random.Random(7)
+    rows = [(i, r.choice((-89.5, -60.0, 0.0, 35.0, 84.0, 89.9)) + r.uniform(-0.5, 0.09), (r.choice((-180.0, 10.0, 179.5)) + r.uniform(0, 0.5) + 180) % 360 - 180, r.uniform(0, 40) * 86400.0, r.choice((0.0, 15.0, 40.0, 90.0, 300.0))) for i in range(220)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, ep double, km double")
+    got = {(x.l.id, x.r.id) for x in neighbours(df, df, km=300, back=12 * 86400.0, ahead=3600.0, reach=F.col("km")).collect()}
+    points = [SimpleNamespace(id=i, lat=a, lon=o, ep=e, km=k) for i, a, o, e, k in rows]
+    assert got == {(a.id, b.id) for a in points for b in points if a.ep - 12 * 86400.0 <= b.ep <= a.ep + 3600.0 and (a is b or haversine(a, b) <= a.km)}
+
+
+def test_trailing_sums(spark):
+    """Against all pairs: blocks without events, equal seconds, null amounts, a null zone."""
+    import random
+
+    from temblor.operators.trailing import trailing_sums
+
+    r = random.Random(11)
+    rows = [(r.choice((0, 1, None)), i, r.choice((0, 86399, 86400, 5 * 86400, r.randrange(9 * 86400))), r.choice((None, 1, 5))) for i in range(150)]
+    df = spark.createDataFrame(rows, "zone long, event_id long, t long, x long")
+    got = {w.event_id: (w.n_86400, w.x_86400, w.x_300000) for w in trailing_sums(df, [86400, 300000], {"n": F.lit(1), "x": F.col("x")}).collect()}
+
+    def near(z, t, w):
+        return [x for y, _, u, x in rows if y == z and t - w <= u <= t]
+
+    assert got == {i: (len(near(z, t, 86400)), sum(x or 0 for x in near(z, t, 86400)), sum(x or 0 for x in near(z, t, 300000))) for z, i, t, _ in rows}
+    assert trailing_sums(df.limit(0), [60], {"n": F.lit(1)}).count() == 0
+
+
 def test_decluster_is_the_one_by_one_order(spark):
     q = sorted(quakes_of(spark), key=lambda r: (-r.magnitude, r.event_id))
     state = {}
