@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, haversine_sql
-from ..operators.graph import smallest_reachable
+from ..operators.graph import checkpointed, smallest_reachable
 from ..operators.nearby import neighbours
 from ..sources.projection import QUAKES, SAMPLES, STATIONS, ZONES, quakes, samples, stations, zones
 from .registry import query
@@ -65,13 +67,35 @@ def zone_assign_all(spark, sf_dir):
     return q.join(z, q["lon"].between(z["lon_lo"], z["lon_hi"])).groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("magnitude"), 6).alias("mean"))
 
 
-@query(f"""WITH {QUAKES}, {STATIONS}, d AS (SELECT id, station, {haversine_sql("q", "s")} AS km FROM quakes q, stations s WHERE magnitude >= 4)
+#: Km from the middle of a cell of one degree to its corners, at most, and from a place to the opposite one.
+CORNER, OPPOSITE = 79.0, 20_100.0
+
+
+def stations_of_cells(cells, stations):
+    """x, y, station, slat, slon: for cells of one degree the stations that can be nearest to a point of the cell.
+
+    If the station nearest to the middle is D away, those are at most D + 2 * CORNER from the middle.  They are looked for
+    within radii that grow until each cell has its own; the cells, not the events, go through the rounds."""
+    left = cells.select("x", "y", (F.col("y") + 0.5).alias("lat"), (F.col("x") + 0.5).alias("lon"), F.lit(0.0).alias("ep"))
+    right = stations.select("station", "lat", "lon", F.lit(0.0).alias("ep"))
+    km, found = 500.0, []
+    while True:
+        near = checkpointed(neighbours(left, right, km=km).select("l.x", "l.y", "r.station", F.col("r.lat").alias("slat"), F.col("r.lon").alias("slon"), "km"))
+        done = near.groupBy("x", "y").agg((F.min("km") + 2 * CORNER).alias("most")).where(F.lit(km >= OPPOSITE) | (F.col("most") <= km))
+        found.append(near.join(done, ["x", "y"]).where("km <= most").drop("km", "most"))
+        left = left.join(done, ["x", "y"], "left_anti")
+        if km >= OPPOSITE or left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        km = min(4 * km, OPPOSITE)
+
+
+@query(f"""WITH {QUAKES}, {STATIONS}, d AS (SELECT id, station, {haversine_sql("q", "s")} AS km FROM quakes q, stations s)
 SELECT id, arg_min(station, struct_pack(a := round(km, 6), b := station)) AS station, round(min(km), 4) AS km FROM d GROUP BY id""")
 def nearest_station(spark, sf_dir):
-    """The nearest of a dimension of stations (checked to be small, then broadcast)."""
-    s = stations(spark, sf_dir).withColumnsRenamed({"lat": "slat", "lon": "slon"})
-    small = F.broadcast(s) if s.count() <= 20_000 else s
-    d = quakes(spark, sf_dir).where("magnitude >= 4").join(small).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
+    """The nearest station of each event, of those that can be nearest to some point of its degree cell."""
+    q = quakes(spark, sf_dir).select("id", "lat", "lon", F.floor("lat").alias("y"), F.floor("lon").alias("x"))
+    near = stations_of_cells(q.select("x", "y").distinct(), stations(spark, sf_dir))
+    d = q.join(near, ["x", "y"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
     return d.groupBy("id").agg(F.min_by("station", F.struct(F.round("km", 6), "station")).alias("station"), F.round(F.min("km"), 4).alias("km"))
 
 
@@ -93,22 +117,22 @@ def asof(left, right, by: list[str], value: str):
     return both.withColumn("before", F.last("v", ignorenulls=True).over(w)).where("side = 1").drop("v", "side")
 
 
-@query(f"""WITH {QUAKES}, {SAMPLES}, q AS (SELECT id, ep + 0.5 AS ep, event_id % 5 AS m FROM quakes WHERE magnitude >= 4), s AS (SELECT ep, value, event_id % 5 AS m FROM samples)
+@query(f"""WITH {QUAKES}, {SAMPLES}, q AS (SELECT id, ep + 0.5 AS ep, event_id % 5 AS m FROM quakes), s AS (SELECT ep, value, event_id % 5 AS m FROM samples)
 SELECT id, value AS before FROM q ASOF LEFT JOIN s ON q.m = s.m AND q.ep >= s.ep""")
 def asof_latest(spark, sf_dir):
     """The latest reading at or before each event."""
-    q = quakes(spark, sf_dir).where("magnitude >= 4").select("id", (F.col("ep") + 0.5).alias("ep"), (F.col("event_id") % 5).alias("m"))
+    q = quakes(spark, sf_dir).select("id", (F.col("ep") + 0.5).alias("ep"), (F.col("event_id") % 5).alias("m"))
     s = samples(spark, sf_dir).select("ep", "value", (F.col("event_id") % 5).alias("m"))
     return asof(q, s, ["m"], "value").select("id", "before")
 
 
-@query(f"""WITH {QUAKES}, {SAMPLES}, q AS (SELECT id, ep + 1.0 AS ep, event_id % 5 AS m FROM quakes WHERE magnitude >= 4), s AS (SELECT ep, value, event_id % 5 AS m FROM samples),
+@query(f"""WITH {QUAKES}, {SAMPLES}, q AS (SELECT id, ep + 1.0 AS ep, event_id % 5 AS m FROM quakes), s AS (SELECT ep, value, event_id % 5 AS m FROM samples),
 x AS (SELECT id, q.m, q.ep, s.ep AS e0, s.value AS v0 FROM q ASOF LEFT JOIN s ON q.m = s.m AND q.ep >= s.ep),
 y AS (SELECT x.*, s.ep AS e1, s.value AS v1 FROM x ASOF LEFT JOIN s ON x.m = s.m AND x.ep < s.ep)
 SELECT id, round(CASE WHEN e0 IS NULL THEN v1 WHEN e1 IS NULL THEN v0 WHEN ep - e0 <= e1 - ep THEN v0 ELSE v1 END, 6) AS nearest, round(v0 + (v1 - v0) * (ep - e0) / (e1 - e0), 6) AS between_ FROM y""")
 def bracket_interpolate(spark, sf_dir):
     """The readings on both sides of each event: the nearer one, and the value between them."""
-    q = quakes(spark, sf_dir).where("magnitude >= 4").select("id", (F.col("ep") + 1.0).alias("ep"), (F.col("event_id") % 5).alias("m"), F.lit(1).alias("side"))
+    q = quakes(spark, sf_dir).select("id", (F.col("ep") + 1.0).alias("ep"), (F.col("event_id") % 5).alias("m"), F.lit(1).alias("side"))
     s = samples(spark, sf_dir).select("ep", (F.col("event_id") % 5).alias("m"), F.lit(0).alias("side"), F.struct("ep", "value").alias("s"))
     both = q.unionByName(s, allowMissingColumns=True)
     w = Window.partitionBy("m").orderBy("ep", "side")
