@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse of a cluster that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        one_machine = master.startswith("local") and not master.startswith("local-cluster")
+        base = "file:///tmp/temblor-shared" if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/temblor-shared"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the folder that the cluster shares."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/temblor-shared"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = shared_dir(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:

@@ -36,3 +36,20 @@ def trailing_sums(events: DataFrame, windows: list[int], sums: dict[str, Column]
     running = inside.join(blocks, ["zone", "block"]).select("event_id", "edge", *(total(n).alias(n) for n in sums))
     at = lambda n, edge: F.max(F.when(F.col("edge") == edge, F.col(n)))
     return running.groupBy("event_id").agg(*((at(n, 0) - at(n, w + 1)).alias(f"{n}_{w}") for n in sums for w in windows))
+
+
+def trailing_extrema(events: DataFrame, windows: list[int], value: str) -> DataFrame:
+    """event_id and, for each window of seconds, ``low_{seconds}`` and ``high_{seconds}`` of value, over the same windows.
+
+    With blocks as long as the window, a window is the end of one block and the start of the next: the extrema up to the event's
+    own time and those from the window's start on are running ones, and need no moving frame."""
+    sides = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(own).alias("own")) for w in windows for own in (True, False)))
+    rows = events.select("zone", "event_id", "t", F.col(value).alias("v")).select("zone", "event_id", "t", "v", F.inline(sides))
+    rows = rows.withColumns({"t": F.when(F.col("own"), F.col("t")).otherwise(F.col("t") - F.col("w")), "v": F.when(F.col("own"), F.col("v"))})
+    rows = rows.withColumn("block", F.floor(F.col("t") / (F.col("w") + 1)))
+    block = Window.partitionBy("zone", "w", "block")
+    until, since = (block.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.asc("t"), F.desc("t")))
+    running = lambda fn: F.when(F.col("own"), fn("v").over(until)).otherwise(fn("v").over(since))
+    ends = rows.select("event_id", "w", running(F.min).alias("low"), running(F.max).alias("high"))
+    of = lambda fn, c, w: fn(F.when(F.col("w") == w, F.col(c))).alias(f"{c}_{w}")
+    return ends.groupBy("event_id").agg(*(of(fn, c, w) for w in windows for fn, c in ((F.min, "low"), (F.max, "high"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.trailing import trailing_sums
+from ..operators.trailing import trailing_extrema, trailing_sums
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .registry import query
 
@@ -50,8 +50,8 @@ def sliding_counts(spark, sf_dir):
 
 @query(f"WITH {ZONED} SELECT event_id, max(magnitude) OVER d1 AS top_1d, min(magnitude) OVER d1 AS low_1d, max(magnitude) OVER d7 AS top_7d FROM z WINDOW {over('d1', 86400)}, {over('d7', 604800)}")
 def sliding_extrema(spark, sf_dir):
-    d1, d7 = trailing(86400), trailing(7 * 86400)
-    return zoned(spark, sf_dir).select("event_id", F.max("magnitude").over(d1).alias("top_1d"), F.min("magnitude").over(d1).alias("low_1d"), F.max("magnitude").over(d7).alias("top_7d"))
+    e = trailing_extrema(zoned(spark, sf_dir), [86400, 604800], "magnitude")
+    return e.select("event_id", F.col("high_86400").alias("top_1d"), F.col("low_86400").alias("low_1d"), F.col("high_604800").alias("top_7d"))
 
 
 @query(f"WITH {ZONED} SELECT event_id, round(log10(sum(pow(10.0::DOUBLE, 1.5 * magnitude)) OVER d3 + 1), 5) AS energy, round(log10(sum(pow(10.0::DOUBLE, 1.5 * magnitude + 9.05)) OVER d3), 5) AS moment FROM z WINDOW {over('d3', 259200)}")

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_dir
+
 COOLDOWN = 7200
 #: Levels of a zone's hourly top magnitude; alerts go out from the second level.
 LEVELS = (3.5, 4.0, 4.5, 5.0)
 
 
-def shared(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/temblor-shared"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with event time and zone."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -30,7 +26,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """What the stream has given once all input at hand is read."""
     spark = stream.sparkSession
-    path = shared(spark, label)
+    path = shared_dir(spark, label)
     if mode == "complete":
         sink = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
     else:

@@ -75,7 +75,7 @@ def test_trailing_sums(spark):
     """Against all pairs: blocks without events, equal seconds, null amounts, a null zone."""
     import random
 
-    from temblor.operators.trailing import trailing_sums
+    from temblor.operators.trailing import trailing_extrema, trailing_sums
 
     r = random.Random(11)
     rows = [(r.choice((0, 1, None)), i, r.choice((0, 86399, 86400, 5 * 86400, r.randrange(9 * 86400))), r.choice((None, 1, 5))) for i in range(150)]
@@ -86,6 +86,9 @@ def test_trailing_sums(spark):
         return [x for y, _, u, x in rows if y == z and t - w <= u <= t]
 
     assert got == {i: (len(near(z, t, 86400)), sum(x or 0 for x in near(z, t, 86400)), sum(x or 0 for x in near(z, t, 300000))) for z, i, t, _ in rows}
+    ends = {w.event_id: (w.low_86400, w.high_86400, w.low_300000) for w in trailing_extrema(df, [86400, 300000], "x").collect()}
+    low, high = (lambda z, t, w, fn=fn: fn((x for x in near(z, t, w) if x is not None), default=None) for fn in (min, max))
+    assert ends == {i: (low(z, t, 86400), high(z, t, 86400), low(z, t, 300000)) for z, i, t, _ in rows}
     assert trailing_sums(df.limit(0), [60], {"n": F.lit(1)}).count() == 0
 
 
