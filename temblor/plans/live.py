@@ -32,16 +32,30 @@ def stream_alerts(spark, sf_dir):
     return live.finished(live.alerts(live.events_stream(spark, sf_dir)), "append", "alerts")
 
 
-@query(f"WITH {QUAKES} SELECT id, ep, magnitude, depth_km, lat, lon FROM quakes WHERE event_id % 3 <> 0")
+@query(f"WITH {QUAKES} SELECT id, round(ep * 1000) / 1000.0::DOUBLE AS ep, magnitude, depth_km, lat, lon FROM quakes WHERE event_id % 3 <> 0")
 def feed_geojson(spark, sf_dir):
-    """Quakes written as feature collections, a third of them without magnitude, and parsed again."""
+    """Quakes written as feature collections with times in milliseconds, a third of them without magnitude, and parsed again."""
     q = quakes(spark, sf_dir)
     feature = F.struct("id", F.struct(F.when(F.col("event_id") % 3 != 0, F.col("magnitude")).alias("mag"), F.round(F.col("ep") * 1000).cast("long").alias("time"), F.lit("x").alias("place")).alias("properties"), F.struct(F.array("lon", "lat", "depth_km").alias("coordinates")).alias("geometry"))
     text = q.groupBy(F.floor(F.col("event_id") / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("text"))
-    exact = q.select("id", F.col("ep").alias("exact"))  # feeds have milliseconds
-    return feeds.geojson_quakes(text).join(exact, "id").select("id", F.col("exact").alias("ep"), "magnitude", "depth_km", "lat", "lon")
+    return feeds.geojson_quakes(text).select("id", "ep", "magnitude", "depth_km", "lat", "lon")
 
 
+@query(f"""WITH {QUAKES} SELECT 'emsc_' || CASE event_id % 4 WHEN 0 THEN 'u' || event_id WHEN 1 THEN id ELSE CAST(event_id AS VARCHAR) END AS id, ep, magnitude, depth_km, lat, lon,
+  CASE WHEN event_id % 2 = 0 THEN 'north' ELSE 'south' END AS place FROM quakes WHERE event_id % 5 <> 0""")
+def feed_agency(spark, sf_dir):
+    """Quakes written as another agency's collections: ISO times, ids and places in one of several fields, a fifth without magnitude; parsed again."""
+    q = quakes(spark, sf_dir)
+    k = F.col("event_id")
+    time = F.date_format(F.timestamp_micros(F.round(F.col("ep") * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    properties = F.struct(
+        F.when(k % 5 != 0, F.col("magnitude")).alias("mag"), time.alias("time"), F.when(k % 4 >= 2, k.cast("string")).otherwise("").alias("source_id"), F.when(k % 4 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("unid"),
+        F.when(k % 2 == 0, "north").otherwise("").alias("flynn_region"), F.lit("south").alias("region"),
+    )
+    feature = F.struct("id", properties.alias("properties"), F.struct(F.array("lon", "lat", "depth_km").alias("coordinates")).alias("geometry"))
+    text = q.groupBy(F.floor(k / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("text"))
+    return feeds.agency_quakes(text)
+
 @query(f"WITH {QUAKES}, k AS (SELECT CAST(floor(ep / 600) AS BIGINT) AS key, magnitude FROM quakes) SELECT key, count(*) AS n FROM k WHERE magnitude < 4 AND key NOT IN (SELECT key FROM k WHERE magnitude >= 4) GROUP BY 1")
 def insert_or_ignore(spark, sf_dir):
     """Weak events by slots of ten minutes, but for the slots that strong events already hold."""

@@ -21,6 +21,19 @@ def geojson_quakes(df: DataFrame, text: str = "text") -> DataFrame:
     return f.select("id", (F.col("properties.time") / 1000.0).alias("ep"), F.col("properties.mag").alias("magnitude"), at[2].alias("depth_km"), at[1].alias("lat"), at[0].alias("lon"), "properties.place")
 
 
+AGENCY = "features array<struct<id:string,properties:struct<mag:double,time:string,source_id:string,unid:string,flynn_region:string,region:string>,geometry:struct<coordinates:array<double>>>>"
+
+
+def agency_quakes(df: DataFrame, text: str = "text") -> DataFrame:
+    """id, ep, magnitude, depth_km, lat, lon, place of FeatureCollections with ISO times; features without magnitude or a time that can be read are skipped.
+
+    An empty string counts as missing: the id is the first of source_id, unid and the feature's own, the place the first of both regions."""
+    f = df.select(F.inline(F.from_json(text, AGENCY).features)).select("id", "properties.*", F.col("geometry.coordinates").alias("at"))
+    first = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names), F.lit(""))
+    f = f.withColumn("time", F.col("time").try_cast("timestamp")).where("mag is not null and time is not null")
+    return f.select(F.concat(F.lit("emsc_"), first("source_id", "unid", "id")).alias("id"), (F.unix_micros("time") / 1e6).alias("ep"), F.col("mag").alias("magnitude"), F.col("at")[2].alias("depth_km"), F.col("at")[1].alias("lat"), F.col("at")[0].alias("lon"), first("flynn_region", "region").alias("place"))
+
+
 def pipe_catalog(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows of an FDSN text catalog: 13 fields between bars, comments and short rows left out."""
     line = df.select(F.explode(F.split(text, r"\r?\n")).alias("line")).where("line <> '' and line not like '#%'")
