@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster
 from ..operators.nearby import neighbours
 from ..sources import feeds, sinks
-from ..sources.projection import DAY, QUAKES, quakes
+from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples
 from ..streaming import live
 from .registry import query
 from .sequences import followers, lookback
@@ -56,6 +56,17 @@ def feed_agency(spark, sf_dir):
     text = q.groupBy(F.floor(k / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("text"))
     return feeds.agency_quakes(text)
 
+@query(f"""WITH {SAMPLES} SELECT event_id, 'kp_index' AS metric, floor(ep) AS ep, round(value / 55, 3) AS value FROM samples UNION ALL SELECT event_id, 'dst_index', floor(ep), -round(value / 5, 1) FROM samples WHERE event_id % 7 <> 0""")
+def feed_tagged(spark, sf_dir):
+    """Samples written as arrays of tagged objects, some without the second value, and parsed again; each sample is a feed."""
+    s = samples(spark, sf_dir)
+    tag = F.date_format(F.timestamp_seconds(F.floor("ep")), "yyyy-MM-dd'T'HH:mm:ss")
+    entry = F.struct(tag.alias("time_tag"), F.round(F.col("value") / 55, 3).alias("kp_index"), F.when(F.col("event_id") % 7 != 0, -F.round(F.col("value") / 5, 1)).alias("dst"))
+    text = s.groupBy("event_id").agg(F.to_json(F.collect_list(entry)).alias("text"))
+    narrow = feeds.tagged(text.withColumnRenamed("event_id", "feed"), {"kp_index": "kp_index", "dst": "dst_index"}, keep=["feed"])
+    return narrow.select(F.col("feed").alias("event_id"), "metric", F.unix_seconds("time").cast("double").alias("ep"), "value")
+
+
 @query(f"WITH {QUAKES}, k AS (SELECT CAST(floor(ep / 600) AS BIGINT) AS key, magnitude FROM quakes) SELECT key, count(*) AS n FROM k WHERE magnitude < 4 AND key NOT IN (SELECT key FROM k WHERE magnitude >= 4) GROUP BY 1")
 def insert_or_ignore(spark, sf_dir):
     """Weak events by slots of ten minutes, but for the slots that strong events already hold."""

@@ -18,7 +18,7 @@ def geojson_quakes(df: DataFrame, text: str = "text") -> DataFrame:
     """id, ep, magnitude, depth_km, lat, lon, place of FeatureCollections; features without magnitude or time are skipped."""
     f = df.select(F.inline(F.from_json(text, GEOJSON).features)).where("properties.mag is not null and properties.time is not null")
     at = F.col("geometry.coordinates")
-    return f.select("id", (F.col("properties.time") / 1000.0).alias("ep"), F.col("properties.mag").alias("magnitude"), at[2].alias("depth_km"), at[1].alias("lat"), at[0].alias("lon"), "properties.place")
+    return f.select("id", (F.col("properties.time") / 1000.0).alias("ep"), F.col("properties.mag").alias("magnitude"), F.get(at, F.lit(2)).alias("depth_km"), F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lon"), "properties.place")
 
 
 AGENCY = "features array<struct<id:string,properties:struct<mag:double,time:string,source_id:string,unid:string,flynn_region:string,region:string>,geometry:struct<coordinates:array<double>>>>"
@@ -31,7 +31,7 @@ def agency_quakes(df: DataFrame, text: str = "text") -> DataFrame:
     f = df.select(F.inline(F.from_json(text, AGENCY).features)).select("id", "properties.*", F.col("geometry.coordinates").alias("at"))
     first = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names), F.lit(""))
     f = f.withColumn("time", F.col("time").try_cast("timestamp")).where("mag is not null and time is not null")
-    return f.select(F.concat(F.lit("emsc_"), first("source_id", "unid", "id")).alias("id"), (F.unix_micros("time") / 1e6).alias("ep"), F.col("mag").alias("magnitude"), F.col("at")[2].alias("depth_km"), F.col("at")[1].alias("lat"), F.col("at")[0].alias("lon"), first("flynn_region", "region").alias("place"))
+    return f.select(F.concat(F.lit("emsc_"), first("source_id", "unid", "id")).alias("id"), (F.unix_micros("time") / 1e6).alias("ep"), F.col("mag").alias("magnitude"), F.get("at", F.lit(2)).alias("depth_km"), F.get("at", F.lit(1)).alias("lat"), F.get("at", F.lit(0)).alias("lon"), first("flynn_region", "region").alias("place"))
 
 
 def pipe_catalog(df: DataFrame, text: str = "text") -> DataFrame:
@@ -45,11 +45,21 @@ def pipe_catalog(df: DataFrame, text: str = "text") -> DataFrame:
 
 def header_array(df: DataFrame, text: str = "text") -> DataFrame:
     """Arrays of arrays whose first row is a header (time first), to narrow rows time, metric, value; nulls left out."""
-    rows = df.select(F.from_json(text, "array<array<string>>").alias("a")).select(F.col("a")[0].alias("head"), F.explode(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0)))).alias("r"))
-    cells = rows.select(F.col("r")[0].try_cast("timestamp").alias("time"), F.inline(F.slice(F.arrays_zip("head", "r"), F.lit(2), F.greatest(F.size("head") - 1, F.lit(0)))))
+    rows = df.select(F.from_json(text, "array<array<string>>").alias("a")).select(F.get("a", F.lit(0)).alias("head"), F.explode(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0)))).alias("r"))
+    cells = rows.select(F.get("r", F.lit(0)).try_cast("timestamp").alias("time"), F.inline(F.slice(F.arrays_zip("head", "r"), F.lit(2), F.greatest(F.size("head") - 1, F.lit(0)))))
     return cells.select("time", F.col("head").alias("metric"), number(F.col("r")).alias("value")).where("value is not null and time is not null")
 
 
+def tagged(df: DataFrame, fields: dict[str, str], text: str = "text", keep: tuple | list = ()) -> DataFrame:
+    """Arrays of objects with a ``time_tag`` (UTC if it names no zone) to narrow rows time, metric, value; fields maps an object's
+    fields to metrics, such as the planetary index, the ring current or fluxes; columns of ``keep`` come along.  Missing values and times that can't be read are left out."""
+    m = df.select(*keep, F.explode(F.from_json(text, "array<map<string,string>>")).alias("m"))
+    tag = F.col("m")["time_tag"]
+    time = F.when(tag.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), tag).otherwise(F.concat(tag, F.lit("Z"))).try_cast("timestamp")
+    cells = m.select(*keep, time.alias("time"), F.inline(F.array(*(F.struct(F.lit(metric).alias("metric"), number(F.col("m")[field]).alias("value")) for field, metric in fields.items()))))
+    return cells.where("value is not null and time is not null")
+
+
 def three_hour_kp(df: DataFrame, text: str = "text") -> DataFrame:
     """Lines ``yyyy mm dd`` and eight three-hour values in tenths: time, value; negative values are missing."""
     f = F.split(F.btrim("line"), r"\s+")

@@ -156,6 +156,14 @@ def test_feeds(spark):
     assert [(r.station, r.time.year, r.height) for r in feeds.buoy_heights(text(buoy)).collect()] == [("st1", 2024, 4000.5)]
     flares = '[{"beginTime":"2024-01-01T00:00:00Z","classType":"M2.5"},{"beginTime":"2024-01-01T00:00:00Z","classType":"?"}]'
     assert sorted(r.value for r in feeds.flares(text(flares)).collect()) == [1.0, 4.25]
+    agency = '{"features":[{"id":"a","properties":{"mag":4.1,"time":"2024-01-01T00:00:01.5Z","unid":"b"},"geometry":{"coordinates":[1,2]}},{"id":"c","properties":{"mag":4.1,"time":"soon"}},{"id":"d","properties":{"time":"2024-01-01T00:00:00Z"}}]}'
+    assert [(r.id, r.ep % 60, r.lon, r.depth_km, r.place) for r in feeds.agency_quakes(text(agency)).collect()] == [("emsc_b", 1.5, 1.0, None, "")]
+    tags = '[{"time_tag":"2024-01-01T00:01:00","kp":3,"dst":null},{"time_tag":"2024-01-01T02:00:00+02:00","kp":"2.33"},{"time_tag":"","kp":1},{"kp":1}]'
+    assert sorted((r.metric, r.value, r.time.minute) for r in feeds.tagged(text(tags), {"kp": "k", "dst": "d"}).collect()) == [("k", 2.33, 0), ("k", 3.0, 1)]
+    flat = '{"features":[{"id":"a","properties":{"mag":4.1,"time":1500},"geometry":{"coordinates":[1,2]}},{"id":"b","properties":{"mag":4.2,"time":2000}}]}'
+    assert sorted((r.id, r.ep, r.lat, r.depth_km) for r in feeds.geojson_quakes(text(flat)).collect()) == [("a", 1.5, 2.0, None), ("b", 2.0, None, None)]
+    assert feeds.header_array(text("[]")).count() == 0 and feeds.header_array(text('[["time_tag","x"],[]]')).count() == 0
+    assert feeds.tagged(text("not json"), {"kp": "k"}).count() == 0 and feeds.agency_quakes(text("")).count() == 0
     omni = "2024 32 5 3.5 400 37\n2024 32 6 999.9 9999 99\n"
     got = {r.metric: (r.time.month, r.time.hour, r.value) for r in feeds.hourly_wind(text(omni)).collect()}
     assert got == {"bz": (2, 5, 3.5), "speed": (2, 5, 400.0), "kp": (2, 5, 3.7)}
