@@ -135,8 +135,9 @@ def bracket_interpolate(spark, sf_dir):
     q = quakes(spark, sf_dir).select("id", (F.col("ep") + 1.0).alias("ep"), (F.col("event_id") % 5).alias("m"), F.lit(1).alias("side"))
     s = samples(spark, sf_dir).select("ep", (F.col("event_id") % 5).alias("m"), F.lit(0).alias("side"), F.struct("ep", "value").alias("s"))
     both = q.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy("m").orderBy("ep", "side")
-    both = both.withColumn("a", F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("side = 1")
+    # Both are running values, the later one in falling order: a frame with an open end would start anew for each row.
+    up, down = (Window.partitionBy("m").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("ep", "side"), (F.desc("ep"), F.desc("side"))))
+    both = both.withColumn("a", F.last("s", True).over(up)).withColumn("b", F.last("s", True).over(down)).where("side = 1")
     nearest = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull(), F.col("a.value")).when(F.col("ep") - F.col("a.ep") <= F.col("b.ep") - F.col("ep"), F.col("a.value")).otherwise(F.col("b.value"))
     return both.select("id", F.round(nearest, 6).alias("nearest"), F.round(F.expr("a.value + (b.value - a.value) * (ep - a.ep) / (b.ep - a.ep)"), 6).alias("between_"))
 
