@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, near_dedup, secret_scan, substring_dedup, token_counts, toxicity, warc
+from . import bpe, centroids, decontamination, exact_dedup, filter_audit, language_id, near_dedup, quality, secret_scan, substring_dedup, token_counts, toxicity, warc
 from .frames import held_out, table
 
 
@@ -66,5 +66,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).withColumn("held_out", out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_warc, op5_near_dedup, op6_decontamination, op7_bpe, op8_secret_scan, op9_token_counts, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op6_decontamination": decontamination.ORACLE}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.where(~out).join(labels, "doc_id"))
+    return quality.predict(docs, model).withColumn("held_out", out).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_warc, op5_near_dedup, op6_decontamination, op7_bpe, op8_secret_scan, op9_token_counts, op10_toxicity, op11_quality, op12_filter_audit, op13_centroids)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op6_decontamination": decontamination.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_centroids": centroids.ORACLE}
