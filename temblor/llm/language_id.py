@@ -15,16 +15,20 @@ least ``share`` times its highest rate in any language.
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language first in alphabetical order; rows with a null language
 are not learned from; without any row to learn from, every text is ``und``.  All
-languages of the sample are learned.  Other columns are ignored.
+languages of the sample are learned, also from one short row; a text with letters always gets one of them.  Of a language's
+typical n-grams the ``most`` most frequent are in its filter: what is left out has lower rates than all of those, and the bound keeps a filter
+sparse and what the driver receives at ``most`` numbers a language.  Repeated rows are learned from each and predicted alike; very long texts are
+read whole, in slices of rows; an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import bounded_sample, map_batches
@@ -33,6 +37,8 @@ from .textkernel import mix, slices, utf8
 NONE = "und"
 SIZES = (2, 3, 4)
 U64 = np.uint64
+#: An n-gram counts in a language that has it LEAST times; in one of fewer than THIN n-grams once is enough, of twice as many two times.
+LEAST, THIN = 3, 20_000
 #: Letters keep their byte (A-Z folded), bytes of other characters too; all else is one border.
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[97:123] = np.arange(97, 123)
@@ -92,19 +98,28 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, most: int = 30_000, share:
             out.append((name, *np.unique(h, return_counts=True)))
         return pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.string()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), pa.array(np.concatenate([o[2] for o in out]), pa.int64())], names=["lang", "gram", "n"])
 
-    grams = map_batches(rows.repartition(16, "h").select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
+    langs = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
+    counted = map_batches(rows.repartition(16, "h").select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # What a large language has once or twice is chance; a small one is learned from all that it has.
+    least = counted.groupBy("lang").agg(F.least(F.lit(LEAST), 1 + F.floor(F.sum("n") / THIN)).alias("least"))
+    grams = counted.join(F.broadcast(least), "lang").where("n >= least").drop("least")
     total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = grams.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
     typical = rated.join(best, "gram").where(F.col("rate") >= share * F.col("best"))
-    # The `most` most frequent of each language, by a rate threshold: no language is gathered in one task.
-    parts = []
-    langs = tuple(sorted(r["lang"] for r in total.collect()))
-    kept = typical.select("lang", "gram", "rate").persist()
-    for name in langs:
-        got = kept.where(F.col("lang") == name).orderBy(F.desc("rate"), "gram").limit(most).select("gram").toPandas()
-        parts.append(got["gram"].to_numpy(np.int64).view(U64))
+    # The `most` most frequent of each language: counts by rate tell in which part of the rates the last of them lies, and that part alone is ranked.
+    kept = typical.select("lang", "gram", "rate", F.floor(F.log2("rate") * 8).cast("int").alias("part")).persist()
+    above, last = Counter(), []
+    for lang_, part, n in sorted(map(tuple, kept.groupBy("lang", "part").count().collect()), key=lambda x: (x[0], -x[1])):
+        if above[lang_] < most:
+            last.append((lang_, part, most - above[lang_]))
+        above[lang_] += n
+    room = F.broadcast(labelled.sparkSession.createDataFrame(last, "lang string, part int, room long"))
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("rate"), "gram"))
+    got = kept.join(room, ["lang", "part"]).withColumn("place", place).where("place <= room").select("lang", "gram").toArrow()
     kept.unpersist()
+    names, found = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy().view(U64)
+    parts = [found[names == name] for name in langs]
     table = np.zeros((-(-len(langs) // 64), bits), U64)
     for i, h in enumerate(parts):
         for p in positions(h, bits, probes):
