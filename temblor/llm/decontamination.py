@@ -20,8 +20,8 @@ Documents are not sketched: all their shingles are probed, so that long ones hid
 Defined results: null or empty texts match nothing; an item of fewer than five
 words is one shingle, its whole word sequence, and an item without words matches nothing; repeated documents each
 count as themselves; rows of one item_id are one item, which has the distinct
-shingles of them all; several items of equal text all match.  Other columns are
-ignored.
+shingles of them all, and each text without an item_id is an item of its own (its item_id is null in the result); several items of equal text all match.  Very long texts are probed whole; an empty table on
+either side gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +105,10 @@ def small(df: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
     """k1, k2, doc_id, item_id, n_item (shingles of the item), n_shared and containment, for pairs at or above ``containment``."""
-    items = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    # A struct is never null, so that rows without an id meet in the joins too; each of their texts is an item of its own.
+    own = F.when(F.col("item_id").isNull(), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    items = benchmark.select(F.struct("item_id", own.alias("own")).alias("item"), text.alias("text"))
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *row_keys(F.col("doc_id"), F.col("text")))
     # Runs of fewer than K words are made of documents only for the lengths that short items have, K - 1 lengths at most.
     lengths = [K, *sorted(r[0] for r in items.select(F.size(words("text")).alias("n")).where((F.col("n") > 0) & (F.col("n") < K)).distinct().collect())]
@@ -114,12 +117,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8)
     found = hashes.join(small(probes), "h").groupBy("k1", "k2", "item", "least").agg(F.count_distinct("h").alias("n")).where("n >= least")
     pairs = stored(found.select("k1", "k2", "item"), "candidates")
     keys = small(pairs.select("k1", "k2").distinct())
-    texts = plain_shingles(marked.join(keys, ["k1", "k2"], "left_semi"), "text", "s", lengths).withColumn("row", F.monotonically_increasing_id())
+    # Repeated rows are verified once and given as often as they are there; no row number can change when a task runs again.
+    texts = marked.join(keys, ["k1", "k2"], "left_semi").groupBy("doc_id", "k1", "k2", "text").agg(F.count("*").alias("copies"))
+    texts = plain_shingles(texts, "text", "s", lengths)
     whole = of_items(items, plain_shingles, lengths).select("item", F.size("s").alias("n_item"), F.explode_outer("s").alias("shingle"))
-    exact = texts.select("row", "doc_id", "k1", "k2", F.explode_outer("s").alias("shingle")).join(small(stored(whole, "items")), "shingle")
+    exact = texts.select("doc_id", "k1", "k2", "copies", F.explode_outer("s").alias("shingle")).join(small(stored(whole, "items")), "shingle")
     exact = exact.join(small(pairs.distinct()), ["k1", "k2", "item"], "left_semi")
-    exact = exact.groupBy("row", "doc_id", "k1", "k2", F.col("item").alias("item_id"), "n_item").agg(F.count("*").alias("n_shared"))
-    return exact.where(F.col("n_shared") >= F.lit(containment) * F.col("n_item")).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6)).drop("row")
+    exact = exact.groupBy("doc_id", "k1", "k2", "copies", "item", "n_item").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= F.lit(containment) * F.col("n_item"))
+    exact = exact.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return exact.select("doc_id", "k1", "k2", F.col("item.item_id").alias("item_id"), "n_item", "n_shared", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
@@ -134,14 +140,14 @@ ORACLE = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
 ), i AS (
-  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+  SELECT item_id, coalesce('i' || item_id, 't' || text) AS item, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark
 ), its AS (
-  SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s
-  FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)
+  SELECT DISTINCT item_id, item, k, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM (SELECT item_id, item, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)
 ), ds AS (
   SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM its) WHERE len(w) >= k)
-), n AS (SELECT item_id, count(DISTINCT s) AS n_item FROM its GROUP BY 1)
+), n AS (SELECT item, count(DISTINCT s) AS n_item FROM its GROUP BY 1)
 SELECT doc_id, item_id, CAST(n_item AS INT) AS n_item, count(DISTINCT s) AS n_shared, round(count(DISTINCT s) / n_item, 6) AS containment
-FROM ds JOIN its USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(DISTINCT s) >= 0.8 * n_item
+FROM ds JOIN its USING (k, s) JOIN n USING (item) GROUP BY doc_id, item, item_id, n_item HAVING count(DISTINCT s) >= 0.8 * n_item
 """
