@@ -33,6 +33,8 @@ WIDER = 8
 #: Rows of a group that one task should meet, and the most parts of a group.
 SALTED = 500
 MOST_SALTS = 512
+#: A first digit with more than one in HOT of all rows is hot.
+HOT = 1000
 
 
 def salted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -48,8 +50,14 @@ def assign(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), F.length(text).alias("points"), F.regexp_replace(text, BLANKS, "").cast("binary").alias("rest"))
     digit = F.substring("rest", 1, FIRST_DIGIT)
-    first = rows.select(digit.alias("gid")).groupBy("gid").count().where("count > 1")
-    state = rows.withColumn("gid", digit).withColumn("text_sha256", F.sha2("rest", 256)).join(first, "gid", "left")
+    first = stored(rows.select(digit.alias("gid")).groupBy("gid").count().where("count > 1"), "digits")
+    # Digits of more than a thousandth of all rows, of which there are fewer than a thousand, are dealt to several tasks.
+    share = max(docs.count() // HOT, SALTED)
+    salts = F.ceil(F.col("count") / share).cast("int")
+    hot = F.broadcast(first.where(F.col("count") > share).select("gid", salts.alias("salts")))
+    keyed = rows.withColumn("gid", digit).withColumn("text_sha256", F.sha2("rest", 256)).join(hot, "gid", "left")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))))
+    state = keyed.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))), ["gid", "salt"], "left")
     alone = F.col("count").isNull()
     state = stored(
         state.select("doc_id", "k1", "k2", "points", "text_sha256", F.when(~alone, F.col("gid")).alias("gid"), F.when(~alone, F.expr(f"substring(rest, {FIRST_DIGIT + 1})")).alias("rest"), F.coalesce("count", F.lit(1)).alias("many"), F.monotonically_increasing_id().alias("row")),

@@ -473,3 +473,41 @@ def test_warc(spark, tmp_path):
     assert sorted((x.headers["warc-record-id"], x.block) for x in back) == sorted((x.record_id, x.block) for x in r.collect())
     assert {x.headers["warc-refers-to"] for x in back} == {x.refers_to for x in r.collect()}
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_language_id_of_thin_languages(spark):
+    """A language of one row is learned, and every text with a letter gets a learned language."""
+    one = "Der schnelle braune Fuchs springt über den faulen Hund und läuft weg"
+    rows = [(i, "the quick brown fox jumps over the lazy dog and runs away", "en", "s", 0) for i in range(20)] + [(30, one, "de", "s", 0), (31, "быстрая лиса прыгает", "ru", "s", 0), (32, "12 34", "zz", "s", 0)]
+    f = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert f.langs == ("de", "en", "ru", "zz")
+    new = spark.createDataFrame([(1, "der faule Hund"), (2, "лиса"), (3, "the lazy dog"), (4, "漢字"), (5, "12"), (6, None)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(new, f).collect()}
+    assert (got[1], got[2], got[3], got[5], got[6]) == ("de", "ru", "en", "und", "und") and got[4] in f.langs
+    two = language_id.fit(spark.createDataFrame(rows[19:21], SCHEMA))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(new, two).collect()}[1] == "de"
+
+
+def test_decontamination_of_items_without_an_id(spark):
+    rng = random.Random(8)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    items = spark.createDataFrame([(None, a), (None, b), (None, b), (3, sentence(rng, 20)), (None, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, a), (2, "x " + b), (2, "x " + b), (4, sentence(rng, 90)), (None, a + " " + b)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_item) for r in decontamination.find_leaks(df, items).collect())
+    assert got == {(1, None, 36): 1, (2, None, 36): 2, (None, None, 36): 2}
+    assert [r.doc_id for r in decontamination.clean(df, items).collect()] == [4]
+
+
+def test_exact_dedup_of_a_hot_first_digit(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALTED", 3)
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    head = "head " * 30
+    rows = [(i, head + str(i % 7)) for i in range(60)] + [(100 + i, "") for i in range(30)] + [(200 + i, f"own {i}") for i in range(20)] + [(5, head + "5")] * 4
+    got = exact_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    key = lambda t: re.sub(r"\s", "", t)
+    by = {sha(key(t)): v for t, v in groups.items()}
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert all((r.keep_id, r.group_size) == (min(by[r.text_sha256]), len(by[r.text_sha256])) for r in got) and sum(r.kept for r in got) == len(groups)
