@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.projection import QUAKES, SAMPLES, quakes, samples, table
+from ..operators.ordered import carried, numbered
+from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .registry import query
 
 FIRST, LAST = 1704067200.0, 1704067200.0 + 30 * 86400
@@ -41,20 +42,19 @@ def hourly_histogram(spark, sf_dir):
 SELECT metric, event_id, ep, value FROM n WHERE (k - 1) % step = 0""")
 def downsample_modulo(spark, sf_dir):
     """Every step-th sample of a metric, for about 100 points."""
-    w = Window.partitionBy("metric")
     s = samples(spark, sf_dir)
-    # The step comes from a small aggregate, the rank from one sort a metric.
+    # The step comes from a small aggregate; places come from counts by day, so that a metric is not one task.
     step = s.groupBy("metric").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 100)).alias("step"))
-    return s.withColumn("k", F.row_number().over(w.orderBy("ep", "event_id"))).join(F.broadcast(step), "metric").where("(k - 1) % step = 0").select("metric", "event_id", "ep", "value")
+    return numbered(s, ["metric"], ["ep", "event_id"], F.floor(F.col("ep") / DAY)).join(F.broadcast(step), "metric").where("k % step = 0").select("metric", "event_id", "ep", "value")
 
 
 @query(f"""WITH {SAMPLES}, n AS (SELECT metric, event_id, ep, floor(value / 50) AS level, lag(floor(value / 50)) OVER (PARTITION BY metric ORDER BY ep, event_id) AS before FROM samples)
 SELECT metric, event_id, ep, CAST(level AS BIGINT) AS level FROM n WHERE level IS DISTINCT FROM before""")
 def dedup_consecutive(spark, sf_dir):
     """Only samples at which the level changes."""
-    w = Window.partitionBy("metric").orderBy("ep", "event_id")
     s = samples(spark, sf_dir).select("metric", "event_id", "ep", F.floor(F.col("value") / 50).alias("level"))
-    return s.withColumn("before", F.lag("level").over(w)).where(~F.col("level").eqNullSafe(F.col("before"))).drop("before")
+    s = carried(s, ["metric"], ["ep", "event_id"], "level", F.floor(F.col("ep") / DAY), "before", own=False)
+    return s.where(~F.col("level").eqNullSafe(F.col("before"))).drop("before")
 
 
 @query(f"""WITH {SAMPLES}, w AS (SELECT * FROM (VALUES ('view', 0.0, 400.0), ('click', 1.0, 300.0), ('purchase', 5.0, 250.0)) AS t(metric, lo, hi))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.nearby import neighbours
+from ..operators.ordered import numbered
 from ..operators.trailing import trailing_sums
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .analytics import RESOLVED, ranked, resolved
@@ -19,8 +20,7 @@ SELECT metric, event_id, value FROM n WHERE n <= 200 OR (i * 200) // n <> ((i -
 def even_stride(spark, sf_dir):
     """At most 200 samples of a metric at an even stride."""
     s = samples(spark, sf_dir)
-    i = F.row_number().over(Window.partitionBy("metric").orderBy("ep", "event_id")) - 1
-    n = s.withColumn("i", i).join(F.broadcast(s.groupBy("metric").agg(F.count("*").alias("n"))), "metric")
+    n = numbered(s, ["metric"], ["ep", "event_id"], F.floor(F.col("ep") / DAY), "i").join(F.broadcast(s.groupBy("metric").agg(F.count("*").alias("n"))), "metric")
     return n.where("n <= 200 or i = 0 or floor(i * 200 / n) <> floor((i - 1) * 200 / n)").select("metric", "event_id", "value")
 
 

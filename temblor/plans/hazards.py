@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.cluster import greedy_clusters as by_strength
+from ..operators.trailing import trailing_extrema, trailing_sums
 from ..sources.projection import DAY, QUAKES, quakes, table
 from .analytics import FORECASTS, forecasts
 from .registry import query
 from .sequences import AFTER, RISE, TAP, followers
-from .series import DAILY, ZONED, daily, over, trailing, zoned
+from .series import DAILY, EXACT, ZONED, daily, over, zoned
 
 LOG10_E = 0.4342944819032518
 
@@ -21,17 +22,17 @@ b AS (SELECT event_id, zone, CASE WHEN n7 >= 10 THEN {LOG10_E} / (mean7 - low7 +
   CASE WHEN n30 >= 15 AND mean30 - 2.45 > 0.01 THEN {LOG10_E} / (mean30 - 2.45) END AS b_aki, CASE WHEN n4 >= 10 THEN {LOG10_E} / (mean4 - 4 + 0.05) END AS b_m4 FROM w)
 SELECT event_id, round(b_range, 5) AS b_range, round(b_14d, 5) AS b_14d, round(coalesce(round(b_mc, 5), median(round(b_mc, 5)) OVER (PARTITION BY zone), 1), 6) AS b_mc, round(b_aki, 5) AS b_aki, round(b_m4, 5) AS b_m4 FROM b""")
 def b_values_all(spark, sf_dir):
-    """Five estimates of the b-value of a zone's trailing events, from three frames over one sort.
+    """Five estimates of the b-value of a zone's trailing events, from running sums by day.
 
     b_range: over the least magnitude, of 7 days and ten events.  b_14d: over 2.5, else 0.  b_mc: over 2.5, of 30 days; gaps get the zone's median, else 1.
     b_aki: over 2.5 less half a bin.  b_m4: of magnitudes from 4."""
     m = F.col("magnitude")
-    d7, d14, d30 = trailing(7 * 86400), trailing(14 * 86400), trailing(30 * 86400)
-    above, strong = F.when(m >= 2.5, m), F.when(m >= 4, m)
-    w = zoned(spark, sf_dir).select(
-        "event_id", "zone", F.count("*").over(d7).alias("n7"), F.avg(m).over(d7).alias("mean7"), F.min(m).over(d7).alias("low7"), F.count("*").over(d14).alias("n14"), F.count(above).over(d14).alias("c14"), F.avg(above).over(d14).alias("mean14"),
-        F.count(above).over(d30).alias("n30"), F.avg(above).over(d30).alias("mean30"), F.count(strong).over(d30).alias("n4"), F.avg(strong).over(d30).alias("mean4"),
-    )
+    z = zoned(spark, sf_dir)
+    sums = {"n": F.lit(1), "s": m.cast(EXACT), "na": (m >= 2.5).cast("int"), "sa": F.when(m >= 2.5, m).cast(EXACT), "n4": (m >= 4).cast("int"), "s4": F.when(m >= 4, m).cast(EXACT)}
+    w = trailing_sums(z, [7 * 86400, 14 * 86400, 30 * 86400], sums).join(trailing_extrema(z, [7 * 86400], "magnitude"), "event_id").join(z.select("event_id", "zone"), "event_id")
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total).cast("double") / F.col(n))
+    w = w.select("event_id", "zone", F.col("n_604800").alias("n7"), mean("s_604800", "n_604800").alias("mean7"), F.col("low_604800").alias("low7"), F.col("n_1209600").alias("n14"), F.col("na_1209600").alias("c14"), mean("sa_1209600", "na_1209600").alias("mean14"),
+        F.col("na_2592000").alias("n30"), mean("sa_2592000", "na_2592000").alias("mean30"), F.col("n4_2592000").alias("n4"), mean("s4_2592000", "n4_2592000").alias("mean4"))
     c = F.col
     b = w.select(
         "event_id", "zone", F.round(F.when(c("n7") >= 10, LOG10_E / (c("mean7") - c("low7") + 0.01)), 5).alias("b_range"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine, haversine_sql
 from ..operators.graph import checkpointed, smallest_reachable
 from ..operators.nearby import neighbours
-from ..sources.projection import QUAKES, SAMPLES, STATIONS, ZONES, quakes, samples, stations, zones
+from ..operators.ordered import carried
+from ..sources.projection import DAY, QUAKES, SAMPLES, STATIONS, ZONES, quakes, samples, stations, zones
 from .registry import query
 
 #: Reports of every 20th event by another agency: 7 s later, a tenth stronger.
@@ -111,10 +112,9 @@ def topk_stations(spark, sf_dir):
 
 
 def asof(left, right, by: list[str], value: str):
-    """left with the last ``value`` of right at or before its ep, by key: one sort of the union, no join."""
+    """left with the last ``value`` of right at or before its ep, by key: one sort of the union by days, and the last reading of the days before; no join by time, and no task for a whole key."""
     both = left.withColumn("v", F.lit(None).cast("double")).withColumn("side", F.lit(1)).unionByName(right.select(*by, "ep", F.col(value).alias("v"), F.lit(0).alias("side")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("ep", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("before", F.last("v", ignorenulls=True).over(w)).where("side = 1").drop("v", "side")
+    return carried(both, by, ["ep", "side"], "v", F.floor(F.col("ep") / DAY), "before").where("side = 1").drop("v", "side")
 
 
 @query(f"""WITH {QUAKES}, {SAMPLES}, q AS (SELECT id, ep + 0.5 AS ep, event_id % 5 AS m FROM quakes), s AS (SELECT ep, value, event_id % 5 AS m FROM samples)
@@ -135,9 +135,9 @@ def bracket_interpolate(spark, sf_dir):
     q = quakes(spark, sf_dir).select("id", (F.col("ep") + 1.0).alias("ep"), (F.col("event_id") % 5).alias("m"), F.lit(1).alias("side"))
     s = samples(spark, sf_dir).select("ep", (F.col("event_id") % 5).alias("m"), F.lit(0).alias("side"), F.struct("ep", "value").alias("s"))
     both = q.unionByName(s, allowMissingColumns=True)
-    # Both are running values, the later one in falling order: a frame with an open end would start anew for each row.
-    up, down = (Window.partitionBy("m").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("ep", "side"), (F.desc("ep"), F.desc("side"))))
-    both = both.withColumn("a", F.last("s", True).over(up)).withColumn("b", F.last("s", True).over(down)).where("side = 1")
+    # Both are carried over days, the later one in falling order.
+    both = carried(q.unionByName(s, allowMissingColumns=True), ["m"], ["ep", "side"], "s", F.floor(F.col("ep") / DAY), "a").withColumns({"back": -F.col("ep"), "back_side": -F.col("side")})
+    both = carried(both, ["m"], ["back", "back_side"], "s", F.floor(F.col("back") / DAY), "b").where("side = 1")
     nearest = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull(), F.col("a.value")).when(F.col("ep") - F.col("a.ep") <= F.col("b.ep") - F.col("ep"), F.col("a.value")).otherwise(F.col("b.value"))
     return both.select("id", F.round(nearest, 6).alias("nearest"), F.round(F.expr("a.value + (b.value - a.value) * (ep - a.ep) / (b.ep - a.ep)"), 6).alias("between_"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import carried
 from ..operators.trailing import trailing_extrema, trailing_sums
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples, table
 from .registry import query
@@ -34,10 +35,6 @@ def daily(spark, sf_dir):
 EXACT = "decimal(38,10)"
 
 
-def trailing(seconds: int):
-    return Window.partitionBy("zone").orderBy("t").rangeBetween(-seconds, 0)
-
-
 def over(name: str, seconds: int) -> str:
     return f"{name} AS (PARTITION BY zone ORDER BY t RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW)"
 
@@ -78,8 +75,10 @@ def depth_fraction(spark, sf_dir):
 
 @query(f"WITH {ZONED} SELECT event_id, round(coalesce((t - max(t) OVER (PARTITION BY zone ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 3600, 720), 5) AS hours FROM z")
 def time_since_last(spark, sf_dir):
-    w = Window.partitionBy("zone").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    return zoned(spark, sf_dir).select("event_id", F.round(F.coalesce((F.col("t") - F.max("t").over(w)) / 3600, F.lit(720.0)), 5).alias("hours"))
+    z = zoned(spark, sf_dir).select("zone", "event_id", "t")
+    # Seconds with events, each once: what is carried to a second is the one before it.
+    seconds = carried(z.select("zone", "t").distinct(), ["zone"], ["t"], "t", F.floor(F.col("t") / DAY), "before", own=False)
+    return z.join(seconds, ["zone", "t"]).select("event_id", F.round(F.coalesce((F.col("t") - F.col("before")) / 3600, F.lit(720.0)), 5).alias("hours"))
 
 
 def rows_back(n: int, ahead: int = 0):
