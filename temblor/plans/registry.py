@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import analytics, catalog, features, hazards, live, matrix, places, sequences, series, streams, waves  # noqa: E402, F401  (they register their queries)
+from . import analytics, catalog, features, hazards, intake, live, matrix, places, sequences, series, streams, waves  # noqa: E402, F401  (they register their queries)
