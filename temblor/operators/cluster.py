@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +24,24 @@ def density_clusters(events: DataFrame, km: float = 100.0, seconds: float = 3 *
     return reached.groupBy(F.col("b").alias("event_id")).agg(F.coalesce(own, F.min("label")).alias("cluster"))
 
 
-def decluster(claims: DataFrame, events: DataFrame) -> DataFrame:
+#: Rounds after which what is undecided is taken component by component, and the most events of a component that one task takes.
+ROUNDS, BOUND = 6, 5000
+
+
+def decluster(claims: DataFrame, events: DataFrame, rounds: int = ROUNDS, bound: int = BOUND) -> DataFrame:
     """(event_id, main): events in order of strength claim their dependents, and a dependent claims none.
 
     claims has (strong, weak), the pairs in which the stronger could claim the weaker.  An event whose stronger
     neighbours are all dependents is main; one with a main neighbour is dependent; each round decides the
-    strongest undecided events of every place at once, which gives what the one-by-one order gives."""
+    strongest undecided events of every place at once, which gives what the one-by-one order gives.  A long chain would take a round for
+    each of its links: every ``rounds`` rounds, the components of undecided events that are small enough are gone through one by one."""
     claims = checkpointed(claims.select("strong", "weak"))
     state = checkpointed(events.select("event_id", F.lit(None).cast("boolean").alias("main")))
+    done = 0
     while not state.where("main is null").isEmpty():
+        if done and done % rounds == 0:
+            state = settled(claims, state, bound)
+        done += 1
         above = claims.join(state.select(F.col("event_id").alias("strong"), F.col("main").alias("strong_main")), "strong")
         above = above.groupBy(F.col("weak").alias("event_id")).agg(F.max(F.coalesce("strong_main", F.lit(False))).alias("claimed"), F.max(F.col("strong_main").isNull()).alias("waits"))
         now = F.when(F.coalesce("claimed", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
@@ -50,3 +60,47 @@ def greedy_clusters(events: DataFrame, km: float, seconds: float) -> DataFrame:
     mains = leaders.where("main").select(F.col("event_id").alias("strong"))
     taken = near.join(mains, "strong", "left_semi").groupBy(F.col("weak").alias("event_id")).agg(F.max(F.struct("p", (-F.col("strong")).alias("id"))).alias("by"))
     return leaders.join(taken, "event_id", "left").select("event_id", F.when(F.col("main"), F.col("event_id")).otherwise(-F.col("by.id")).alias("cluster"))
+
+
+def _one_by_one(key: tuple, edges: pa.Table) -> pa.Table:
+    """event_id and main of the events of one component, from its pairs (strong, weak), strongest first."""
+    below: dict[int, list[int]] = {}
+    above: dict[int, int] = {}
+    for strong, weak in zip(edges["strong"].to_pylist(), edges["weak"].to_pylist(), strict=True):
+        below.setdefault(strong, []).append(weak)
+        above[weak] = above.get(weak, 0) + 1
+    main = dict.fromkeys([*below, *above], True)
+    ready = [e for e in below if e not in above]
+    while ready:
+        event = ready.pop()
+        for weak in below.get(event, ()):
+            main[weak] &= not main[event]
+            above[weak] -= 1
+            if not above[weak]:
+                ready.append(weak)
+    return pa.table({"event_id": pa.array(main), "main": pa.array(main.values())})
+
+
+def settled(claims: DataFrame, state: DataFrame, bound: int) -> DataFrame:
+    """``state`` with the undecided events of components of at most ``bound`` events decided, each component in one task; larger ones stay undecided."""
+    undecided = state.where("main is null").select("event_id")
+    pairs = claims.join(undecided.withColumnRenamed("event_id", "strong"), "strong", "left_semi").join(undecided.withColumnRenamed("event_id", "weak"), "weak", "left_semi")
+    pairs = checkpointed(pairs.select("strong", "weak"))
+    labels = smallest_reachable(pairs.select(F.col("strong").alias("a"), F.col("weak").alias("b")))
+    small = labels.groupBy("label").count().where(F.col("count") <= bound).select("label")
+    mine = pairs.join(labels.join(small, "label", "left_semi").withColumnRenamed("node", "strong"), "strong")
+    decided = mine.groupBy("label").applyInArrow(_one_by_one, "event_id long, main boolean")
+    now = state.join(decided.withColumnRenamed("main", "found"), "event_id", "left")
+    return checkpointed(now.select("event_id", F.coalesce("main", "found").alias("main")))
+
+
+def first_fit(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, home): events in an order each join the first home made so far that would have them, or make one.
+
+    claims has (strong, weak, place): the event ``strong`` comes before ``weak`` and, as a home, would have it; place orders the homes.  Homes are what
+    ``decluster`` leaves, since an event that no earlier home would have makes one."""
+    claims = checkpointed(claims.select("strong", "weak", "place"))
+    homes = decluster(claims, events)
+    made = homes.where("main").select(F.col("event_id").alias("strong"))
+    joined = claims.join(made, "strong", "left_semi").groupBy(F.col("weak").alias("event_id")).agg(F.min_by("strong", F.struct("place", "strong")).alias("by"))
+    return homes.join(joined, "event_id", "left").select("event_id", F.when(F.col("main"), F.col("event_id")).otherwise(F.col("by")).alias("home"))
