@@ -27,8 +27,11 @@ def stream_first_reports(spark, sf_dir):
     return live.finished(live.first_reports(live.events_stream(spark, sf_dir)).drop("time"), "append", "reports")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ZONED}, l AS (SELECT zone, ep AS t, level, lag(level) OVER w AS was, row_number() OVER w AS k FROM (SELECT *, {" + ".join(f"CAST(magnitude >= {x} AS BIGINT)" for x in live.LEVELS)} AS level FROM z) WINDOW w AS (PARTITION BY zone ORDER BY ep, event_id)),
+c AS (SELECT * FROM l WHERE level > was AND level >= 2), n AS (SELECT a.zone, a.k, min(b.k) AS nk FROM c a JOIN c b ON b.zone = a.zone AND b.t - a.t >= {live.COOLDOWN} GROUP BY 1, 2),
+s AS (SELECT zone, min(k) AS k FROM c GROUP BY 1 UNION ALL SELECT n.zone, nk FROM s JOIN n USING (zone, k)) SELECT zone, t, level FROM s JOIN c USING (zone, k)""")
 def stream_alerts(spark, sf_dir):
+    """Rises of a zone's level, with a pause after each alert."""
     return live.finished(live.alerts(live.events_stream(spark, sf_dir)), "append", "alerts")
 
 

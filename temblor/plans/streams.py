@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.geo import gk_sql, haversine_sql
 from ..operators.graph import shared_dir
 from ..sources.projection import DAY, QUAKES, quakes
-from ..streaming import ledger, scores
+from ..streaming import ledger, live, scores, watch
+from ..streaming.ordered import delivered
 from .analytics import FORECASTS, forecasts
 from .registry import query
+from .hazards import BACK, CHANGE
 from .series import ZONED, zoned
+from .waves import BUOYS, buoys
 
 #: Deliveries: three of ten days each; a row whose id is divisible by 11 comes one later, by 5 again with the next one, by 7 twice.
 START, PART, PARTS = 1704067200, 864000, 3
@@ -62,7 +65,7 @@ def closed_forecasts(spark, sf_dir) -> DataFrame:
     rows = f.unionByName(e)
     names = [c.split() for c in ledger.ROWS.split(", ")]
     rows = arrivals(rows.select(*(F.col(n).cast(kind) for n, kind in names)), "t", "id")
-    return ledger.delivered(spark, parts(rows), ledger.ROWS, ledger.ledger, "ledger")
+    return delivered(spark, parts(rows), ledger.ROWS, ledger.ledger, "ledger")
 
 
 @query(f"WITH RECURSIVE {LEDGER} SELECT * FROM closed")
@@ -106,3 +109,61 @@ def run_scorer(spark, scorer: scores.Scorer, batches: list[DataFrame]) -> None:
         batch.write.mode("append").parquet(source)
         stream = spark.readStream.schema(scores.EVENTS).parquet(source)
         stream.writeStream.foreachBatch(scorer).option("checkpointLocation", f"{scorer.path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+EVENTS = "event_id long, t double, magnitude double, zone long, lat double, lon double, agency long"
+
+
+def deliveries(spark, sf_dir) -> list[DataFrame]:
+    """Events as they come in; every fifth id is of another agency."""
+    z = zoned(spark, sf_dir).select("event_id", F.col("ep").alias("t"), "magnitude", "zone", "lat", "lon", F.floor(F.col("event_id") % 5 / 3).alias("agency"))
+    return parts(arrivals(z, "t", "event_id"))
+
+
+def timed(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("time", F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("long")))
+
+
+ARRIVED = f"""{ZONED}, e AS (SELECT event_id, ep AS t, magnitude, zone, lat, lon, CAST(floor(event_id % 5 / 3) AS BIGINT) AS agency, CAST(floor(ep * 1000) AS BIGINT) AS ms FROM z), r AS ({arrivals_sql("e", "t", "event_id")})"""
+
+
+@query(f"""WITH {ARRIVED}, {waters_sql("r", 6 * 3600 * 1000, "ms")}, k AS (SELECT r.*, CAST(floor(t / 3600) AS BIGINT) AS hour FROM r JOIN w USING (delivery) WHERE mark IS NULL OR (floor(t / 3600) + 1) * 3600000 > mark)
+SELECT zone, hour, count(*) AS n, max(magnitude) AS top FROM k WHERE (hour + 1) * 3600000 <= (SELECT mark FROM w WHERE delivery = {PARTS}) GROUP BY 1, 2""")
+def stream_late_counts(spark, sf_dir):
+    """Hours of a zone, given once the watermark has passed them and then forgotten; rows of hours that are past are left out, rows that come twice count twice."""
+    return delivered(spark, deliveries(spark, sf_dir), EVENTS, lambda s: live.hourly_counts(timed(s)), "counts")
+
+
+@query(f"""WITH {ARRIVED}, {waters_sql("r", int(DAY * 1000), "ms")} SELECT DISTINCT event_id, magnitude, zone FROM r JOIN w USING (delivery) WHERE mark IS NULL OR ms > mark""")
+def stream_first_of_repeats(spark, sf_dir):
+    """The first report of each event, of deliveries with late and repeated ones."""
+    return delivered(spark, deliveries(spark, sf_dir), EVENTS, lambda s: live.first_reports(timed(s)).select("event_id", "magnitude", "zone"), "first")
+
+
+def ok_sql(delay: int) -> str:
+    """Rows that count: each once, not late, and judged by the end."""
+    return f"{waters_sql('r', delay * 1000, 'ms')}, ok AS (SELECT DISTINCT r.* EXCLUDE (delivery) FROM r JOIN w USING (delivery) WHERE (mark IS NULL OR ms > mark) AND ms <= (SELECT mark FROM w WHERE delivery = {PARTS}))"
+
+
+@query(f"""WITH {ARRIVED}, {ok_sql(watch.DELAY)} SELECT a.event_id, min(b.event_id) IS NULL AS kept, arg_min(b.event_id, struct_pack(t := b.t, id := b.event_id)) AS twin FROM ok a LEFT JOIN ok b ON b.agency <> a.agency AND (b.t < a.t OR (b.t = a.t AND b.event_id < a.event_id)) AND b.t >= a.t - {watch.TWIN_S}
+  AND abs(a.lat - b.lat) <= {watch.TWIN_DEG} AND abs(a.lon - b.lon) <= {watch.TWIN_DEG} AND abs(a.magnitude - b.magnitude) <= {watch.TWIN_MAG} + 1e-9 AND {haversine_sql("a", "b")} <= {watch.TWIN_KM} GROUP BY 1""")
+def stream_twins(spark, sf_dir):
+    """Reports of an event that another agency has reported before: found as they come in, by cells of a degree whose state is what the watermark has not passed."""
+    return delivered(spark, deliveries(spark, sf_dir), EVENTS, watch.twins, "twins")
+
+
+@query(f"""WITH {FORECASTS}, e AS (SELECT fid, zone, issued AS t, p, CAST(issued * 1000 AS BIGINT) AS ms FROM forecasts), r AS ({arrivals_sql("e", "t", "fid")}), {ok_sql(watch.DELAY)},
+c AS (SELECT a.fid, a.zone, a.p, arg_min(b.p, struct_pack(x := abs(b.t - a.t + {BACK}), y := b.t, z := b.fid)) AS prior FROM ok a LEFT JOIN ok b ON b.zone = a.zone AND b.t < a.t AND b.t >= a.t - {2 * BACK} GROUP BY 1, 2, 3)
+SELECT zone, fid, prior, round(coalesce(p - prior, 0), 3) AS delta, CASE WHEN prior IS NULL THEN 'NEW' WHEN p - prior > {CHANGE} THEN 'RISING' WHEN p - prior < -{CHANGE} THEN 'FALLING' ELSE 'STEADY' END AS direction FROM c""")
+def stream_velocity(spark, sf_dir):
+    """A zone's probability against its earlier one about six hours back, as forecasts come in; what is kept of a zone is its trail."""
+    f = forecasts(spark, sf_dir).select("fid", "zone", F.col("issued").alias("t"), "p")
+    return delivered(spark, parts(arrivals(f, "t", "fid")), "fid long, zone long, t long, p double", watch.velocity, "velocity").withColumn("delta", F.round("delta", 3))
+
+
+@query(f"""WITH {BUOYS}, e AS (SELECT *, t * 1000 AS ms FROM buoys), r AS ({arrivals_sql("e", "t", "event_id")}), {ok_sql(watch.DELAY)}, l AS (SELECT *, lag(mode) OVER o AS before, max(CASE WHEN mode = 1 THEN t END) OVER o AS last_normal FROM ok WINDOW o AS (PARTITION BY station ORDER BY t, event_id))
+SELECT station, t, CASE mode WHEN 2 THEN 'EVENT' ELSE 'TSUNAMI' END AS mode, last_normal FROM l WHERE mode > 1 AND mode IS DISTINCT FROM before""")
+def stream_modes(spark, sf_dir):
+    """Buoys that change to event or tsunami mode, and when they last were normal."""
+    b = buoys(spark, sf_dir).select("station", "t", "event_id", "mode")
+    return delivered(spark, parts(arrivals(b, "t", "event_id")), "station long, t long, event_id long, mode int", watch.modes, "modes")

@@ -1,9 +1,6 @@
 """A ledger of forecasts as a stream: issued, superseded, hit or expired, by zone, in event time.
 
-Two streams come together by zone: scores of zones and strong events.  Rows arrive in any order and more than once.  The state
-of a zone has the rows that the watermark has not passed yet and the forecasts that are open; once it passes, rows are
-judged in order of time, whichever order and batch they came in.  Rows at or before the watermark are late and
-left out, so that a repeated row is either beside its first in the state, where both are one, or late.
+Two streams come together by zone: scores of zones and strong events, in any order and more than once (see ``ordered``).  What is kept of a zone are its open forecasts.
 
 A score of at least ``LEAST`` opens a forecast unless one is open that ends later, in which case it needs ``AGAIN`` times that one's
 probability and supersedes it.  The first strong event from a forecast's issue to its end, both included, is its hit; a
@@ -12,11 +9,10 @@ each by id.  Only closed forecasts are given; open ones stay in the state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .ordered import InOrder, in_order
 
 #: The least probability of a forecast, and the rise that issues one anew.
 LEAST, AGAIN = 0.35, 1.1
@@ -26,7 +22,7 @@ SCORE, EVENT = 0, 1
 
 ROWS = "kind int, id long, zone long, t long, x double, hours long, guess double"
 CLOSED = "zone long, fid long, issued long, expires long, p double, guess double, outcome string, closed long, event_id long, actual double"
-WAITING = "kind int, id long, t long, x double, hours long, guess double"
+WAITING = "t long, kind int, id long, x double, hours long, guess double"
 OPEN = "fid long, issued long, expires long, p double, guess double"
 
 
@@ -56,56 +52,16 @@ def judge(rows: list[tuple], forecasts: list[tuple], until: float) -> tuple[list
     return closed, forecasts
 
 
-class Ledger(StatefulProcessor):
-    """The state of a zone: rows ahead of the watermark, and open forecasts."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.open = handle.getListState("open", OPEN)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        passed = timerValues.getCurrentWatermarkInMs()
-        fresh = []
-        for frame in rows:
-            frame = frame[frame["t"] * 1000 > passed]
-            fresh += frame[["kind", "id", "t", "x", "hours", "guess"]].itertuples(index=False, name=None)
-        if fresh:
-            self.waiting.appendList([(int(k), int(i), int(t), float(x), int(h), float(g)) for k, i, t, x, h, g in fresh])
-            self.handle.registerTimer(min(r[2] for r in fresh) * 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted({tuple(r) for r in rows if r[2] * 1000 <= passed}, key=lambda r: (r[2], r[0], r[1]))
-        later = [tuple(r) for r in rows if r[2] * 1000 > passed]
-        closed, forecasts = judge(due, [tuple(f) for f in self.open.get()] if self.open.exists() else [], passed / 1000)
-        self.keep(self.waiting, later)
-        self.keep(self.open, forecasts)
-        ahead = [r[2] * 1000 for r in later] + [f[2] * 1000 + 1 for f in forecasts]
-        if ahead:
-            self.handle.registerTimer(min(ahead))
-        if closed:
-            frame = pd.DataFrame([(key[0], *f) for f in closed], columns=[c.split()[0] for c in CLOSED.split(", ")])
-            yield frame.astype({"event_id": "Int64", "actual": "Float64"})
-
-    @staticmethod
-    def keep(state, rows: list[tuple]) -> None:
-        state.put(rows) if rows else state.clear()
-
-    def close(self) -> None:
-        pass
+def fold(rows: list[tuple], forecasts: list[tuple], until: float) -> tuple[list[tuple], list[tuple], float | None]:
+    closed, forecasts = judge([(k, i, t, x, h, g) for t, k, i, x, h, g in rows], forecasts, until)
+    return closed, forecasts, min((f[2] for f in forecasts), default=None)
 
 
 def ledger(rows: DataFrame) -> DataFrame:
     """Closed forecasts of a stream of ROWS: scores (x is the probability, hours the window, guess the expected magnitude) and strong events (x is the magnitude; hours and guess 0).
 
     What can't change the ledger should be filtered before; rows without zone, time or value are left out."""
-    rows = rows.where("zone is not null and t is not null and x is not null").withColumn("time", F.timestamp_seconds("t")).withWatermark("time", f"{DELAY} seconds")
-    return rows.groupBy("zone").transformWithStateInPandas(Ledger(), CLOSED, "append", "EventTime")
+    return in_order(rows.where("x is not null"), "zone", InOrder(WAITING, OPEN, CLOSED, fold), DELAY)
 
 
 def metrics(closed: DataFrame) -> DataFrame:
@@ -117,21 +73,3 @@ def metrics(closed: DataFrame) -> DataFrame:
         F.count("*").alias("n"), of("hit").alias("hits"), of("false_alarm").alias("false_alarms"), of("superseded").alias("superseded"),
         rate("hit").alias("hit_rate"), rate("false_alarm").alias("false_alarm_rate"), F.round(F.avg("lead"), 1).alias("lead_hours"), F.round(F.avg(F.abs(F.col("guess") - F.col("actual"))), 2).alias("magnitude_error"),
     )
-
-
-def delivered(spark: SparkSession, batches: list[DataFrame], schema: str, run, label: str) -> DataFrame:
-    """What ``run`` makes of a stream that gets ``batches`` one after the other; each starts the query again from its checkpoint."""
-    from ..operators.graph import shared_dir
-
-    source, sink = shared_dir(spark, f"{label}-in"), shared_dir(spark, label)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for batch in batches:
-            batch.write.mode("append").parquet(source)
-            out = run(spark.readStream.schema(schema).parquet(source))
-            out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    return spark.read.schema(out.schema).parquet(sink)

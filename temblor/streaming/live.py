@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import shared_dir
+from .ordered import InOrder, in_order, rocks
 
 COOLDOWN = 7200
 #: Levels of a zone's hourly top magnitude; alerts go out from the second level.
@@ -31,7 +29,8 @@ def finished(stream: DataFrame, mode: str, label: str) -> DataFrame:
         sink = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
     else:
         sink = stream.writeStream.outputMode(mode).format("parquet").option("path", path)
-    sink.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    with rocks(spark):
+        sink.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -65,19 +64,13 @@ def judge(times: list[float], magnitudes: list[float], before: tuple[int, float]
     return out, before
 
 
-def alerts(events: DataFrame) -> DataFrame:
-    """zone, t, level of alerts; the state of a zone is its level and the time of its last alert."""
-
-    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+def alert_fold(rows: list[tuple], kept: list[tuple], until: float) -> tuple[list[tuple], list[tuple], None]:
+    """Rows (t, event_id, magnitude); kept are a zone's level and the time of its last alert, or nothing."""
+    out, state = judge([r[0] for r in rows], [r[2] for r in rows], kept[0] if kept else None)
+    return out, [state] if state else [], None
 
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        before = state.get if state.exists else None
-        out, after = judge(rows["t"].tolist(), rows["magnitude"].tolist(), before)
-        if after is not None:
-            state.update(after)
-        if out:
-            yield pd.DataFrame({"zone": [key[0]] * len(out), "t": [t for t, _ in out], "level": [x for _, x in out]})
 
+def alerts(events: DataFrame, delay: int = 0) -> DataFrame:
+    """zone, t, level of alerts; the state of a zone is its level, the time of its last alert, and what the watermark has not passed."""
     seconds = events.select("zone", "event_id", (F.unix_micros("time") / 1e6).alias("t"), "magnitude")
-    return seconds.groupBy("zone").applyInPandasWithState(run, "zone long, t double, level long", "level long, alerted double", "append", GroupStateTimeout.NoTimeout)
+    return in_order(seconds, "zone", InOrder("t double, event_id long, magnitude double", "level long, alerted double", "zone long, t double, level long", alert_fold), delay)

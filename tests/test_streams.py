@@ -31,6 +31,7 @@ def test_judge():
 def test_ledger_takes_rows_in_any_order(spark):
     """Within the delay, order, repeats and cuts into batches don't matter; what is later is left out."""
     from temblor.streaming import ledger
+    from temblor.streaming.ordered import delivered
 
     r = random.Random(4)
     rows = [(0, i, i % 3, r.randrange(0, 200 * HOUR), round(r.uniform(0.3, 0.9), 2), r.choice((24, 48)), 5.0) for i in range(60)] + [(1, 100 + i, i % 3, r.randrange(0, 200 * HOUR), 5.5, 0, 0.0) for i in range(6)]
@@ -42,7 +43,7 @@ def test_ledger_takes_rows_in_any_order(spark):
         want += [(zone, *c) for c in ledger.judge(mine, [], 398 * HOUR)[0]]
     shuffled = rows + rows[::3]
     r.shuffle(shuffled)
-    got = ledger.delivered(spark, [spark.createDataFrame(b, ledger.ROWS) for b in (shuffled + end, late + rows[:9])], ledger.ROWS, ledger.ledger, "test-ledger")
+    got = delivered(spark, [spark.createDataFrame(b, ledger.ROWS) for b in (shuffled + end, late + rows[:9])], ledger.ROWS, ledger.ledger, "test-ledger")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
@@ -131,3 +132,26 @@ def test_events_are_exchanged_once_for_the_sums(spark):
     hours = cellhours.hour_sums(df, {"n": F.lit(1)})
     plan = cellhours.trailing(hours, {"n": [1, 6, 24]})._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 1
+
+
+def test_folds_in_parts_are_those_of_the_whole():
+    """What is kept carries all that a fold needs."""
+    from temblor.streaming import watch
+    from temblor.streaming.live import alert_fold
+
+    r = random.Random(8)
+    t = sorted(r.randrange(200_000) for _ in range(80))
+    cases = [
+        (watch.twin_fold, [(float(x), i, i % 2, i % 3, r.choice((3.0, 3.4)), r.uniform(0, 0.4), r.uniform(0, 0.4)) for i, x in enumerate(t)]), (watch.trail_fold, [(x, i, r.choice((0.1, 0.105, 0.5))) for i, x in enumerate(t)]),
+        (watch.mode_fold, [(x, i, r.choice((1, 1, 2, 3))) for i, x in enumerate(t)]), (alert_fold, [(float(x), i, r.choice((3.0, 4.1, 4.6, 5.2))) for i, x in enumerate(t)]),
+    ]
+    for fold, rows in cases:
+        whole, _, _ = fold(rows, [], 1e9)
+        parts, kept = [], []
+        for at in range(0, 80, 7):
+            out, kept, _ = fold(rows[at : at + 7], kept, 1e9)
+            parts += out
+        assert parts == whole and whole
+    assert any(not kept for _, kept, _ in watch.twin_fold(cases[0][1], [], 1e9)[0])
+    assert watch.mode_fold([(0, 1, 1), (5, 2, 2), (6, 3, 2), (9, 4, 3)], [], 0)[0] == [(5, "EVENT", 0), (9, "TSUNAMI", 0)]
+    assert [x[3] for x in watch.trail_fold([(0, 1, 0.5), (6 * HOUR, 2, 0.5), (12 * HOUR + 1, 3, 0.6), (60 * HOUR, 4, 0.1)], [], 0)[0]] == ["NEW", "STEADY", "RISING", "NEW"]
