@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import analytics, catalog, evidence, features, hazards, intake, live, matrix, places, sequences, series, sky, streams, waves  # noqa: E402, F401  (they register their queries)
+from . import analytics, catalog, evidence, features, hazards, intake, live, matrix, places, profiles, sequences, series, sky, streams, waves  # noqa: E402, F401  (they register their queries)
