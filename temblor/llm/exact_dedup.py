@@ -57,7 +57,8 @@ def assign(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(first.where(F.col("count") > share).select("gid", salts.alias("salts")))
     keyed = rows.withColumn("gid", digit).withColumn("text_sha256", F.sha2("rest", 256)).join(hot, "gid", "left")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))))
-    state = keyed.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))), ["gid", "salt"], "left")
+    # The same join at every size: a table of digits that is small enough here to be broadcast is not on a larger corpus.
+    state = keyed.join(first.hint("merge").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))), ["gid", "salt"], "left")
     alone = F.col("count").isNull()
     state = stored(
         state.select("doc_id", "k1", "k2", "points", "text_sha256", F.when(~alone, F.col("gid")).alias("gid"), F.when(~alone, F.expr(f"substring(rest, {FIRST_DIGIT + 1})")).alias("rest"), F.coalesce("count", F.lit(1)).alias("many"), F.monotonically_increasing_id().alias("row")),
