@@ -10,11 +10,12 @@ broadcast, bounded by ``dims``, and the score is one map over whole texts.
 
 Training takes at most ``max_rows`` labelled rows, chosen by a hash of the id.
 They are dealt to ``shards`` tasks; each round every task goes through its rows
-from the common state; the changes, at most ``shards`` times ``dims`` coordinates, are averaged on the driver.
+from the common state; the changes, at most ``shards`` times ``dims`` coordinates of eight bytes, are averaged on the driver.
 
 Defined results: an empty or null text has the score of the bias alone; rows
 with a null label are not learned from; with no rows to learn from, every score
-is 0.5; rows are independent; other columns are ignored.
+is 0.5; repeated rows are scored alike and are each learned from; a very long text is scanned whole, in blocks; an empty table has
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PLAIN = FOLD.copy()
 PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 GAPS = (0, 1, 2)
 STEMS = (4, 5, 6)
+#: Coordinates of a piece of the state.
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -94,6 +97,15 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
+def add(changes: pa.Table, state: tuple[np.ndarray, np.ndarray], shards: int) -> None:
+    """Adds each piece of a task's change, over the number of tasks, to its place."""
+    for batch in changes.to_batches():
+        for at, *pieces in zip(*batch.columns, strict=True):
+            for total, piece in zip(state, pieces, strict=True):
+                x = np.frombuffer(piece.as_buffer(), np.float32)
+                total[at.as_py() : at.as_py() + len(x)] += x / shards
+
+
 def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, rounds: int = 4, shards: int = 4, dims: int = 1 << 21, min_rows: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
     """Weights from rows (doc_id, text, label of 0 or 1)."""
     spark = labelled.sparkSession
@@ -114,40 +126,41 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
             return Model(np.array([dims]), np.zeros(1, np.float32), dims)
         often = rows.select(F.explode("x").alias("i")).groupBy("i").count().where(F.col("count") >= min_rows).select("i").toArrow()["i"].to_numpy().astype(np.int64)
         # The state has a place for each usable coordinate only; the bias is the last.
-        used = np.append(np.sort(often[often != dims]), dims)
+        used = np.append(np.sort(often[often != dims]), dims).astype(np.int32)
         places = spark.sparkContext.broadcast(used)
         z, s = np.zeros(len(used)), np.zeros(len(used))
         for _ in range(rounds):
-            state = spark.sparkContext.broadcast((z, s))
+            # States travel as single floats, and the tasks' changes as packed pieces of them, so that the driver holds little more than the state.
+            state = spark.sparkContext.broadcast((z.astype(np.float32), s.astype(np.float32)))
 
             def learn(batches):
                 m, known = Ftrl(alpha, beta, l1, l2), places.value
-                m.z, m.n = (x.copy() for x in state.value)
-                touched = np.zeros(len(known), bool)
+                m.z, m.n = (x.astype(np.float64) for x in state.value)
+                touched = False
                 for batch in batches:
                     ys, xs = batch.column(1).to_pylist(), batch.column(2)
                     for k in range(len(xs)):  # in order of h, whichever way the rows came
                         x = xs[k].values.to_numpy()
                         i = np.searchsorted(known, x)
-                        i = i[known[i] == x]
-                        touched[i] = True
-                        m.learn(i, ys[k])
-                i = np.flatnonzero(touched)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array((m.z[i] - state.value[0][i]).astype(np.float32)), pa.array((m.n[i] - state.value[1][i]).astype(np.float32))], names=["i", "z", "n"])
+                        m.learn(i[known[i] == x], ys[k])
+                        touched = True
+                for at in range(0, len(known) if touched else 0, PIECE):
+                    piece = [(new[at : at + PIECE] - old[at : at + PIECE]).astype(np.float32) for new, old in zip((m.z, m.n), state.value, strict=True)]
+                    if piece[1].any():
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([x.tobytes()], pa.binary()) for x in piece)], names=["at", "z", "n"])
 
             # The mean of the tasks' states; a task that did not meet a coordinate has not changed it.
-            change = rows.mapInArrow(learn, "i int, z float, n float").toArrow()
-            i = change["i"].to_numpy()
-            z, s = (x + np.bincount(i, change[c].to_numpy(), minlength=len(used)) / shards for x, c in ((z, "z"), (s, "n")))
-            state.unpersist()
+            add(rows.mapInArrow(learn, "at long, z binary, n binary").toArrow(), (z, s), shards)
+            pa.default_memory_pool().release_unused()
+            state.destroy()
+        places.destroy()
     finally:
         rows.unpersist()
     m = Ftrl(alpha, beta, l1, l2)
     m.z, m.n = z, s
     w = m.weights(np.arange(len(used))).astype(np.float32)
     i = np.flatnonzero(w)
-    return Model(used[i], w[i], dims)
+    return Model(used[i].astype(np.int64), w[i], dims)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
