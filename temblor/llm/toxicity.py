@@ -9,7 +9,7 @@ coordinates to exactly zero (L1), so that the weights are few; they are
 broadcast, bounded by ``dims``, and the score is one map over whole texts.
 
 Training takes at most ``max_rows`` labelled rows, chosen by a hash of the id.
-They are dealt to ``shards`` tasks; each round every task goes through its rows
+They are dealt to ``shards`` tasks, as many whatever the number of shuffle partitions; each round every task goes through its rows
 from the common state; the changes, at most ``shards`` times ``dims`` coordinates of eight bytes, are averaged on the driver.
 
 Defined results: an empty or null text has the score of the bias alone; rows
@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = 16_000, round
             out += [np.append(np.unique(x), dims).astype(np.int32) for x in np.split(i[order], np.cumsum(np.bincount(row, minlength=b - a))[:-1])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    rows = map_batches(rows.repartition(shards, "h").sortWithinPartitions("h", "text"), hashed, "h long, y double, x array<int>").persist()
+    rows = map_batches(rows.repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions("h", "text"), hashed, "h long, y double, x array<int>").persist()
     try:
         if not rows.count():
             return Model(np.array([dims]), np.zeros(1, np.float32), dims)
