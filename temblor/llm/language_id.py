@@ -37,6 +37,8 @@ from .textkernel import mix, slices, utf8
 NONE = "und"
 SIZES = (2, 3, 4)
 U64 = np.uint64
+#: Bytes of text that a prediction takes at a time; its arrays are some 250 times as large.
+SLICE = 1 << 18
 #: An n-gram counts in a language that has it LEAST times; in one of fewer than THIN n-grams once is enough, of twice as many two times.
 LEAST, THIN = 3, 20_000
 #: Letters keep their byte (A-Z folded), bytes of other characters too; all else is one border.
@@ -157,7 +159,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None, na
         f = shared.value
         texts, letter = batch.column(len(keep)), np.array(batch.column(len(keep) + 1).to_pylist(), bool)
         if f.langs:
-            got = np.concatenate([shares(f, *utf8(texts.slice(a, b - a))) for a, b in slices(texts, 1 << 20)])
+            got = np.concatenate([shares(f, *utf8(texts.slice(a, b - a))) for a, b in slices(texts, SLICE)])
             best, top = got.argmax(axis=1), got.max(axis=1)
         else:
             best, top, letter = np.zeros(len(letter), int), np.zeros(len(letter)), letter & False
