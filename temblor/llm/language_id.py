@@ -37,7 +37,7 @@ from .textkernel import mix, slices, utf8
 NONE = "und"
 SIZES = (2, 3, 4)
 U64 = np.uint64
-#: Bytes of text that a prediction takes at a time; its arrays are some 250 times as large.
+#: Bytes of text that are taken at a time; its arrays are some 250 times as large.
 SLICE = 1 << 18
 #: An n-gram counts in a language that has it LEAST times; in one of fewer than THIN n-grams once is enough, of twice as many two times.
 LEAST, THIN = 3, 20_000
@@ -96,8 +96,9 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, most: int = 30_000, share:
         out: list[tuple[str, np.ndarray, np.ndarray]] = []
         for name in set(batch.column(1).to_pylist()):
             texts = batch.column(0).filter(pa.compute.equal(batch.column(1), name))
-            h = np.concatenate([ngrams(*utf8(texts.slice(a, b - a)))[0] for a, b in slices(texts)])
-            out.append((name, *np.unique(h, return_counts=True)))
+            parts = [np.unique(ngrams(*utf8(texts.slice(a, b - a)))[0], return_counts=True) for a, b in slices(texts, SLICE)]
+            grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            out.append((name, grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.string()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), pa.array(np.concatenate([o[2] for o in out]), pa.int64())], names=["lang", "gram", "n"])
 
     langs = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
