@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from .frames import map_batches
 
 #: Words in each of the two generations, and pairs of tokens, that a worker remembers.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 250_000
 CACHE_CHARS = 64
 #: Fixed value: how byte-level BPE files split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,6 +80,10 @@ class Codec:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
+    def forget(self) -> None:
+        """Drops what was learned of texts; the vocabulary stays."""
+        self.known, self.older, self.fits = {}, {}, {}
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of a and b gives a, b again."""
         left, right, limit = a, b, 1 << 60
@@ -264,4 +268,4 @@ def _encode(docs: DataFrame, tokenizer_file: str, chars: int, digest: bool) -> D
 
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"doc_id {id_type}, ids array<int>, decoded string"
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, schema, done=lambda: codec(tokenizer_file).forget())

@@ -38,15 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches, one at a time."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """``fn`` over Arrow batches, one at a time; ``done`` ends a task, so that a worker keeps nothing large for the tasks of other stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, schema)
 
