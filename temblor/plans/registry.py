@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import analysis, analytics, catalog, evidence, features, hazards, intake, live, matrix, places, profiles, sequences, series, sky, streams, threat, waves  # noqa: E402, F401  (they register their queries)
+from . import analysis, analytics, catalog, evidence, features, hazards, intake, labels, live, matrix, places, profiles, sequences, series, sky, streams, threat, waves  # noqa: E402, F401  (they register their queries)
