@@ -81,8 +81,8 @@ class Codec:
         self.older: dict[str, str] = {}
 
     def forget(self) -> None:
-        """Drops what was learned of texts; the vocabulary stays."""
-        self.known, self.older, self.fits = {}, {}, {}
+        """Drops the older of the learned words; the newer ones and the pairs of tokens, which the next texts share, stay."""
+        self.older = {}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of a and b gives a, b again."""
