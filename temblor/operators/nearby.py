@@ -37,6 +37,24 @@ def _cells(band: Column, height: Column) -> Column:
     return F.when(edge >= 85, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / height))).cast("int")
 
 
+def cells_of(df: DataFrame, height: Column) -> DataFrame:
+    """df with the band and cell of each row's lat and lon, for bands ``height`` degrees high."""
+    df = df.withColumn("band", F.floor(F.col("lat") / height).cast("int")).withColumn("cells", _cells(F.col("band"), height))
+    return df.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("cells")), F.col("cells")).cast("int")).drop("cells")
+
+
+def touched_cells(df: DataFrame, height: float, km: float) -> DataFrame:
+    """A row for each band and cell that the circle of ``km`` round a row's lat and lon touches."""
+    up = km * (1.0001 * 180 / math.pi / EARTH_KM) + 1e-9
+    aside = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(up)) / F.cos(F.radians("lat"))))) * 1.0001 + 1e-9
+    df = df.withColumn("aside", F.when(F.abs("lat") + up >= 89.9, 180.0).otherwise(aside))
+    df = df.withColumn("band", F.explode(F.sequence(F.floor((F.col("lat") - up) / height).cast("int"), F.floor((F.col("lat") + up) / height).cast("int")))).withColumn("cells", _cells(F.col("band"), F.lit(height)))
+    at = lambda lon: F.floor((lon + 180) / 360 * F.col("cells"))
+    first, last = at(F.col("lon") - F.col("aside")), at(F.col("lon") + F.col("aside"))
+    touched = F.sequence(first, F.least(last, first + F.col("cells") - 1))
+    return df.withColumn("cell", F.explode(F.transform(touched, lambda c: F.pmod(c, F.col("cells")).cast("int")))).drop("cells", "aside")
+
+
 def _vector(lat: Column, lon: Column) -> dict[str, Column]:
     lat, lon = F.radians(lat), F.radians(lon)
     return {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
