@@ -53,3 +53,19 @@ def trailing_extrema(events: DataFrame, windows: list[int], value: str) -> DataF
     ends = rows.select("event_id", "w", running(F.min).alias("low"), running(F.max).alias("high"))
     of = lambda fn, c, w: fn(F.when(F.col("w") == w, F.col(c))).alias(f"{c}_{w}")
     return ends.groupBy("event_id").agg(*(of(fn, c, w) for w in windows for fn, c in ((F.min, "low"), (F.max, "high"))))
+
+
+def extrema_ahead(points: DataFrame, events: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Each row of points for whose key an event has t in [start, start + span]: its id, ``most`` of value and ``first``, the least t.
+
+    points has id, start and span (whole seconds), events has t (whole seconds) and value.  With blocks one longer than the span, a window is the
+    end of one block and the start of the next, as in ``trailing_extrema``: rows of both kinds are sorted once by either end, and none is paired."""
+    spans = points.select("span").distinct()
+    ends = F.array(F.struct(F.lit(True).alias("opens"), F.col("start").alias("t")), F.struct(F.lit(False).alias("opens"), (F.col("start") + F.col("span")).alias("t")))
+    asks = points.select(*key, "id", "span", F.inline(ends))
+    rows = events.select(*key, "t", F.col("t").alias("at"), F.col(value).alias("v")).join(F.broadcast(spans)).unionByName(asks, allowMissingColumns=True)
+    block = Window.partitionBy(*key, "span", F.floor(F.col("t") / (F.col("span") + 1)))
+    until, since = (block.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.asc("t"), F.desc("t")))
+    pick = lambda fn, c: F.when(F.col("opens"), fn(c).over(since)).otherwise(fn(c).over(until))
+    found = rows.select("id", "opens", pick(F.max, "v").alias("most"), pick(F.min, "at").alias("first")).where("opens is not null and first is not null")
+    return found.groupBy("id").agg(F.max("most").alias("most"), F.min("first").alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.trailing import extrema_ahead
 from ..sources.projection import DAY, QUAKES, SAMPLES, samples, table
 from .registry import query
 from .series import HOURLY, ZONED, hourly, zoned
@@ -21,12 +22,10 @@ def forecasts(spark, sf_dir):
 
 
 def resolved(spark, sf_dir):
-    """Forecasts with the strongest event of their zone and window: joined by zone and day, then by the exact range."""
+    """Forecasts with the strongest and the first event of their zone and window, from running extrema within blocks as long as the window."""
     f = forecasts(spark, sf_dir)
-    day = lambda c: F.floor(c / 86400)
-    posted = f.withColumn("day", F.explode(F.sequence(day(F.col("issued")), day(F.col("issued") + F.col("hours") * 3600))))
-    e = zoned(spark, sf_dir).where("magnitude >= 4").select("zone", "t", "magnitude", day(F.col("t")).alias("day"))
-    hits = posted.join(e, ["zone", "day"]).where("t between issued and issued + hours * 3600").groupBy("fid").agg(F.max("magnitude").alias("actual"), F.min("t").alias("first_t"))
+    points = f.select("zone", F.col("fid").alias("id"), F.col("issued").alias("start"), (F.col("hours") * 3600).alias("span"))
+    hits = extrema_ahead(points, zoned(spark, sf_dir).where("magnitude >= 4").select("zone", "t", "magnitude"), ["zone"], "magnitude").select(F.col("id").alias("fid"), F.col("most").alias("actual"), F.col("first").alias("first_t"))
     return f.join(hits, "fid", "left").withColumn("outcome", F.when(F.col("actual").isNull(), "false_alarm").otherwise("hit")).withColumn("lead_hours", F.round((F.col("first_t") - F.col("issued")) / 3600, 1)).drop("first_t")
 
 

@@ -54,3 +54,40 @@ def test_pairs_of_a_dense_place_are_not_rows(spark, tmp_path, name):
     assert "MapCoGroups" in plan and "bucket" not in "".join(line for line in plan.splitlines() if "SortMergeJoin" in line)
     if name == "gk_lookback_counts":
         assert sorted((r.event_id // 1000, r.n_30d, r.n_24h) for r in rows) == [(i, i, min(i, 864)) for i in range(1, 1500)]
+
+
+def test_extrema_ahead(spark):
+    """Windows of several spans against all pairs; ends count, and starts on the edge of a block."""
+    from temblor.operators.trailing import extrema_ahead
+
+    r = np.random.default_rng(5)
+    events = [(int(z), int(t), float(v)) for z, t, v in zip(r.integers(0, 3, 200), r.integers(-50, 400, 200), r.integers(0, 99, 200), strict=True)]
+    points = [(i, i % 4, int(t), 10 * (1 + i % 3)) for i, t in enumerate(r.integers(-60, 400, 300))] + [(300, 0, 22, 10), (301, 1, 42, 20)]
+    got = extrema_ahead(spark.createDataFrame(points, "id long, zone long, start long, span long"), spark.createDataFrame(events, "zone long, t long, v double"), ["zone"], "v")
+    want = {}
+    for i, zone, start, span in points:
+        inside = [(t, v) for z, t, v in events if z == zone and start <= t <= start + span]
+        if inside:
+            want[i] = (max(v for _, v in inside), min(t for t, _ in inside))
+    assert {x.id: (x.most, x["first"]) for x in got.collect()} == want
+
+
+def test_forecasts_and_strong_events_are_not_paired(spark):
+    from temblor.plans.analytics import resolved
+
+    plan = resolved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "day#" not in plan
+
+
+@pytest.mark.parametrize("name, n", [("nearest_station", 40), ("station_graph", 40)])
+def test_stations_of_one_place(spark, tmp_path, name, n):
+    """Many stations at few places: the first of a place is the nearest; all are in the graph."""
+    from temblor.plans import registry
+
+    spark.range(n).selectExpr("id * 1000 AS event_id", "timestamp_seconds(1704067200 + id * 100) AS ts", "id % 3 AS user_id", "'view' AS event_type", "double(id % 90) AS value", "string(null) AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(n).selectExpr("id % 2 + 360 * (id div 2) AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "nearest_station":
+        assert len(rows) == n and {r.station for r in rows} <= {0, 1}
+    else:
+        assert {(r.src, r.dst) for r in rows if r.src % 360 == r.dst % 360} == {(a + 360 * i, a + 360 * j) for a in (0, 1) for i in range(20) for j in range(20) if i != j}
