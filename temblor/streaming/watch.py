@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +28,16 @@ def kilometres(a: tuple, b: tuple) -> float:
 
 def twin_fold(rows: list[tuple], past: list[tuple], until: float) -> tuple[list[tuple], list[tuple], None]:
     """Rows (t, id, own, agency, magnitude, lat, lon); ``own`` rows ask, all rows answer."""
-    out = []
+    out, past = [], deque(past)
     for row in rows:
         t, ident, own, agency, magnitude, lat, lon = row
-        past = [p for p in past if p[0] >= t - TWIN_S]
+        while past and past[0][0] < t - TWIN_S:
+            past.popleft()
         if own:
             twin = next((p[1] for p in past if p[3] != agency and abs(p[4] - magnitude) <= TWIN_MAG + 1e-9 and abs(p[5] - lat) <= TWIN_DEG and abs(p[6] - lon) <= TWIN_DEG and kilometres((lat, lon), p[5:7]) <= TWIN_KM), None)
             out.append((ident, int(twin is None), twin))
         past.append(row)
-    return out, past, None
+    return out, list(past), None
 
 
 def twins(events: DataFrame) -> DataFrame:
@@ -52,16 +55,16 @@ def twins(events: DataFrame) -> DataFrame:
 
 
 def trail_fold(rows: list[tuple], trail: list[tuple], until: float) -> tuple[list[tuple], list[tuple], None]:
-    """Rows (t, fid, p), trail (t, p): a second's first row is its point."""
-    out = []
+    """Rows (t, fid, p), trail (t, p): a second's first row is its point.  The trail is in order, so that the points on both sides of the point of comparison are found by halving."""
+    out, trail = [], list(trail)
     for t, fid, p in rows:
-        trail = [x for x in trail if x[0] >= t - KEEP]
-        near = min((x for x in trail if x[0] < t and abs(x[0] - t + BACK) <= BACK), key=lambda x: (abs(x[0] - t + BACK), x[0]), default=None)
+        at = bisect_left(trail, (t - BACK,))
+        near = min((x for x in trail[max(at - 1, 0) : at + 1] if x[0] < t and abs(x[0] - t + BACK) <= BACK), key=lambda x: (abs(x[0] - t + BACK), x[0]), default=None)
         change = 0.0 if near is None else p - near[1]
         out.append((fid, None if near is None else near[1], change, "NEW" if near is None else "RISING" if change > CHANGE else "FALLING" if change < -CHANGE else "STEADY"))
         if not trail or trail[-1][0] != t:
             trail.append((t, p))
-    return out, trail, None
+    return out, trail[bisect_left(trail, (rows[-1][0] - KEEP,)) :] if rows else trail, None
 
 
 def velocity(forecasts: DataFrame) -> DataFrame:
