@@ -79,7 +79,8 @@ def hotspots(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def attributed(spots: DataFrame, volcanoes: DataFrame, km: float = 100.0) -> DataFrame:
-    """spots with the nearest of ``volcanoes`` (volcano, lat, lon) within ``km`` and its distance; others are left out.  Both sides meet by cells."""
+    """spots with the nearest of ``volcanoes`` (volcano, lat, lon) within ``km`` and its distance; others are left out.  Both sides meet by cells; of the volcanoes of one place the first stands for all."""
+    volcanoes = volcanoes.groupBy("lat", "lon").agg(F.min("volcano").alias("volcano"))
     flat = lambda d: d.withColumn("ep", F.lit(0.0))
     near = neighbours(flat(spots.withColumn("row", F.struct(*spots.columns))), flat(volcanoes), km=km).where(F.col("km") < km)
     best = near.groupBy("l.row").agg(F.min(F.struct(F.col("km"), F.col("r.volcano").alias("volcano"))).alias("best"))

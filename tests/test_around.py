@@ -91,3 +91,28 @@ def test_stations_of_one_place(spark, tmp_path, name, n):
         assert len(rows) == n and {r.station for r in rows} <= {0, 1}
     else:
         assert {(r.src, r.dst) for r in rows if r.src % 360 == r.dst % 360} == {(a + 360 * i, a + 360 * j) for a in (0, 1) for i in range(20) for j in range(20) if i != j}
+
+
+def test_trails_and_twins_do_not_scan_what_is_kept():
+    """A busy zone: 60,000 points in two days, and a cell whose 40,000 rows are looked through by few; scanning takes minutes."""
+    import time
+
+    from temblor.streaming.watch import BACK, KEEP, TWIN_S, trail_fold, twin_fold
+
+    start = time.perf_counter()
+    rows = [(3 * i, i, (i % 97) / 100) for i in range(60_000)]
+    out, trail, _ = trail_fold(rows, [], 0)
+    assert [o[1] for o in out[:2]] == [None, 0.0] and out[59_999][1] == rows[59_999 - BACK // 3][2]
+    assert trail[0][0] == rows[-1][0] - KEEP and len(trail) == KEEP // 3 + 1
+    rows = [(float(i), i, int(i % 100 == 0), 0, 3.0, 0.0, 0.0) for i in range(100_000)]
+    out, past, _ = twin_fold(rows, [(0.0, -1, 0, 1, 3.0, 0.0, 0.0)], 0)
+    assert out[0] == (0, 0, -1) and out[TWIN_S // 100 + 1] == (TWIN_S + 100, 1, None) and len(past) == TWIN_S + 1
+    assert time.perf_counter() - start < 60
+
+
+def test_volcanoes_of_one_place(spark):
+    from temblor.sources.reports import attributed
+
+    spots = spark.createDataFrame([(0.0, 0.1)], "lat double, lon double")
+    plan = attributed(spots, spark.range(5).selectExpr("id + 7 AS volcano", "0D AS lat", "0D AS lon"))
+    assert [(r.volcano, r.km) for r in plan.collect()] == [(7, 11.1)]
