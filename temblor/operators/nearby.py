@@ -43,10 +43,10 @@ def cells_of(df: DataFrame, height: Column) -> DataFrame:
     return df.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("cells")), F.col("cells")).cast("int")).drop("cells")
 
 
-def touched_cells(df: DataFrame, height: float, km: float) -> DataFrame:
+def touched_cells(df: DataFrame, height: float, km: float | Column) -> DataFrame:
     """A row for each band and cell that the circle of ``km`` round a row's lat and lon touches."""
-    up = km * (1.0001 * 180 / math.pi / EARTH_KM) + 1e-9
-    aside = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(up)) / F.cos(F.radians("lat"))))) * 1.0001 + 1e-9
+    up = F.lit(km) * (1.0001 * 180 / math.pi / EARTH_KM) + 1e-9
+    aside = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(up)) / F.cos(F.radians("lat"))))) * 1.0001 + 1e-9
     df = df.withColumn("aside", F.when(F.abs("lat") + up >= 89.9, 180.0).otherwise(aside))
     df = df.withColumn("band", F.explode(F.sequence(F.floor((F.col("lat") - up) / height).cast("int"), F.floor((F.col("lat") + up) / height).cast("int")))).withColumn("cells", _cells(F.col("band"), F.lit(height)))
     at = lambda lon: F.floor((lon + 180) / 360 * F.col("cells"))

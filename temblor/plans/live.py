@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster
 from ..operators.around import across
-from ..operators.nearby import neighbours
 from ..sources import feeds, sinks
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples
 from ..streaming import live
@@ -90,23 +86,17 @@ def swarm_clusters(spark, sf_dir):
     return q.join(c, "event_id").groupBy("cluster").agg(F.count("*").alias("n"), F.max("magnitude").alias("top"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"), F.round((F.max("ep") - F.min("ep")) / 3600, 3).alias("hours"))
 
 
-def claims(q):
-    """Pairs in which the stronger event may claim the weaker: within its radius and its window of days, which both grow with its magnitude."""
-    m = F.col("l.magnitude")
+def reaches(q):
+    """q with the km and seconds within which an event claims weaker ones, which both grow with its magnitude, up to 200 km and 1,100 days."""
+    m = F.col("magnitude")
     days = F.when(m >= 6.5, F.pow(F.lit(10.0), 0.032 * m + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * m - 0.547))
-    # Classes of magnitude, so that the few strong events alone are posted to long windows and large cells.
-    parts = []
-    for low, high, km, most in ((None, 3.5, 27.0, 23.0), (3.5, 4.5, 35.0, 78.0), (4.5, 5.5, 47.0, 269.0), (5.5, 6.5, 62.0, 932.0), (6.5, None, 200.0, 1100.0)):
-        left = q.where((F.lit(True) if low is None else F.col("magnitude") >= low) & (F.lit(True) if high is None else F.col("magnitude") < high))
-        near = neighbours(left, q, km=km, back=most * DAY, ahead=most * DAY).where((F.col("r.magnitude") < m) & (F.abs(F.expr("r.ep - l.ep")) <= days * DAY) & (F.col("km") <= F.pow(F.lit(10.0), 0.1238 * m + 0.983)))
-        parts.append(near.select(F.col("l.event_id").alias("strong"), F.col("r.event_id").alias("weak")))
-    return reduce(DataFrame.unionByName, parts)
+    return q.withColumns({"km": F.least(F.pow(F.lit(10.0), 0.1238 * m + 0.983), F.lit(200.0)), "seconds": F.least(days, F.lit(1100.0)) * DAY})
 
 
 @query()
 def decluster(spark, sf_dir):
     q = quakes(spark, sf_dir).select("event_id", "ep", "lat", "lon", "magnitude")
-    return cluster.decluster(claims(q), q)
+    return cluster.strongest_first(reaches(q).withColumn("turn", F.lit(0).cast("long")).withColumnRenamed("magnitude", "strength"))
 
 
 @query()

@@ -124,3 +124,39 @@ def test_trees_are_no_longer_than_their_rows(spark):
 
     df = spark.range(1000).selectExpr("id AS event_id", "double(id) AS ep", "1D AS lat", "1D AS lon")
     assert {r.b for r in linking_trees(df, 10.0, 1e4).collect()} >= set(range(1, 1000)) and linking_trees(df, 10.0, 1e4).count() < 2500
+
+
+def test_claims_of_a_dense_place_are_not_written(spark, tmp_path, monkeypatch):
+    """1,500 events of one place: a million claims, of which none is a row; what is kept of each round is a row an event."""
+    from temblor.operators import cluster
+    from temblor.plans import registry
+
+    spark.range(1500).selectExpr("id * 1000 AS event_id", "timestamp_seconds(1704067200 + id * 100) AS ts", "7L AS user_id", "'view' AS event_type", "double(id % 90) AS value", "string(null) AS props").write.parquet(f"{tmp_path}/events.parquet")
+    kept, keep = [], cluster.checkpointed
+    monkeypatch.setattr(cluster, "checkpointed", lambda df: kept.append(keep(df)) or kept[-1])
+    got = {r.event_id // 1000: r.main for r in registry.QUERIES["decluster"](spark, str(tmp_path)).collect()}
+    assert sum(k.count() for k in kept) < 3000
+    # Of value 80.5 and more the magnitude is greatest; all others are within its reach.
+    assert got == {i: i % 90 >= 81 for i in range(1500)}
+
+
+@pytest.mark.parametrize("height, length", [(1.5, 30 * DAY), (0.05, 0.7 * DAY)])
+def test_strongest_first_is_the_one_by_one_order(spark, monkeypatch, height, length):
+    """Chains over cells and slices, poles, the antimeridian, equal strengths, turns and nulls."""
+    from temblor.operators import cluster
+    from temblor.operators.around import arc_km
+
+    monkeypatch.setattr(cluster, "HEIGHT", height)
+    monkeypatch.setattr(cluster, "SLICE", length)
+    r = np.random.default_rng(11)
+    n = 300
+    lat = np.where(r.random(n) < 0.3, r.uniform(88, 90, n), np.round(r.uniform(-0.5, 0.5, n), 1))
+    lon = np.where(r.random(n) < 0.5, (r.uniform(179.5, 180.5, n) + 180) % 360 - 180, np.round(r.uniform(-0.5, 0.5, n), 1))
+    rows = [(i, float(r.integers(0, 200)) * 3600, float(a), float(o), float(r.integers(0, 40)), int(r.integers(0, 2)), float(r.choice([5.0, 12.0, 20.0])), float(r.choice([0.5, 1, 2])) * DAY) for i, (a, o) in enumerate(zip(lat, lon, strict=True))]
+    want = {i: True for i in range(n + 1)}
+    for a in sorted(rows, key=lambda x: (-x[4], x[5])):
+        for b in rows if want[a[0]] else ():
+            if (-b[4], b[5]) > (-a[4], a[5]) and abs(a[1] - b[1]) <= a[7] and arc_km(a[2], a[3], b[2], b[3]) <= a[6]:
+                want[b[0]] = False
+    df = spark.createDataFrame([*rows, (n, 0.0, None, 0.0, 99.0, 0, 20.0, DAY)], cluster.ROW)
+    assert {x.event_id: x.main for x in cluster.strongest_first(df).collect()} == want and 30 < sum(want.values()) < n - 30
