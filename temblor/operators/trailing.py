@@ -10,9 +10,16 @@ running sums of doubles lose what is small beside the greatest."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .around import across
+
 #: Seconds.
 BLOCK = 86400
 
@@ -55,17 +62,41 @@ def trailing_extrema(events: DataFrame, windows: list[int], value: str) -> DataF
     return ends.groupBy("event_id").agg(*(of(fn, c, w) for w in windows for fn, c in ((F.min, "low"), (F.max, "high"))))
 
 
+def _judged(asks: pa.Table, rows: pa.Table) -> pa.Table:
+    start, order = asks["__start"].to_numpy(), np.argsort(rows["__at"].to_numpy(), kind="stable")
+    at, v = rows["__at"].to_numpy()[order], rows["__v"].to_numpy(zero_copy_only=False)[order]
+    lo, hi = np.searchsorted(at, start, "left"), np.searchsorted(at, start + asks["span"].to_numpy(), "right")
+    none = hi <= lo
+    most = across(np.maximum, v, lo, hi)
+    first = at[np.minimum(lo, len(at) - 1)] if len(at) else np.zeros(len(lo), dtype=np.int64)
+    return asks.drop_columns(["__start", "__block"]).append_column("most", pa.array(most, pa.float64(), mask=none)).append_column("first", pa.array(first, pa.int64(), mask=none))
+
+
+def windows_ahead(points: DataFrame, events: DataFrame, key: list[str], start: Column, value: str) -> DataFrame:
+    """points with ``most`` of value and ``first``, the least t, over the events of its key with t in [start, start + span]; null where there is none.
+
+    points has span, and all columns of key, start and span are longs; events has t (whole seconds) and value, a double that is not null.  A point goes to the block of its start, one longer than the span, and an event to the two
+    blocks whose windows can hold it: the windows are ranges of one task's arrays, and a point travels once."""
+    columns = points.columns
+    points = points.withColumn("__start", start)
+    whole = reduce(and_, (F.col(c).isNotNull() for c in (*key, "__start", "span")))
+    asks = points.where(whole).withColumn("__block", F.floor(F.col("__start") / (F.col("span") + 1)))
+    own = F.floor(F.col("t") / (F.col("span") + 1))
+    # Names of their own, since the spans are of the points.
+    spans = points.select(*(F.col(c).alias(f"r_{c}") for c in (*key, "span"))).distinct().toDF(*key, "span")
+    rows = events.where("t is not null").select(*key, "t", F.col(value).cast("double").alias("__v")).join(F.broadcast(spans), key)
+    rows = rows.select(*key, "span", F.col("t").alias("__at"), "__v", F.explode(F.array(own - 1, own)).alias("__block"))
+    spark = points.sparkSession
+    # Rows are narrow and many: the tasks are not merged for being small.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    groups = [*key, "span", "__block"]
+    a, b = (x.repartition(tasks, *groups).groupBy(*groups) for x in (asks, rows))
+    kinds = {**dict(points.dtypes), "most": "double", "first": "bigint"}
+    found = a.cogroup(b).applyInArrow(_judged, ", ".join(f"`{c}` {kinds[c]}" for c in (*columns, "most", "first")))
+    rest = points.where(~whole).select(*columns, F.lit(None).cast("double").alias("most"), F.lit(None).cast("long").alias("first"))
+    return found.unionByName(rest)
+
+
 def extrema_ahead(points: DataFrame, events: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Each row of points for whose key an event has t in [start, start + span]: its id, ``most`` of value and ``first``, the least t.
-
-    points has id, start and span (whole seconds), events has t (whole seconds) and value.  With blocks one longer than the span, a window is the
-    end of one block and the start of the next, as in ``trailing_extrema``: rows of both kinds are sorted once by either end, and none is paired."""
-    spans = points.select("span").distinct()
-    ends = F.array(F.struct(F.lit(True).alias("opens"), F.col("start").alias("t")), F.struct(F.lit(False).alias("opens"), (F.col("start") + F.col("span")).alias("t")))
-    asks = points.select(*key, "id", "span", F.inline(ends))
-    rows = events.select(*key, "t", F.col("t").alias("at"), F.col(value).alias("v")).join(F.broadcast(spans)).unionByName(asks, allowMissingColumns=True)
-    block = Window.partitionBy(*key, "span", F.floor(F.col("t") / (F.col("span") + 1)))
-    until, since = (block.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.asc("t"), F.desc("t")))
-    pick = lambda fn, c: F.when(F.col("opens"), fn(c).over(since)).otherwise(fn(c).over(until))
-    found = rows.select("id", "opens", pick(F.max, "v").alias("most"), pick(F.min, "at").alias("first")).where("opens is not null and first is not null")
-    return found.groupBy("id").agg(F.max("most").alias("most"), F.min("first").alias("first"))
+    """Each row of points (id, start, span) for whose key an event has t in [start, start + span]: its id, ``most`` of value and ``first``, the least t."""
+    return windows_ahead(points.select(*key, "id", "start", "span"), events, key, F.col("start"), value).where("first is not null").select("id", "most", "first")

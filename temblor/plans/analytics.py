@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.trailing import extrema_ahead
+from ..operators.trailing import windows_ahead
 from ..sources.projection import DAY, QUAKES, SAMPLES, samples, table
 from .registry import query
 from .series import HOURLY, ZONED, hourly, zoned
@@ -21,12 +21,12 @@ def forecasts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("fid"), (k % 12).alias("zone"), (24 * (1 + k % 3)).alias("hours"), (1704067200 + (k * 9973) % 2592000).alias("issued"), (((k * 37) % 100) / 100.0).alias("p"))
 
 
-def resolved(spark, sf_dir):
-    """Forecasts with the strongest and the first event of their zone and window, from running extrema within blocks as long as the window."""
-    f = forecasts(spark, sf_dir)
-    points = f.select("zone", F.col("fid").alias("id"), F.col("issued").alias("start"), (F.col("hours") * 3600).alias("span"))
-    hits = extrema_ahead(points, zoned(spark, sf_dir).where("magnitude >= 4").select("zone", "t", "magnitude"), ["zone"], "magnitude").select(F.col("id").alias("fid"), F.col("most").alias("actual"), F.col("first").alias("first_t"))
-    return f.join(hits, "fid", "left").withColumn("outcome", F.when(F.col("actual").isNull(), "false_alarm").otherwise("hit")).withColumn("lead_hours", F.round((F.col("first_t") - F.col("issued")) / 3600, 1)).drop("first_t")
+def resolved(spark, sf_dir, of=None):
+    """Forecasts, all or those given, with the strongest and the first event of their zone and window."""
+    f = (forecasts(spark, sf_dir) if of is None else of).select("fid", "zone", "issued", "p", (F.col("hours") * 3600).alias("span"))
+    r = windows_ahead(f, zoned(spark, sf_dir).where("magnitude >= 4").select("zone", "t", "magnitude"), ["zone"], F.col("issued"), "magnitude")
+    outcome = F.when(F.col("first").isNull(), "false_alarm").otherwise("hit")
+    return r.select("fid", "zone", F.expr("span div 3600").alias("hours"), "issued", "p", F.col("most").alias("actual"), outcome.alias("outcome"), F.round((F.col("first") - F.col("issued")) / 3600, 1).alias("lead_hours"))
 
 
 @query(f"WITH {RESOLVED} SELECT fid, outcome, actual, lead_hours FROM resolved")

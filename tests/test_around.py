@@ -79,6 +79,19 @@ def test_forecasts_and_strong_events_are_not_paired(spark):
     assert "day#" not in plan
 
 
+def test_a_forecast_travels_once(spark, tmp_path):
+    """No window over forecasts and no join back by their id; orders without a key stay, unresolved, and one row of top scores is ranked by its blocks."""
+    from temblor.plans import analytics
+
+    plan = analytics.resolved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapCoGroups" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 6000) AS ts", "if(id % 9 = 0, null, id * 7) AS user_id", "'view' AS event_type", "double(id) AS value", "string(null) AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3000).selectExpr("if(id % 500 = 0, null, id) AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = analytics.forecast_resolve(spark, str(tmp_path)).collect()
+    assert len(rows) == 3000 and sum(r.fid is None for r in rows) == 6 and {r.outcome for r in rows if r.fid is None} == {"false_alarm"}
+    assert {r.outcome for r in rows} == {"hit", "false_alarm"} and all((r.actual is None) == (r.outcome == "false_alarm") for r in rows)
+
+
 @pytest.mark.parametrize("name, n", [("nearest_station", 40), ("station_graph", 40)])
 def test_stations_of_one_place(spark, tmp_path, name, n):
     """Many stations at few places: the first of a place is the nearest; all are in the graph."""
