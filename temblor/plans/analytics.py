@@ -36,8 +36,11 @@ def forecast_resolve(spark, sf_dir):
 
 @query(f"WITH {RESOLVED} SELECT hours, count(*) AS n, count(*) FILTER (outcome = 'hit') AS hits, round(count(*) FILTER (outcome = 'hit') / count(*), 6) AS hit_rate, round(avg(lead_hours), 3) AS lead FROM resolved GROUP BY GROUPING SETS ((hours), ())")
 def forecast_metrics(spark, sf_dir):
-    r = resolved(spark, sf_dir)
-    return r.groupingSets([["hours"], []], "hours").agg(F.count("*").alias("n"), F.count_if(F.expr("outcome = 'hit'")).alias("hits"), F.round(F.count_if(F.expr("outcome = 'hit'")) / F.count("*"), 6).alias("hit_rate"), F.round(F.avg("lead_hours"), 3).alias("lead"))
+    """By window, and over all (hours null), from sums by window."""
+    lead, whole = F.col("lead_hours"), lambda c: F.sum(c).alias(c)
+    by = resolved(spark, sf_dir).groupBy("hours").agg(F.count("*").alias("n"), F.count_if(F.expr("outcome = 'hit'")).alias("hits"), F.sum(lead).alias("leads"), F.count(lead).alias("led"))
+    r = by.groupingSets([["hours"], []], "hours").agg(whole("n"), whole("hits"), whole("leads"), whole("led"))
+    return r.select("hours", "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("hit_rate"), F.round(F.col("leads") / F.nullif("led", F.lit(0)), 3).alias("lead"))
 
 
 @query(f"WITH {RESOLVED} SELECT CASE WHEN p < 0.1 THEN '0-10' WHEN p < 0.3 THEN '10-30' WHEN p < 0.5 THEN '30-50' ELSE '50+' END AS band, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 6) AS realized FROM resolved GROUP BY 1")
