@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+from ..operators.ordered import numbered
 from ..operators.trailing import windows_ahead
 from ..sources.projection import DAY, QUAKES, SAMPLES, samples, table
 from .registry import query
@@ -16,6 +18,10 @@ RESOLVED = f"""{ZONED}, {FORECASTS}, hits AS (SELECT fid, max(magnitude) AS actu
 resolved AS (SELECT f.*, actual, CASE WHEN actual IS NULL THEN 'false_alarm' ELSE 'hit' END AS outcome, round((first_t - issued) / 3600, 1) AS lead_hours FROM forecasts f LEFT JOIN hits USING (fid))"""
 
 
+#: Keys of a block in which forecasts of one score are ranked.
+EDGE_BLOCK = 1_000_000
+
+
 def forecasts(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(k.alias("fid"), (k % 12).alias("zone"), (24 * (1 + k % 3)).alias("hours"), (1704067200 + (k * 9973) % 2592000).alias("issued"), (((k * 37) % 100) / 100.0).alias("p"))
@@ -53,15 +59,18 @@ def calibration_bands(spark, sf_dir):
 @query(f"""WITH {RESOLVED}, r AS (SELECT *, row_number() OVER (ORDER BY p DESC, fid) AS k, count(*) OVER () AS n FROM resolved), f AS (SELECT * FROM (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) AS t(frac))
 SELECT frac, round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 6) AS precision FROM r, f WHERE k <= greatest(1, floor(n * frac)) GROUP BY frac""")
 def precision_at_k(spark, sf_dir):
-    """Precision of the top shares.  Scores are counted by value first; only the rows of a boundary score are ranked."""
-    r = resolved(spark, sf_dir).select("fid", "p", (F.col("outcome") == "hit").cast("long").alias("y"))
-    by = r.groupBy("p").agg(F.count("*").alias("c"), F.sum("y").alias("s"))
+    """Precision of the top shares.  Scores are counted by value first; only forecasts down to the last boundary score are resolved, and only those of a boundary score are ranked."""
+    f = forecasts(spark, sf_dir)
+    by = f.groupBy("p").agg(F.count("*").alias("c"))
     w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumns({"c0": F.coalesce(F.sum("c").over(w), F.lit(0)), "s0": F.coalesce(F.sum("s").over(w), F.lit(0)), "n": F.sum("c").over(Window.partitionBy())})
-    cut = by.withColumn("frac", F.explode(F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1)))).withColumn("top", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("frac")))).where("c0 < top and top <= c0 + c")
-    k = F.row_number().over(Window.partitionBy("frac").orderBy("fid"))
-    edge = r.join(F.broadcast(cut.select("p", "frac", "top", "c0", "s0")), "p").withColumn("k", k).where("k <= top - c0")
-    return edge.groupBy("frac").agg(F.round((F.max("s0") + F.sum("y")) / F.max("top"), 6).alias("precision"))
+    by = by.withColumns({"c0": F.coalesce(F.sum("c").over(w), F.lit(0)), "n": F.sum("c").over(Window.partitionBy())})
+    cut = by.withColumn("frac", F.explode(F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1)))).withColumn("top", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("frac"))))
+    cut = checkpointed(cut.where("c0 < top and top <= c0 + c").select(F.col("p").alias("edge"), "frac", "top", "c0"))
+    first = f.join(F.broadcast(cut.agg(F.min("edge").alias("edge"))), F.col("p") >= F.col("edge")).drop("edge")
+    r = checkpointed(resolved(spark, sf_dir, first).select("fid", "p", (F.col("outcome") == "hit").cast("long").alias("y"))).join(F.broadcast(cut), F.col("p") >= F.col("edge"))
+    # Places among the equal scores come from blocks of the fid, so that no task ranks all of them.
+    edge = numbered(r.where("p = edge"), ["frac"], ["fid"], F.floor(F.col("fid") / EDGE_BLOCK), "k").where("k < top - c0")
+    return r.where("p > edge").select("frac", "top", "y").unionByName(edge.select("frac", "top", "y")).groupBy("frac").agg(F.round(F.sum("y") / F.max("top"), 6).alias("precision"))
 
 
 @query(f"""WITH {RESOLVED}, r AS (SELECT zone, CAST(outcome = 'hit' AS INT) AS y, rank() OVER (PARTITION BY zone ORDER BY p) + (count(*) OVER (PARTITION BY zone, p) - 1) / 2 AS mid FROM resolved)

@@ -92,6 +92,23 @@ def test_a_forecast_travels_once(spark, tmp_path):
     assert {r.outcome for r in rows} == {"hit", "false_alarm"} and all((r.actual is None) == (r.outcome == "false_alarm") for r in rows)
 
 
+@pytest.mark.parametrize("block", [7, 1_000_000])
+def test_equal_scores_are_ranked_in_blocks(spark, monkeypatch, same_as_sql, block):
+    from temblor.plans import analytics, registry
+
+    monkeypatch.setattr(analytics, "EDGE_BLOCK", block)
+    same_as_sql(analytics.precision_at_k(spark, "/root/testdata/sf0.001"), registry.ORACLES["precision_at_k"])
+
+
+def test_only_top_forecasts_are_resolved(spark, monkeypatch):
+    from temblor.plans import analytics
+
+    resolved, asked = analytics.resolved, []
+    monkeypatch.setattr(analytics, "resolved", lambda spark, sf_dir, of=None: asked.append(of) or resolved(spark, sf_dir, of))
+    analytics.precision_at_k(spark, "/root/testdata/sf0.001").collect()
+    assert [of.count() < 0.2 * analytics.forecasts(spark, "/root/testdata/sf0.001").count() for of in asked] == [True]
+
+
 @pytest.mark.parametrize("name, n", [("nearest_station", 40), ("station_graph", 40)])
 def test_stations_of_one_place(spark, tmp_path, name, n):
     """Many stations at few places: the first of a place is the nearest; all are in the graph."""
