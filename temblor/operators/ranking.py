@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """keys, score, c and y: rows and positives with this score."""
+    return df.groupBy(*keys, score).agg(F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("y"))
+
+
 def thresholds(df: DataFrame, keys: list[str], score: str, label: str, part: Column) -> DataFrame:
-    """keys, score, c and y (rows and positives with this score), c_above and y_above (with a greater one), n and pos (of the key).
+    """``ranked_scores`` of ``by_score``."""
+    return ranked_scores(by_score(df, keys, score, label), keys, score, part)
+
+
+def ranked_scores(by: DataFrame, keys: list[str], score: str, part: Column) -> DataFrame:
+    """keys, score, c and y (rows and positives with this score), c_above and y_above (with a greater one), n and pos (of the key), of ``by_score``, which is read twice.
 
     ``part`` is a column of the score that rises with it: parts are summed, and only scores of one part are put in order."""
-    by = df.groupBy(*keys, score).agg(F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("y")).withColumn("__part", part)
+    by = by.withColumn("__part", part)
     parts = by.groupBy(*keys, "__part").agg(F.sum("c").alias("pc"), F.sum("y").alias("py"))
     whole, down = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -109,6 +109,16 @@ def test_only_top_forecasts_are_resolved(spark, monkeypatch):
     assert [of.count() < 0.2 * analytics.forecasts(spark, "/root/testdata/sf0.001").count() for of in asked] == [True]
 
 
+def test_score_quality_resolves_once(spark, monkeypatch):
+    from temblor.plans import evidence
+
+    resolved, seen = evidence.resolved, spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda z: seen.add(1) or z, "long").asNondeterministic()
+    monkeypatch.setattr(evidence, "resolved", lambda spark, sf_dir: resolved(spark, sf_dir).withColumn("zone", mark("zone")))
+    n = evidence.score_quality(spark, "/root/testdata/sf0.001").where("zone is null").collect()[0].n
+    assert seen.value == n
+
+
 @pytest.mark.parametrize("name, n", [("nearest_station", 40), ("station_graph", 40)])
 def test_stations_of_one_place(spark, tmp_path, name, n):
     """Many stations at few places: the first of a place is the nearest; all are in the graph."""
