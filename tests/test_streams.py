@@ -155,3 +155,41 @@ def test_folds_in_parts_are_those_of_the_whole():
     assert any(not kept for _, kept, _ in watch.twin_fold(cases[0][1], [], 1e9)[0])
     assert watch.mode_fold([(0, 1, 1), (5, 2, 2), (6, 3, 2), (9, 4, 3)], [], 0)[0] == [(5, "EVENT", 0), (9, "TSUNAMI", 0)]
     assert [x[3] for x in watch.trail_fold([(0, 1, 0.5), (6 * HOUR, 2, 0.5), (12 * HOUR + 1, 3, 0.6), (60 * HOUR, 4, 0.1)], [], 0)[0]] == ["NEW", "STEADY", "RISING", "NEW"]
+
+
+def test_twins_are_those_of_plain_loops():
+    """The first report of another agency, also where the window holds many others, times are equal, and magnitudes or agencies are not known."""
+    from temblor.streaming import watch
+
+    r = random.Random(9)
+    rows = sorted((float(r.randrange(0, 90_000, 20)), i, int(r.random() < 0.9), r.choice((0, 0, 0, 0, 0, 0, 0, 0, 1, 2, None)), r.choice((2.5, 3.0, 3.1, 4.6, 6.0, None)), r.uniform(9.6, 10.4), r.uniform(-0.6, 0.6)) for i in range(700))
+    want = []
+    for k, (t, i, own, agency, magnitude, lat, lon) in enumerate(rows):
+        met = [p for p in rows[:k] if p[0] >= t - watch.TWIN_S and None not in (agency, magnitude, p[3], p[4]) and p[3] != agency and abs(p[4] - magnitude) <= 0.5 + 1e-9 and abs(p[5] - lat) <= 0.5 and abs(p[6] - lon) <= 0.5 and distance(lat, lon, p[5], p[6]) <= 50]
+        if own:
+            want.append((i, int(not met), met[0][1] if met else None))
+    got, kept, _ = watch.twin_fold(rows, [], 1e9)
+    assert got == want and 0 < sum(w[1] for w in want) < len(want) and kept == [p for p in rows if p[0] >= rows[-1][0] - watch.TWIN_S]
+
+
+def distance(lat, lon, lats, lons):
+    p, q = math.radians(lat), math.radians(lats)
+    return 2 * 6371.0 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lons - lon) / 2) ** 2))
+
+
+def test_reports_go_to_few_cells_and_packed(spark):
+    """One row asks; less than half as many only answer; a task sends one row a key."""
+    import pyarrow as pa
+
+    from temblor.streaming import ordered, watch
+
+    e = spark.range(2000).select(F.col("id").alias("event_id"), F.lit(5.0).alias("t"), F.lit(0).alias("agency"), F.lit(3.0).alias("magnitude"), (F.rand(1) * 120 - 60).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
+    posted = watch.posted(e)
+    assert posted.where("own = 1").count() == 2000 and posted.count() < 1.5 * 2000
+    edge = e.limit(1).withColumns({"lat": F.lit(5.2), "lon": F.lit(-180.0)})
+    assert {(x.y, x.x, x.own) for x in watch.posted(edge).collect()} == {(1, -36, 1), (0, -36, 0), (1, -37, 0), (0, -37, 0)}
+    schema = "t double, name string, n long"
+    batches = [pa.RecordBatch.from_pylist([{"key": i % 2, "time": 1000 * i, "t": i / 1000, "name": None if i == 3 else "x", "n": (1 << 60) + i} for i in range(a, a + 5)], pa.schema([("key", pa.int64()), ("time", pa.timestamp("us", "UTC")), *ordered.arrow(schema)])) for a in (0, 5)]
+    (out,) = ordered.packer("key", schema)(iter([batches[0].slice(0, 0), *batches]))
+    assert out["key"].to_pylist() == [0, 1] and out["time"].cast(pa.int64()).to_pylist() == [8000, 9000]
+    assert [ordered.tuples(ordered.unpacked([b], ordered.arrow(schema))) for b in out["rows"].to_pylist()] == [[(i / 1000, None if i == 3 else "x", (1 << 60) + i) for i in range(k, 10, 2)] for k in (0, 1)]
