@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.geo import GK, gk_radius
 from ..operators import cluster
-from ..operators.around import across
+from ..operators.around import tallies
+from ..operators.graph import checkpointed
 from ..sources import feeds, sinks
 from ..sources.projection import DAY, QUAKES, SAMPLES, quakes, samples
 from ..streaming import live
 from .registry import query
-from .sequences import D, lookback, since, strongest_followers
 from .series import ZONED
 
 
@@ -107,19 +107,15 @@ def event_model(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    q = quakes(spark, sf_dir)
-    x = lookback(spark, sf_dir, recent, dict.fromkeys(("n1", "n7", "top", "mean", "since"), D))
-    y = strongest_followers(spark, sf_dir)
+    q = quakes(spark, sf_dir).select("event_id", "ep", "lat", "lon", "magnitude")
     names = ["n1", "n7", "top", "mean", "since", "magnitude"]
-    rows = q.select("event_id", "ep", "magnitude").join(x, "event_id", "left").join(y.select("event_id", "m"), "event_id", "left").withColumn("label", (F.col("m") >= F.col("magnitude") + 1).cast("double")).na.fill(0.0, ["n1", "n7", "top", "mean", "since", "label"])
+    x = tallies(q, q, GK[2], (DAY, 7 * DAY, 30 * DAY), 7 * DAY, gk_radius(F.col("magnitude")))
+    x = x.select("ep", F.col("n0").alias("n1"), F.col("n1").alias("n7"), "top", "mean", "since", "magnitude", (F.col("after") >= F.col("magnitude") + 1).cast("double").alias("label"))
+    # Stored, since the model goes over its rows many times.
+    rows = checkpointed(x.na.fill(0.0, ["n1", "n7", "top", "mean", "since", "label"]))
     bounds = q.agg(F.min("ep").alias("a"), F.max("ep").alias("b")).first()
     cut = bounds["a"] + 0.7 * (bounds["b"] - bounds["a"])
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(maxIter=20)]).fit(rows.where(F.col("ep") <= cut - 7 * DAY))
     scored = model.transform(rows.where(F.col("ep") > cut)).withColumn("p", vector_to_array("probability")[1])
     return scored.groupBy(F.floor(F.col("p") * 10).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("label"), 6).alias("realized"))
 
-
-def recent(near, own, lo, hi):
-    m = near["magnitude"]
-    n1, n7 = ((hi - since(near, own, days)).astype(float) for days in (1, 7))
-    return {"event_id": own["event_id"], "n1": n1, "n7": n7, "top": across(np.fmax, m, lo, hi), "mean": across(np.add, m, lo, hi) / (hi - lo), "since": own["ep"] - near["ep"][hi - 1]}

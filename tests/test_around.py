@@ -335,3 +335,49 @@ def test_ranges_that_overlap_cost_as_the_values():
     many = tuple(np.tile(x, 30_000) for x in short)
     for f, none in ((lambda a, b: across(np.maximum, v[:200], a, b), np.nan), (lambda a, b: first_most(v[:200], a, b), -1), (lambda a, b: medians(v[:200], a, b, 60), np.nan)):
         assert np.array_equal(f(*many)[:5], f(*short).astype(float), equal_nan=True) and np.array_equal(f(*many)[:1], [none], equal_nan=True)
+
+
+@pytest.mark.parametrize("least", [4, 128])
+def test_tallies_are_those_of_plain_loops(least, monkeypatch):
+    """Windows within one block and over many, latest neighbours near by and far back, magnitudes that are not known, events alike and without neighbours."""
+    from temblor.operators import around
+
+    monkeypatch.setattr(around, "LEAST", least)
+    monkeypatch.setattr(around, "AT_ONCE", 500)
+    monkeypatch.setattr(around, "STRONGEST", 3)
+    monkeypatch.setattr(around, "LATEST", 3)
+    r, n = np.random.default_rng(5), 700
+    rows = {"event_id": np.arange(n), "ep": np.round(r.uniform(0, 60, n)) * DAY / 2, "lat": r.integers(0, 6, n) / 10.0, "lon": r.integers(0, 6, n) / 10.0 + (r.random(n) < 0.02) * 5, "magnitude": np.where(r.random(n) < 0.3, np.nan, r.integers(25, 60, n) / 10), "reach": r.choice([5.0, 20.0, 60.0], n)}
+    rows |= {c: np.where(np.arange(n) % 10 == 9, np.roll(rows[c], 1), rows[c]) for c in ("ep", "lat", "lon", "magnitude", "reach")}
+    schema = pa.schema([("event_id", pa.int64()), ("magnitude", pa.float64()), *((f"n{k}", pa.int64()) for k in range(3)), *((c, pa.float64()) for c in ("top", "mean", "since", "after"))])
+    asks, backs, ahead = pa.table(rows), (DAY, 7 * DAY, 20 * DAY), 3 * DAY
+    own = ["event_id", "ep", "lat", "lon", "magnitude", "reach"]
+    got = {x["event_id"]: x for x in around._tallies(asks, asks, schema, own, backs, ahead, around.arc_km).to_pylist()}
+    known = lambda x: None if np.isnan(x) else x
+    for i in range(n):
+        near = around.arc_km(rows["lat"][i], rows["lon"][i], rows["lat"], rows["lon"]) <= rows["reach"][i]
+        age = rows["ep"][i] - rows["ep"]
+        before = [near & (age > 0) & (age <= b) for b in backs]
+        m, later = rows["magnitude"][before[-1]], rows["magnitude"][near & (age < 0) & (age >= -ahead)]
+        x = got[i]
+        assert [x["n0"], x["n1"], x["n2"]] == [b.sum() for b in before] and x["magnitude"] == known(rows["magnitude"][i])
+        assert x["top"] == (None if np.isnan(m).all() else np.nanmax(m)) and x["after"] == (None if np.isnan(later).all() else np.nanmax(later))
+        assert x["since"] == (age[before[-1]].min() if len(m) else None) and (abs(x["mean"] - np.nansum(m) / len(m)) < 1e-9 if len(m) else x["mean"] is None)
+    alone = around._tallies(asks, asks.slice(0, 0), schema, own, backs, ahead, around.arc_km).to_pylist()
+    assert len(alone) == n == len(got) and all(x["n2"] == 0 and x["since"] is None for x in alone)
+
+
+def test_event_model_makes_its_rows_once(spark, monkeypatch):
+    """What the model is fitted on is a stored table, and both looks need one exchange of each side."""
+    from pyspark.ml import Pipeline
+
+    from temblor.operators import graph
+    from temblor.plans import live
+
+    fitted, made = [], []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, rows: fitted.append(rows) or fit(self, rows))
+    monkeypatch.setattr(live, "checkpointed", lambda df: made.append(df) or graph.checkpointed(df), raising=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    live.event_model(spark, "/root/testdata/sf0.001").collect()
+    assert "Exchange" not in plan(fitted[0]) and len(made) == 1 and plan(made[0]).count("REPARTITION_BY_NUM") == 2
