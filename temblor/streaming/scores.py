@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import GK, gk_radius
-from ..operators.nearby import neighbours
+from ..operators.around import strongest_near, tallies
 
 DAY = 86400.0
 #: Seconds that events look back, and that the table reaches back.
@@ -44,13 +44,8 @@ def around(cells: set[int]) -> list[int]:
 
 def features(events: DataFrame, catalogue: DataFrame) -> DataFrame:
     """event_id, magnitude and what the 30 days before each event hold within its radius; zeros where there was nothing."""
-    near = neighbours(events, catalogue, km=GK[2], back=LOOKBACK, reach=gk_radius(F.col("magnitude"))).where("r.ep < l.ep")
-    near = near.select(F.col("l.event_id").alias("event_id"), F.col("r.magnitude").alias("m"), F.expr("l.ep - r.ep").alias("dt"))
-    within = lambda days: F.count_if(F.col("dt") <= days * DAY)
-    seen = near.groupBy("event_id").agg(within(1).alias("n_24h"), within(7).alias("n_7d"), F.count("*").alias("n_30d"), F.max("m").alias("top"), F.min("dt").alias("since"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    f = events.select("event_id", "ep", "magnitude").join(seen, "event_id", "left")
-    return f.select("event_id", "ep", "magnitude", zero("n_24h").alias("n_24h"), zero("n_7d").alias("n_7d"), zero("n_30d").alias("n_30d"), F.coalesce("top", F.lit(0.0)).alias("top"), F.round(F.coalesce(F.col("since") / 3600, F.lit(999.0)), 6).alias("hours_since"))
+    f = tallies(events, catalogue, GK[2], (DAY, 7 * DAY, LOOKBACK), reach=gk_radius(F.col("magnitude")))
+    return f.select("event_id", "ep", "magnitude", F.col("n0").alias("n_24h"), F.col("n1").alias("n_7d"), F.col("n2").alias("n_30d"), F.coalesce("top", F.lit(0.0)).alias("top"), F.round(F.coalesce(F.col("since") / 3600, F.lit(999.0)), 6).alias("hours_since"))
 
 
 @dataclass
@@ -65,7 +60,8 @@ class Scorer:
         at = lambda name: f"{self.path}/{name}/batch={number}"
         before = self.catalogue(spark, number)
         new = batch.where("event_id is not null and ep is not null and lat is not null and lon is not null and magnitude is not null").dropDuplicates(["event_id"]).join(before.select("event_id"), "event_id", "left_anti")
-        new.withColumn("cell", cell(F.col("lat"), F.col("lon"))).write.mode("overwrite").partitionBy("cell").parquet(at("catalogue"))
+        # A file for each cell, not one for each cell and task.
+        new.withColumn("cell", cell(F.col("lat"), F.col("lon"))).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(at("catalogue"))
         fresh = self.catalogue(spark, number + 1).where(F.col("batch") == number)
         touched, near, scored = self.cells(fresh), [], 0
         if touched:
@@ -73,10 +69,11 @@ class Scorer:
             # The newest event of all: the table's end only moves forward.
             live = F.col("ep") > F.lit(catalogue.agg(F.max("ep")).first()[0] - KEEP)
             near = around(touched)
-            held = catalogue.where(F.col("cell").isin(near)).where(live).select("event_id", "ep", "lat", "lon", "magnitude")
+            held = catalogue.where(F.col("cell").isin(near)).where(live)
             # Late rows change the past of events at hand; new ones are scored in any case.
-            changed = neighbours(held, fresh.select("event_id", "ep", "lat", "lon", "magnitude"), km=GK[2], back=LOOKBACK, reach=gk_radius(F.col("magnitude"))).where("r.ep < l.ep").select(F.col("l.event_id").alias("event_id"))
-            again = held.join(changed.union(fresh.select("event_id")).distinct(), "event_id", "left_semi")
+            old = held.where(F.col("batch") < number)
+            changed = strongest_near(old, fresh, GK[2], back=LOOKBACK, reach=gk_radius(F.col("magnitude"))).select("event_id")
+            again = held.where(F.col("batch") == number).unionByName(old.join(changed, "event_id", "left_semi"))
             past = catalogue.where(F.col("cell").isin(around(set(near)))).select("event_id", "ep", "lat", "lon", "magnitude")
             features(again, past).withColumn("score", self.score).write.mode("overwrite").parquet(at("scores"))
             scored = spark.read.parquet(at("scores")).count()

@@ -193,3 +193,17 @@ def test_reports_go_to_few_cells_and_packed(spark):
     (out,) = ordered.packer("key", schema)(iter([batches[0].slice(0, 0), *batches]))
     assert out["key"].to_pylist() == [0, 1] and out["time"].cast(pa.int64()).to_pylist() == [8000, 9000]
     assert [ordered.tuples(ordered.unpacked([b], ordered.arrow(schema))) for b in out["rows"].to_pylist()] == [[(i / 1000, None if i == 3 else "x", (1 << 60) + i) for i in range(k, 10, 2)] for k in (0, 1)]
+
+
+def test_scores_of_a_dense_place_are_no_pairs(spark, tmp_path):
+    """Neighbours are not joined, and a batch writes a file for each cell."""
+    from temblor.plans.streams import score
+    from temblor.streaming.scores import Scorer, features
+
+    e = spark.range(0, 400, 1, 4).select(F.col("id").alias("event_id"), (F.col("id") * 60.0).alias("ep"), (F.col("id") % 3 * 20.0).alias("lat"), F.lit(0.1).alias("lon"), F.lit(3.0).alias("magnitude"))
+    assert "Join" not in features(e, e)._jdf.queryExecution().executedPlan().toString()
+    scorer = Scorer(str(tmp_path), score())
+    scorer(e, 0)
+    got = {x.event_id: x for x in scorer.table(spark).collect()}
+    assert len(got) == 400 and all((x.n_30d, x.hours_since) == (i // 3, 0.05 if i > 2 else 999.0) for i, x in got.items())
+    assert sorted(len(list(c.glob("*.parquet"))) for c in (tmp_path / "catalogue" / "batch=0").glob("cell=*")) == [1, 1, 1]
