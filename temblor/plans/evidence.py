@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.cluster import first_fit
+from ..functions.geo import KM_DEGREE
+from ..operators.around import plane_km
+from ..operators.cluster import strongest_first
 from ..operators.graph import checkpointed
 from ..operators.nearby import neighbours
 from ..operators.ordered import numbered
@@ -165,21 +167,44 @@ h AS (SELECT region, count(*) FILTER (b.ep < r.ep) > 0 AS early, count(*) FILTER
 regions AS (SELECT region, n_flags, peak_p, NOT coalesce(early, false) AS predictive, coalesce(hit, false) AS hit, coalesce(hit, false) OR ep + {HIT_DAYS * DAY} <= (SELECT max(ep) FROM quakes) AS resolved FROM r LEFT JOIN h USING (region))"""
 
 
+#: How much wider than in the plane a circle may be on the globe, up to 80 degrees of latitude.
+WIDEN = 1.15
+
+
+def in_plane():
+    """Kilometres in the plane of l and r, with the scale of longitude of l."""
+    return F.sqrt(F.pow(F.expr("(l.lat - r.lat) * 111"), 2) + F.pow(F.expr("(l.lon - r.lon) * 111 * cos(radians(l.lat))"), 2))
+
+
 def near_in_plane(left, right, km: float):
-    """Pairs within ``km`` in the plane, the scale of longitude that of the left; the globe's cells find them (up to 80 degrees of latitude) and the plane decides."""
+    """Pairs within ``km`` in the plane, the scale of longitude that of the left; the globe's cells find them and the plane decides."""
     flat = lambda d: d.withColumnRenamed("ep", "time").withColumn("ep", F.lit(0.0))
-    plane = F.sqrt(F.pow(F.expr("(l.lat - r.lat) * 111"), 2) + F.pow(F.expr("(l.lon - r.lon) * 111 * cos(radians(l.lat))"), 2))
-    return neighbours(flat(left), flat(right), km=1.15 * km).where(plane <= km)
+    return neighbours(flat(left), flat(right), km=WIDEN * km).where(in_plane() <= km)
+
+
+def watch_homes(flags):
+    """event_id, ep, lat, lon, n_flags and peak_p of the flags (event_id, ep, lat, lon, p) that found a region.
+
+    All flags of a place have one home, since homes made later come after: the place's first flag stands for all.  Those that found
+    one are the mains of ``strongest_first``, the earliest as the strongest; the others join the earliest that would have them.  Pairs of flags are not rows."""
+    # A flag of no known place is by itself; one of no known time comes last.
+    alone = F.when(C("lat").isNull() | C("lon").isNull(), C("event_id"))
+    order = F.struct(C("ep").isNull(), C("ep"), C("event_id"))
+    places = flags.groupBy("lat", "lon", alone).agg(F.min(order).alias("order"), F.count("*").alias("n"), F.max("p").alias("p")).select(C("order.event_id").alias("event_id"), C("order.ep").alias("ep"), "lat", "lon", "order", "n", "p")
+    places = checkpointed(places)
+    rows = places.select("event_id", F.lit(0.0).alias("ep"), "lat", "lon", (-F.coalesce("ep", F.lit(float("inf")))).alias("strength"), C("event_id").alias("turn"), F.lit(HOME_KM).alias("km"), F.lit(0.0).alias("seconds"))
+    places = checkpointed(places.join(strongest_first(rows, plane_km, WIDEN, 2 * WIDEN * HOME_KM / KM_DEGREE), "event_id"))
+    homes, rest = places.where("main").drop("main"), places.where("not main").drop("main")
+    # The edge of a circle is found a little wider, should the last digits of the two measures differ.
+    near = near_in_plane(homes, rest, HOME_KM + 1e-6).select(C("r.event_id").alias("id"), C("r.n").alias("n"), C("r.p").alias("p"), C("l.event_id").alias("event_id"), F.struct(in_plane() > HOME_KM, C("l.order")).alias("order"))
+    joined = near.groupBy("id", "n", "p").agg(F.min_by("event_id", "order").alias("event_id"))
+    g = homes.select("event_id", "n", "p").unionByName(joined.drop("id")).groupBy("event_id").agg(F.sum("n").alias("n_flags"), F.max("p").alias("peak_p"))
+    return checkpointed(homes.select("event_id", "ep", "lat", "lon").join(g, "event_id"))
 
 
 def watch_table(spark, sf_dir):
     q = quakes(spark, sf_dir).select("event_id", "ep", "lat", "lon", "magnitude")
-    f = checkpointed(q.withColumn("p", F.pmod(C("event_id") * 37, F.lit(100)) / 100).where(C("p") >= FLAG).drop("magnitude"))
-    order = lambda s: F.struct(C(f"{s}.time"), C(f"{s}.event_id"))
-    claims = near_in_plane(f, f, HOME_KM).where(order("l") < order("r")).select(C("l.event_id").alias("strong"), C("r.event_id").alias("weak"), C("l.time").alias("place"))
-    home = first_fit(claims, f)
-    g = f.join(home, "event_id").groupBy(C("home").alias("event_id")).agg(F.count("*").alias("n_flags"), F.max("p").alias("peak_p"))
-    r = checkpointed(g.join(f.drop("p"), "event_id"))
+    r = watch_homes(q.withColumn("p", F.pmod(C("event_id") * 37, F.lit(100)) / 100).where(C("p") >= FLAG))
     met = near_in_plane(r, q.where(C("magnitude") >= STRONG), HIT_KM).select(C("l.event_id").alias("event_id"), F.expr("r.time - l.time").alias("after"))
     h = met.groupBy("event_id").agg(F.bool_or(C("after") < 0).alias("early"), F.bool_or((C("after") >= 0) & (C("after") <= HIT_DAYS * DAY)).alias("hit"))
     no = lambda c: F.coalesce(c, F.lit(False))

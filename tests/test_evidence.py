@@ -105,3 +105,27 @@ def test_reports(spark, tmp_path):
     low = {(-87.5, 0.0, 0.07), (-87.5, 5.0, 0.08), (-87.5, 10.0, 0.09)}
     assert got[("one.txt", 1)] == {(87.5, 0.0, 1.0), (87.5, 10.0, -0.05)} | low and got[("one.txt", 2)] == {(87.5, 0.0, 0.01), (87.5, 5.0, 0.02), (87.5, 10.0, 0.03)} | low
     assert set(got) == {("one.txt", 1), ("one.txt", 2), ("cut.txt", 1)}
+
+
+def test_flags_of_a_dense_place_are_not_paired(spark, monkeypatch):
+    """Regions are those of the one-by-one order, with chains over cells, times alike and not known and places not known; what is kept grows with the places."""
+    from temblor.operators import cluster
+    from temblor.plans import evidence
+
+    kept = []
+    for module in (cluster, evidence):
+        keep = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, keep=keep: kept.append(keep(df)) or kept[-1])
+    r = random.Random(7)
+    places = [(round(r.uniform(-9, 9), 2), round(r.uniform(20, 30), 2)) for _ in range(60)] + [(60.0, 179.9), (60.0, -179.9), (None, 3.0)]
+    rows = [(i, None if i == 5 else float(r.randrange(0, 500)), *r.choice(places), r.choice((0.9, 0.95, 0.99))) for i in range(1200)]
+    homes: list[tuple] = []
+    want: dict[int, list[float]] = {}
+    for i, t, lat, lon, p in sorted(rows, key=lambda x: (math.inf if x[1] is None else x[1], x[0])):
+        found = next((h for h, a, o in homes if None not in (lat, lon) and math.hypot((a - lat) * 111, (o - lon) * 111 * math.cos(math.radians(a))) <= evidence.HOME_KM), i)
+        if found == i and None not in (lat, lon):
+            homes.append((i, lat, lon))
+        want.setdefault(found, []).append(p)
+    got = {x.event_id: (x.n_flags, x.peak_p) for x in evidence.watch_homes(spark.createDataFrame(rows, "event_id long, ep double, lat double, lon double, p double")).collect()}
+    assert got == {h: (len(p), max(p)) for h, p in want.items()} and 12 < len(homes) < 40
+    assert all(k.count() < 200 for k in kept)
